@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import p4_grammar, p5_encode
+from corpusmill.llm import p1_pairs, p4_grammar, p5_encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_pairs.p1_found,
+    "p1_report": p1_pairs.p1_report,
     "p4_found": p4_grammar.p4_found,
     "p4_scores": p4_grammar.p4_scores,
     "p4_rates": p4_grammar.p4_rates,
