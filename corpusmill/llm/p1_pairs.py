@@ -166,7 +166,7 @@ class EndModel:
         p = 0.5
         for code in tail_codes(text):
             e, i = max(0.0, float(self.ends[code]) - 1), float(self.inner[code])
-            p = (e + 4 * p) / (e + i + 4)
+            p = (e + 8 * p) / (e + i + 8)
         return p
 
 
@@ -255,7 +255,7 @@ def is_truncated(text: str, model: EndModel) -> bool:
         return False
     if alone and n <= 5:
         return bool(last) and last[-1] in OPENERS
-    return (bool(last) and last[-1] in OPENERS) or likely < 0.6
+    return (bool(last) and last[-1] in OPENERS) or likely < 0.75
 
 
 # ---------------------------------------------------------------- language
