@@ -38,7 +38,7 @@ FILLER = re.compile(
     r"lorem ipsum dolor|ipsum dolor sit|\bdolor sit amet|\bblah blah blah|\btext text text|\basdf\b.*\b(?:asdf|jkl)|\bxxxx+ xxxx"
     r"|your (?:text|content|title|headline) (?:goes )?here|(?:text|headline|content|title|caption|copy|image) goes here"
     r"|placeholder text|sample (?:text|paragraph|content)|dummy text|click to edit|type something|insert (?:copy|text) ?(?:here)?$"
-    r"|^insert copy|^(?:tbd|tba)\b[.:]?|^todo\b\s*(?::|$)|add a short description|replace (?:this )?(?:before|with your)|edit this text"
+    r"|^insert copy|^(?:tbd|tba)\b[.:]?|^todo\b\s*:|add a short description|replace (?:this )?(?:before|with your)|edit this text"
     r"|write your (?:text|content) here|coming soon\W*$|under construction\W*$|untitled document"
 )
 LATIN = set(
@@ -90,14 +90,14 @@ NEUTRAL = re.compile(
 # A line that has none of these pieces can't set off a detector but that of Latin filler.
 TRIGGERS = [
     *"{ } % < > [ ] @@ # * « _".split(), "(your ", "(insert ",
-    *"lorem|ipsum|blah|text text|text goes|your text|sample text|dummy|insert|goes here|asdf|xxxx|tbd|todo|tba|click to|placeholder".split("|"),
-    *"type some|add a short|replace|sample|edit this|your content|your title|your headline|coming soon|construction|untitled".split("|"),
+    *"lorem|ipsum|blah|text text|text goes|your text|sample text|dummy|insert|goes here|asdf|xxxx|tbd|todo:|tba|click to|placeholder".split("|"),
+    *"type some|add a short|replace before|replace with|replace this|sample para|sample content|edit this|your content|your title|your headline|coming soon|construction|untitled".split("|"),
     *"400|401|403|404|408|410|429|500|501|502|503|504|error|erreur|fehler|erro |denied|unavailable|gateway|forbidden|gone:".split("|"),
-    *"not found|be found|looking for|requested|maintenance|robot|expired|session|sitzung|too many|no results|permission|went wrong".split("|"),
+    *"not found|be found|were looking for|requested|maintenance|robot|expired|session|sitzung|too many|no results|permission|went wrong".split("|"),
     *"nothing at|no longer|removed perm|server|dns fail|spelling|new link|exception|undefined|traceback|be reached|too long to".split("|"),
     *"non trouv|existe plus|acces ref|plus tard|gefunden|verweigert|angeforderte|existiert|interno|interne|encontrad|acceso neg".split("|"),
-    *"acesso neg|accesso neg|acceso den|mas tarde|页|错|服务|访|启|需要|region|country|blocked|notified|log in again|stack trace".split("|"),
-    *"javascript|java script|scripts|scripting|script|noscript| js|browser|turn them|until they are|human|database".split("|"),
+    *"acesso neg|accesso neg|acceso den|mas tarde|页|错|服务|访|启|需要|your region|your country|blocked by|are blocked|notified|log in again|stack trace".split("|"),
+    *"javascript|java script|scripts|scripting|noscript| js|browser|turn them|until they are|human|database".split("|"),
 ]
 UNIT = re.compile(r"\n+|(?<=[.!?。])\s+")
 
