@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import p1_pairs, p2_overlap, p4_grammar, p5_encode, p7_residue
+from corpusmill.llm import p1_pairs, p2_overlap, p3_leaks, p4_grammar, p5_encode, p7_residue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_pairs.p1_found,
     "p1_report": p1_pairs.p1_report,
     "p2_found": p2_overlap.p2_found,
     "p2_report": p2_overlap.p2_report,
+    "p3_found": p3_leaks.p3_found,
+    "p3_items": p3_leaks.p3_items,
     "p4_found": p4_grammar.p4_found,
     "p4_scores": p4_grammar.p4_scores,
     "p4_rates": p4_grammar.p4_rates,
