@@ -1,10 +1,519 @@
-"""Queries of the core operators and their SQL."""
+"""Queries of the core operators over the test tables, and the SQL that each is compared with.
+
+A query without SQL is one that SQL can't express at that size; tests compare it with brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill import constants as C
+from corpusmill.functions import arrays as A
+from corpusmill.functions import text as X
+from corpusmill.operators import batching, bpe, classify, evaluation, lines, minhash, reward, scaling
+from corpusmill.plans.layout import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def q(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+TEXT = F.col("text")
+r6 = lambda c: F.round(c, 6)
+r9 = lambda c: F.round(c, 9)
+
+# ------------------------------------------------------------------ scalar text operators
+WORDS_SQL = f"list_filter(regexp_split_to_array(text, {q(C.SPACE + '+')}), lambda w: w <> '')"
+METRICS_SQL = f"""
+WITH w AS (SELECT doc_id, text, {WORDS_SQL} AS ws, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+  CASE WHEN len(ws) > 0 THEN list_sum(list_transform(ws, lambda x: length(x))) / CAST(len(ws) AS DOUBLE) ELSE 0.0 END AS mean_word_length,
+  CASE WHEN len(ws) > 0 THEN len(list_filter(ls, lambda x: regexp_matches(x, {q(chr(92) + '.' + chr(92) + '.' + chr(92) + '.' + C.SPACE + '*$')}))) / CAST(len(ls) AS DOUBLE) ELSE 0.0 END AS ellipsis_ratio,
+  CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) / CAST(len(ws) AS DOUBLE) ELSE 0.0 END AS alpha_ratio FROM w)
+"""
+
+
+@query(METRICS_SQL + "SELECT doc_id, n_words, round(mean_word_length, 6) AS mean_word_length, round(ellipsis_ratio, 6) AS ellipsis_ratio, round(alpha_ratio, 6) AS alpha_ratio FROM m")
+def gopher_metrics(spark: SparkSession, d: str) -> DataFrame:
+    m = X.gopher_metrics(TEXT)
+    rows = table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", m["n_words"].alias("n_words"), *[r6(m[k]).alias(k) for k in ("mean_word_length", "ellipsis_ratio", "alpha_ratio")])
+
+
+KEEP_SQL = "alpha_ratio > 0.8 AND ellipsis_ratio < 0.3 AND n_words BETWEEN 50 AND 100000 AND mean_word_length > 3 AND mean_word_length < 10"
+
+
+@query(METRICS_SQL + f"SELECT doc_id FROM m WHERE {KEEP_SQL}")
+def gopher_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(X.gopher_keep(TEXT)).select("doc_id")
+
+
+def masked(name: str, pattern: str, mask: str, f: Callable[[Column], Column]) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return table(spark, d, "documents").select("doc_id", F.md5(f(TEXT)).alias("digest"), X.count_matches(TEXT, pattern).alias("n"))
+
+    run.__name__ = name
+    query(
+        f"SELECT doc_id, md5(regexp_replace(text, {q(pattern)}, {q(mask)}, 'g')) AS digest, CAST(len(regexp_extract_all(text, {q(pattern)})) AS BIGINT) AS n FROM documents"
+    )(run)
+
+
+masked("mask_emails", C.EMAIL, C.EMAIL_MASK, X.mask_emails)
+masked("mask_ips", C.IP, C.IP_MASK, X.mask_ips)
+
+
+@query()
+def mask_phones(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.mask_phones(TEXT).alias("text"), X.count_matches(TEXT, C.PHONE["corrected"]).alias("n"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, CAST(CASE WHEN text IS NOT NULL THEN 0 END AS BIGINT) AS n FROM documents")
+def mask_phones_as_stated(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", F.md5(X.mask_phones(TEXT, "reference")).alias("digest"), X.count_matches(TEXT, C.PHONE["reference"]).alias("n"))
+
+
+@query(
+    f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, {q(C.EMAIL)}, {q(C.EMAIL_MASK)}, 'g'), {q(C.IP)}, {q(C.IP_MASK)}, 'g')) AS digest FROM documents"
+)
+def desensitize_as_stated(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(X.desensitize(TEXT, "reference")).alias("digest"))
+
+
+@query()
+def desensitize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", X.desensitize(TEXT).alias("text"))
+
+
+@query(f"SELECT doc_id, md5(array_to_string({WORDS_SQL}, ' ')) AS digest FROM documents")
+def collapse_whitespace(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(X.collapse_spaces(TEXT)).alias("digest"))
+
+
+@query()
+def positive_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Blank guard, masks, rule filter, one line."""
+    rows = table(spark, d, "documents").where(~X.is_blank(TEXT)).select("doc_id", X.desensitize(TEXT).alias("text"))
+    return rows.where(X.gopher_keep(TEXT)).select("doc_id", F.lit("hq").alias("label"), X.collapse_spaces(TEXT).alias("text"))
+
+
+@query(
+    METRICS_SQL.replace("WHERE text IS NOT NULL", "")
+    + f"SELECT CASE WHEN coalesce(n_words, 0) = 0 THEN 'blank' WHEN {KEEP_SQL} THEN 'kept' ELSE 'rejected' END AS reason, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY 1"
+)
+def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return lines.skip_reasons(table(spark, d, "documents"), X.is_blank(TEXT), X.gopher_keep(TEXT))
+
+
+@query("SELECT doc_id, md5(regexp_replace(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), 'x', 'x', 'g')) AS digest FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\\n]*')")
+def dedup_normal_ascii(spark: SparkSession, d: str) -> DataFrame:
+    """The deduplication form of texts of plain characters; tests cover all others."""
+
+    @F.pandas_udf("string")
+    def normal(texts):  # noqa: ANN001, ANN202
+        return texts.map(minhash.normalise)
+
+    rows = table(spark, d, "documents").where(TEXT.rlike("^[ -~\n]*\\z"))
+    return rows.select("doc_id", F.md5(F.replace(normal(TEXT), F.lit("_"), F.lit(""))).alias("digest"))
+
+
+@query()
+def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.char_shingles(TEXT, 5)).cast("bigint").alias("n"))
+
+
+# ------------------------------------------------------------------ lines
+LINES_SQL = """
+WITH l AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[^\\n]*\\n|[^\\n]+')) AS line,
+                  generate_subscripts(regexp_extract_all(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[^\\n]*\\n|[^\\n]+'), 1) AS pos FROM documents),
+c AS (SELECT line, count(*) AS n FROM l GROUP BY line)
+"""
+
+
+@query(LINES_SQL + "SELECT md5(line) AS digest, CAST(n AS BIGINT) AS n FROM c")
+def line_counts(spark: SparkSession, d: str) -> DataFrame:
+    return lines.line_counts(table(spark, d, "documents")).select(F.md5("line").alias("digest"), "n")
+
+
+@query(
+    LINES_SQL
+    + "SELECT d.doc_id, md5(coalesce(k.t, '')) AS digest FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT doc_id, string_agg(l.line, '' ORDER BY pos) AS t FROM l JOIN c USING (line) WHERE n = 1 GROUP BY doc_id) k USING (doc_id)"
+)
+def exact_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return lines.unique_lines(table(spark, d, "documents")).select("doc_id", F.md5("text").alias("digest"))
+
+
+# ------------------------------------------------------------------ near duplicates
+@query()
+def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.signatures(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "signature")
+
+
+@query()
+def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query()
+def dedup_keep(spark: SparkSession, d: str) -> DataFrame:
+    """The document of the least id of each cluster."""
+    return minhash.near_duplicates(table(spark, d, "documents")).where("doc_id = cluster").select("doc_id")
+
+
+# ------------------------------------------------------------------ tokenizer tables
+@query("SELECT w AS pretoken, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0b]+')) AS w FROM documents) GROUP BY w")
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select(F.explode(X.pretokens(TEXT, "[^ \\t\\n\\r\\f\\x0b]+")).alias("pretoken"))
+    return words.groupBy("pretoken").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.pretoken_counts(table(spark, d, "documents"), specials=["<|endoftext|>"])
+
+
+@query()
+def pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.pair_counts(bpe.pretoken_counts(table(spark, d, "documents")))
+
+
+@query()
+def best_pair(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.best_pair(bpe.pair_counts(bpe.pretoken_counts(table(spark, d, "documents"))))
+
+
+@query()
+def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "preference_examples"), "example_id", "instruction", {"<|endoftext|>": 50256})
+
+
+@query("SELECT example_id, coalesce(instruction, '') AS text FROM preference_examples")
+def bpe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.decode(bpe.encode(table(spark, d, "preference_examples"), "example_id", "instruction"), "example_id")
+
+
+# ------------------------------------------------------------------ evaluation
+NUM = q(C.NUMBER)
+GOLD_SQL = f"replace(nullif(regexp_extract(answer, {q('####' + chr(92) + 's*(' + C.NUMBER + ')')}, 1), ''), ',', '')"
+LAST_SQL = lambda c: f"replace(regexp_extract_all({c}, {NUM})[-1], ',', '')"
+
+
+@query(f"SELECT item_id, {GOLD_SQL} AS gold, {LAST_SQL('answer')} AS predicted FROM gsm8k")
+def gsm8k_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gsm8k")
+    return rows.select("item_id", X.parse_gold_number(F.col("answer")).alias("gold"), X.parse_last_number(F.col("answer")).alias("predicted"))
+
+
+@query("SELECT item_id, question || '\\nAnswer:' AS prompt FROM gsm8k")
+def gsm8k_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.gsm8k_prompts(table(spark, d, "gsm8k"))
+
+
+def replaced(template: str, **fields: str) -> str:
+    out = q(template)
+    for k, v in fields.items():
+        out = f"replace({out}, '{{{k}}}', {v})"
+    return out
+
+
+@query(
+    "SELECT item_id, " + replaced(C.SYSTEM_PROMPT, instruction="p") + " AS prompt FROM (SELECT item_id, "
+    + replaced(C.MMLU_PROMPT, **{c: f"coalesce({c}, '')" for c in ("subject", "a", "b", "c", "d", "question")}) + " AS p FROM mmlu)"
+)
+def mmlu_prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = evaluation.mmlu_prompts(table(spark, d, "mmlu"))
+    return rows.select("item_id", evaluation.wrapped(F.col("prompt")).alias("prompt"))
+
+
+CHOICE_SQL = lambda c: f"upper(coalesce(nullif(regexp_extract({c}, '(?i)the\\s+correct\\s+answer\\s+is\\s*([ABCD])\\b', 1), ''), nullif(regexp_extract({c}, '(?i)\\b([ABCD])\\b', 1), '')))"
+
+
+@query(
+    f"WITH p AS (SELECT {CHOICE_SQL('d')} AS predicted, upper(trim(answer)) AS gold FROM mmlu) "
+    "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN predicted IS NOT DISTINCT FROM gold THEN 1.0 ELSE 0.0 END), 6) AS accuracy, "
+    "CAST(count(*) FILTER (predicted IS NULL) AS BIGINT) AS parse_failures, round(avg(CASE WHEN predicted IS NULL THEN 1.0 ELSE 0.0 END), 6) AS parse_failure_rate FROM p"
+)
+def mmlu_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """The fourth option's text stands in for a model's output."""
+    done = evaluation.accuracy_summary(table(spark, d, "mmlu"), X.parse_choice(F.col("d")), evaluation.mmlu_gold(F.col("answer")))
+    return done.select("n", r6("accuracy").alias("accuracy"), "parse_failures", r6("parse_failure_rate").alias("parse_failure_rate"))
+
+
+@query("SELECT example_id, md5(" + replaced(C.ALPACA, response="chosen", instruction="instruction") + ") AS digest FROM preference_examples WHERE instruction NOT LIKE '%{response}%' OR instruction IS NULL")
+def alpaca_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "preference_examples").where("instruction not like '%{response}%' or instruction is null")
+    return rows.select("example_id", F.md5(evaluation.alpaca(F.col("instruction"), F.col("chosen"))).alias("digest"))
+
+
+@query()
+def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.parse_preferences(table(spark, d, "raw_preferences"))
+
+
+@query()
+def preference_load_counts(spark: SparkSession, d: str) -> DataFrame:
+    return preference_pairs(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rollouts(spark: SparkSession, d: str) -> DataFrame:
+    return reward.latest(table(spark, d, "rollouts"), "rollout_id", "logged_at")
+
+
+@query()
+def answer_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = rollouts(spark, d)
+    return rows.select("rollout_id", X.answer_candidates(F.col("response")).alias("candidates"))
+
+
+@query()
+def relaxed_rewards(spark: SparkSession, d: str) -> DataFrame:
+    rows = rollouts(spark, d).select("rollout_id", "item_id", "response").join(table(spark, d, "math_problems").select("item_id", "answer"), "item_id", "left")
+    return rows.select("rollout_id", evaluation.relaxed_reward(F.col("response"), F.col("answer")).alias("r")).select("rollout_id", "r.*")
+
+
+# ------------------------------------------------------------------ rewards and losses
+ONCE_SQL = "WITH o AS (SELECT DISTINCT rollout_id, step, group_no, reward, item_id FROM rollouts), g AS (SELECT step, group_no, avg(reward) AS m, stddev_samp(reward) AS s, count(*) AS k FROM o GROUP BY ALL)"
+
+
+def once(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "rollouts").select("rollout_id", "step", "group_no", "reward", "item_id").distinct()
+
+
+@query(
+    ONCE_SQL + " SELECT o.rollout_id, o.reward, round((o.reward - m) / (coalesce(s, 0) + 1e-6), 4) AS advantage FROM o JOIN g ON o.step IS NOT DISTINCT FROM g.step AND o.group_no IS NOT DISTINCT FROM g.group_no"
+)
+def group_advantage(spark: SparkSession, d: str) -> DataFrame:
+    rows = reward.group_advantages(once(spark, d), ["step", "group_no"], "reward")
+    return rows.select("rollout_id", "reward", F.round("advantage", 4).alias("advantage"))
+
+
+@query("SELECT step, CAST(count(reward) AS BIGINT) AS n, round(avg(reward), 6) AS mean, round(stddev_pop(reward), 6) AS std FROM (SELECT DISTINCT rollout_id, step, group_no, reward, item_id FROM rollouts) GROUP BY step")
+def reward_stats(spark: SparkSession, d: str) -> DataFrame:
+    return reward.reward_stats(once(spark, d), ["step"], "reward").select("step", "n", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query(ONCE_SQL + ", b AS (SELECT *, row_number() OVER (PARTITION BY step, group_no ORDER BY reward DESC, rollout_id) AS k FROM o WHERE reward IS NOT NULL) SELECT step, group_no, rollout_id, reward FROM b WHERE k = 1")
+def best_in_group(spark: SparkSession, d: str) -> DataFrame:
+    return reward.best_in_group(once(spark, d), ["step", "group_no"], "rollout_id", "reward")
+
+
+PAIRS_SQL = "zip AS (SELECT rollout_id, step, unnest(logprobs) AS lp, unnest(response_mask) AS m FROM (SELECT DISTINCT rollout_id, step, logprobs, response_mask FROM rollouts WHERE logprobs IS NOT NULL AND response_mask IS NOT NULL))"
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "rollouts").select("rollout_id", "step", "logprobs", "response_mask")
+    return rows.where("logprobs is not null and response_mask is not null").distinct()
+
+
+@query(f"WITH {PAIRS_SQL} SELECT rollout_id, round(sum(coalesce(CAST(lp AS DOUBLE) * m, 0)) / nullif(sum(m), 0), 6) AS mean_logprob, round(sum(coalesce(CAST(lp AS DOUBLE) * m, 0)) / 128, 6) AS normalised FROM zip GROUP BY rollout_id, step")
+def masked_means(spark: SparkSession, d: str) -> DataFrame:
+    lp, m = F.col("logprobs"), F.col("response_mask")
+    rows = tokens(spark, d).where("size(logprobs) > 0")
+    return rows.select("rollout_id", r6(A.masked_mean(lp, m)).alias("mean_logprob"), r6(A.masked_normalise(lp, m, 128.0)).alias("normalised"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT step, round(-sum(coalesce(CAST(lp AS DOUBLE) * m, 0)) / nullif(sum(m), 0) / 4, 6) AS loss FROM zip GROUP BY step")
+def sft_loss(spark: SparkSession, d: str) -> DataFrame:
+    rows = tokens(spark, d).withColumn("loss", F.transform("logprobs", lambda v: -v))
+    return reward.batch_loss(rows, ["step"], "loss", "response_mask", 4).select("step", r6("loss").alias("loss"))
+
+
+@query(
+    f"WITH {PAIRS_SQL}, a AS (SELECT rollout_id, avg(reward) - 0.5 AS adv FROM rollouts GROUP BY rollout_id), "
+    "t AS (SELECT step, m, adv, exp(CAST(lp AS DOUBLE) - CAST(CAST(lp AS DOUBLE) * 1.1 AS DOUBLE)) AS r FROM zip JOIN a USING (rollout_id) WHERE adv IS NOT NULL AND lp IS NOT NULL) "
+    "SELECT step, round(sum(-least(r * adv, least(greatest(r, 0.8), 1.2) * adv) * m) / nullif(sum(m), 0), 6) AS loss FROM t GROUP BY step"
+)
+def clip_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Old log-probabilities are the new ones times 1.1; a rollout's advantage is its mean reward less 0.5."""
+    adv = table(spark, d, "rollouts").groupBy("rollout_id").agg((F.avg("reward") - 0.5).alias("adv")).where("adv is not null")
+    rows = tokens(spark, d).join(adv, "rollout_id")
+    known = F.filter(F.arrays_zip("logprobs", "response_mask"), lambda x: x["logprobs"].isNotNull())
+    rows = rows.withColumn("lp", F.transform(known, lambda x: x["logprobs"].cast("double"))).withColumn("m", F.transform(known, lambda x: x["response_mask"]))
+    old = F.transform("lp", lambda v: v * 1.1)
+    rows = rows.withColumn("loss", A.clipped_loss(F.col("lp"), old, F.col("adv")))
+    return reward.batch_loss(rows, ["step"], "loss", "m").select("step", r6("loss").alias("loss"))
+
+
+DPO_SQL = "CASE WHEN x >= 0 THEN ln(1 + exp(-x)) ELSE -x + ln(1 + exp(x)) END"
+
+
+@query(
+    f"WITH l AS (SELECT source, 0.1 * ((coalesce(length(chosen), 0) - coalesce(length(rejected), 0)) / 10.0) AS x, coalesce(length(chosen), 0) > coalesce(length(rejected), 0) AS won FROM preference_examples) "
+    f"SELECT source, round(avg({DPO_SQL}), 6) AS loss, round(avg(CASE WHEN won THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM l GROUP BY source"
+)
+def dpo_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths over ten stand in for sequence log-probabilities; the reference model gives 0 to both."""
+    n = lambda c: F.coalesce(F.length(c), F.lit(0)) / 10.0
+    zero = F.lit(0.0)
+    loss = A.dpo_loss(n("chosen"), n("rejected"), zero, zero, 0.1)
+    won = (n("chosen") > n("rejected")).cast("double")
+    rows = table(spark, d, "preference_examples").groupBy("source")
+    return rows.agg(r6(F.avg(loss)).alias("loss"), r6(F.avg(won)).alias("accuracy"))
+
+
+EMB_SQL = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT vec_id, max(v) AS top FROM e GROUP BY vec_id), z AS (SELECT e.vec_id, e.i, e.v, top, sum(exp(v - top)) OVER (PARTITION BY e.vec_id) AS total FROM e JOIN s USING (vec_id))"
+EMB = F.col("embedding")
+
+
+@query(
+    f"WITH {EMB_SQL} SELECT vec_id, round(max(exp(v - top) / total), 9) AS top_share, round(sum(exp(v - top) / total * exp(v - top) / total), 9) AS squares, "
+    "round(-sum(exp(v - top) / total * (v - top - ln(total))), 6) AS entropy, round(max(CASE WHEN i = 1 THEN top + ln(total) - v END), 6) AS first_loss FROM z GROUP BY vec_id"
+)
+def softmax_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings stand in for logits."""
+    p = A.softmax(EMB)
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", p.alias("p"))
+    return rows.select(
+        "vec_id",
+        r9(F.array_max("p")).alias("top_share"),
+        r9(A.dot(F.col("p"), F.col("p"))).alias("squares"),
+        r6(A.entropy(EMB)).alias("entropy"),
+        r6(A.cross_entropy(EMB, F.lit(0))).alias("first_loss"),
+    )
+
+
+@query(
+    f"WITH {EMB_SQL}, o AS (SELECT vec_id, i, exp(v - top) / total AS p, coalesce(sum(exp(v - top) / total) OVER (PARTITION BY vec_id ORDER BY v DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z) "
+    "SELECT vec_id, CAST(count(*) AS BIGINT) AS kept, round(max(p) / sum(p), 6) AS top_share FROM o WHERE before < 0.5 GROUP BY vec_id"
+)
+def top_p(spark: SparkSession, d: str) -> DataFrame:
+    p = A.top_p(A.softmax(EMB), 0.5)
+    rows = table(spark, d, "embeddings").select("vec_id", p.alias("p"))
+    return rows.select("vec_id", F.size(F.filter("p", lambda v: v > 0)).cast("bigint").alias("kept"), r6(F.array_max("p")).alias("top_share"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS (SELECT vec_id, sum(v * v) AS ss, max(v) AS top, count(*) AS k FROM e GROUP BY vec_id) "
+    "SELECT vec_id, round(sqrt(ss), 6) AS norm, round(top / sqrt(ss / k + 1e-5), 6) AS rms_top, round(top * CASE WHEN sqrt(ss) > 0.5 THEN 0.5 / (sqrt(ss) + 1e-6) ELSE 1 END, 6) AS clipped_top FROM n"
+)
+def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return rows.select(
+        "vec_id", r6(A.norm(EMB)).alias("norm"), r6(F.array_max(A.rms_norm(EMB))).alias("rms_top"), r6(F.array_max(A.clip_norm(EMB, 0.5))).alias("clipped_top")
+    )
+
+
+# ------------------------------------------------------------------ order, splits, packing
+ORDER_SQL = lambda key: f"md5('42|' || CAST({key} AS VARCHAR))"
+
+
+@query(
+    f"SELECT example_id, CASE WHEN row_number() OVER (ORDER BY {ORDER_SQL('example_id')}) <= (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM preference_examples) THEN 'val' ELSE 'train' END AS split FROM preference_examples"
+)
+def train_val_split(spark: SparkSession, d: str) -> DataFrame:
+    return batching.split_by_ratio(table(spark, d, "preference_examples").select("example_id"), "example_id", 0.1)
+
+
+@query(f"SELECT example_id, CASE WHEN row_number() OVER (ORDER BY {ORDER_SQL('example_id')}) <= 50 THEN 'val' ELSE 'train' END AS split FROM preference_examples")
+def split_by_count(spark: SparkSession, d: str) -> DataFrame:
+    return batching.split_by_count(table(spark, d, "preference_examples").select("example_id"), "example_id", 50)
+
+
+@query(f"SELECT example_id FROM preference_examples ORDER BY {ORDER_SQL('example_id')} LIMIT 100")
+def capped_examples(spark: SparkSession, d: str) -> DataFrame:
+    return batching.cap(table(spark, d, "preference_examples").select("example_id"), "example_id", 100)
+
+
+@query(
+    f"WITH n AS (SELECT count(*) AS n FROM math_problems), p AS (SELECT item_id, row_number() OVER (ORDER BY {ORDER_SQL('item_id')}) - 1 AS position FROM math_problems), "
+    "r AS (SELECT item_id, CAST(position + k * n AS BIGINT) AS draw FROM p, n, (VALUES (0), (1), (2)) v(k)) SELECT item_id, draw FROM r WHERE draw < 1000"
+)
+def sampled_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return batching.sample_prompts(table(spark, d, "math_problems").select("item_id"), "item_id", 1000)
+
+
+@query(
+    f"WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY {ORDER_SQL('doc_id')}) - 1 AS position FROM documents) SELECT CAST(position // 32 AS BIGINT) AS batch, array_agg(doc_id ORDER BY position) AS keys FROM p GROUP BY 1"
+)
+def minibatches(spark: SparkSession, d: str) -> DataFrame:
+    return batching.minibatches(table(spark, d, "documents"), "doc_id", 32)
+
+
+def letters(spark: SparkSession, d: str) -> DataFrame:
+    """Character codes of questions stand in for token ids."""
+    codes = F.transform(F.regexp_extract_all("question", F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
+    return table(spark, d, "gsm8k").select("item_id", codes.alias("ids"))
+
+
+@query(
+    "WITH t AS (SELECT item_id, list_concat([1], list_concat(list_transform(list_filter(string_split(question, ''), lambda c: c <> ''), lambda c: ascii(c)), [2])) AS ids FROM gsm8k), "
+    "u AS (SELECT item_id, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM t), p AS (SELECT token, row_number() OVER (ORDER BY item_id, i) - 1 AS at FROM u), "
+    "c AS (SELECT at // 128 AS chunk, at, token FROM p UNION ALL SELECT at // 128 - 1, at, token FROM p WHERE at % 128 = 0 AND at > 0) "
+    "SELECT CAST(chunk AS BIGINT) AS chunk, (array_agg(token ORDER BY at))[1:128] AS input_ids, (array_agg(token ORDER BY at))[2:129] AS labels FROM c GROUP BY chunk HAVING count(*) = 129"
+)
+def pack_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return batching.pack(letters(spark, d), "item_id", "ids", 128, 1, 2)
+
+
+@query()
+def prompt_response_mask(spark: SparkSession, d: str) -> DataFrame:
+    codes = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?s)."), F.lit(0)), lambda x: F.ascii(x))
+    rows = table(spark, d, "math_problems").select("item_id", codes(F.col("problem")).alias("p"), codes(F.col("answer")).alias("r"))
+    return batching.pad_pairs(rows, "item_id", "p", "r", 0)
+
+
+@query("SELECT CAST(r AS BIGINT) AS step, round(CASE WHEN r < 10 THEN 0.001 * r / 10 WHEN r > 90 THEN 0.0001 ELSE 0.0001 + 0.0009 * (1 + cos(3.141592653589793 * (r - 10) / 80)) / 2 END, 9) AS rate FROM range(120) t(r)")
+def cosine_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(120).select(F.col("id").alias("step"), r9(X.cosine_rate(F.col("id"), 1e-3, 1e-4, 10, 90)).alias("rate"))
+
+
+# ------------------------------------------------------------------ scaling law
+BEST_SQL = "WITH b AS (SELECT compute_budget, min_by(parameters, (final_loss, parameters)) AS parameters, min(final_loss) AS final_loss FROM isoflop_runs WHERE parameters IS NOT NULL AND compute_budget IS NOT NULL AND final_loss IS NOT NULL GROUP BY compute_budget)"
+FIT_SQL = BEST_SQL + ", f AS (SELECT regr_slope(log10(parameters), log10(compute_budget)) AS a, regr_intercept(log10(parameters), log10(compute_budget)) AS b FROM b)"
+
+
+@query(BEST_SQL.replace("min_by(parameters, (final_loss, parameters))", "(array_agg(parameters ORDER BY final_loss, parameters))[1]") + " SELECT compute_budget, parameters, final_loss FROM b")
+def isoflop_best(spark: SparkSession, d: str) -> DataFrame:
+    return scaling.best_by_budget(table(spark, d, "isoflop_runs"))
+
+
+@query(FIT_SQL.replace("min_by(parameters, (final_loss, parameters))", "(array_agg(parameters ORDER BY final_loss, parameters))[1]") + " SELECT round(a, 6) AS a, round(b, 5) AS log10_alpha, round((b + a * 23), 5) AS log10_parameters FROM f")
+def isoflop_fit(spark: SparkSession, d: str) -> DataFrame:
+    fit = scaling.power_law(scaling.best_by_budget(table(spark, d, "isoflop_runs")))
+    return fit.select(r6("a").alias("a"), F.round("log10_alpha", 5).alias("log10_alpha"), F.round(F.col("log10_alpha") + F.col("a") * 23, 5).alias("log10_parameters"))
+
+
+# ------------------------------------------------------------------ classifiers
+@query()
+def language_id(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, predicted, score) of a character model fitted on at most 2,000 labelled documents."""
+    rows = table(spark, d, "documents")
+    sample = rows.where("lang is not null and text is not null").orderBy(F.xxhash64("doc_id")).limit(2000)
+    return classify.classify(classify.fit_classifier(sample, "text", "lang", "char"), rows, "text", ["doc_id"])
+
+
+@query()
+def moderation_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """(label, precision, recall, n) on a held-out tenth of the labelled samples."""
+    rows = batching.split_by_ratio(table(spark, d, "moderation_labels").where("text is not null and category is not null"), "label_id", 0.1)
+    model = classify.fit_classifier(rows.where("split = 'train'"), "text", "category")
+    scored = classify.classify(model, rows.where("split = 'val'"), "text", ["label_id", "category"])
+    return classify.precision_recall(scored, "category").select("label", r6("precision").alias("precision"), r6("recall").alias("recall"), "n")
+
+
+@query()
+def html_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Visible text of documents that hold markup."""
+    from corpusmill.functions.html import html_text
+
+    rows = table(spark, d, "documents").where(TEXT.rlike("<[a-zA-Z/]"))
+    return rows.select("doc_id", html_text(TEXT).alias("text"))
