@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with the value computed once a row; inside a lambda it would be computed each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(F.transform(values, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
 
@@ -16,19 +21,21 @@ def dot(a: Column, b: Column) -> Column:
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
     """Shifted by the maximum, so that it doesn't overflow."""
-    top = F.array_max(x).cast("double")
-    e = F.transform(x, lambda v: F.exp((v.cast("double") - top) / temperature))
-    return F.transform(e, lambda v: v / total(e))
+    shifted = let(
+        F.array_max(x).cast("double"), lambda top: F.transform(x, lambda v: F.exp((v.cast("double") - top) / temperature))
+    )
+    return let(shifted, lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x).cast("double")
-    return top + F.log(total(F.transform(x, lambda v: F.exp(v.cast("double") - top))))
+    return let(
+        F.array_max(x).cast("double"),
+        lambda top: top + F.log(total(F.transform(x, lambda v: F.exp(v.cast("double") - top)))),
+    )
 
 
 def log_softmax(x: Column) -> Column:
-    norm = log_sum_exp(x)
-    return F.transform(x, lambda v: v.cast("double") - norm)
+    return let(log_sum_exp(x), lambda norm: F.transform(x, lambda v: v.cast("double") - norm))
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:
@@ -84,19 +91,25 @@ def dpo_loss(chosen: Column, rejected: Column, ref_chosen: Column, ref_rejected:
 
 
 def top_p(probabilities: Column, p: float) -> Column:
-    """The probabilities with those beyond mass p set to 0, renormalised; the one that crosses p stays."""
-    order = F.reverse(F.array_sort(F.transform(probabilities, lambda v, i: F.struct(v.cast("double").alias("v"), (-i).alias("i")))))
-    zero = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("kept"))
-    kept = F.aggregate(
-        order,
-        zero,
-        lambda a, x: F.struct(
+    """The probabilities with those beyond mass p set to 0, renormalised; the one that crosses p stays.
+    Of equal probabilities the earlier ones come first."""
+    def kept(order: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<int>").alias("kept"))
+        step = lambda a, x: F.struct(
             (a["mass"] + x["v"]).alias("mass"),
             F.when(a["mass"] < p, F.concat(a["kept"], F.array(-x["i"]))).otherwise(a["kept"]).alias("kept"),
-        ),
-    )["kept"]
-    out = F.transform(probabilities, lambda v, i: F.when(F.array_contains(kept, i), v.cast("double")).otherwise(0.0))
-    return F.transform(out, lambda v: v / total(out))
+        )
+        return F.aggregate(order, start, step)["kept"]
+
+    def one(values: Column) -> Column:
+        order = F.reverse(F.array_sort(F.transform(values, lambda v, i: F.struct(v.cast("double").alias("v"), (-i).alias("i")))))
+        cut = let(
+            kept(order),
+            lambda ks: F.transform(values, lambda v, i: F.when(F.array_contains(ks, i), v.cast("double")).otherwise(0.0)),
+        )
+        return let(cut, lambda c: let(total(c), lambda t: F.transform(c, lambda v: v / t)))
+
+    return let(probabilities, one)
 
 
 def draw(probabilities: Column, uniform: Column) -> Column:
@@ -118,13 +131,12 @@ def norm(x: Column) -> Column:
 
 
 def clip_norm(x: Column, limit: float, eps: float = 1e-6) -> Column:
-    scale = F.when(norm(x) > limit, F.lit(limit) / (norm(x) + eps)).otherwise(1.0)
-    return F.transform(x, lambda v: v.cast("double") * scale)
+    scale = lambda n: F.when(n > limit, F.lit(limit) / (n + eps)).otherwise(1.0)
+    return let(norm(x), lambda n: let(scale(n), lambda s: F.transform(x, lambda v: v.cast("double") * s)))
 
 
 def rms_norm(x: Column, eps: float = 1e-5) -> Column:
-    scale = F.sqrt(dot(x, x) / F.size(x) + eps)
-    return F.transform(x, lambda v: v.cast("double") / scale)
+    return let(F.sqrt(dot(x, x) / F.size(x) + eps), lambda s: F.transform(x, lambda v: v.cast("double") / s))
 
 
 def silu(x: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer blockquote pre hr td th dt dd".split())
@@ -64,8 +65,12 @@ def page_text(page: str | bytes | None) -> str | None:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
-def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def html_text(page: Column | str) -> Column:
     """Visible text of string or binary pages; null stays null."""
-    for batch in pages:
-        yield batch.map(page_text)
+
+    @F.pandas_udf("string")
+    def read(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in pages:
+            yield batch.map(lambda p: page_text(bytes(p) if isinstance(p, (bytearray, memoryview)) else p))
+
+    return read(page)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill import constants as C
+from corpusmill.functions.arrays import let
 
 
 def _literal(text: str) -> str:
@@ -55,21 +56,32 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(F.size(split_words(text)) == 0, F.lit(True))
 
 
+MEASURES = ("n_words", "mean_word_length", "ellipsis_ratio", "alpha_ratio")
+
+
+def gopher_struct(text: Column) -> Column:
+    """struct of MEASURES; words and lines are cut once. A text without words has 0 for each."""
+
+    def measure(w: Column, lines: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        dots = F.size(F.filter(lines, lambda x: x.rlike("\\.\\.\\." + C.SPACE + "*$")))
+        letters = F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+        alpha = F.size(F.filter(w, lambda x: x.rlike("\\p{L}")))
+        share = lambda c: F.when(n > 0, c).otherwise(F.lit(0.0))
+        return F.struct(
+            n.alias("n_words"),
+            share(letters / n).alias("mean_word_length"),
+            share(dots / F.size(lines)).alias("ellipsis_ratio"),
+            share(alpha / n).alias("alpha_ratio"),
+        )
+
+    return let(split_words(text), lambda w: let(F.split(text, "\n"), lambda lines: measure(w, lines)))
+
+
 def gopher_metrics(text: Column) -> dict[str, Column]:
-    """The rule filter's measures. A text without words has 0 for each of them."""
-    w = split_words(text)
-    n = F.size(w).cast("bigint")
-    lines = F.split(text, "\n")
-    dots = F.size(F.filter(lines, lambda x: F.rtrim(x).rlike("\\.\\.\\." + C.SPACE + "*$")))
-    letters = F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    alpha = F.size(F.filter(w, lambda x: x.rlike("\\p{L}")))
-    zero = F.lit(0.0)
-    return {
-        "n_words": n,
-        "mean_word_length": F.when(n > 0, letters / n).otherwise(zero),
-        "ellipsis_ratio": F.when(n > 0, dots / F.size(lines)).otherwise(zero),
-        "alpha_ratio": F.when(n > 0, alpha / n).otherwise(zero),
-    }
+    """The rule filter's measures by name."""
+    found = gopher_struct(text)
+    return {k: found[k] for k in MEASURES}
 
 
 def gopher_keep(text: Column) -> Column:
@@ -77,15 +89,14 @@ def gopher_keep(text: Column) -> Column:
 
     Null texts and texts without words are not kept.
     """
-    m = gopher_metrics(text)
-    keep = (
+    keep = lambda m: (
         (m["alpha_ratio"] > 0.8)
         & (m["ellipsis_ratio"] < 0.3)
         & m["n_words"].between(50, 100_000)
         & (m["mean_word_length"] > 3)
         & (m["mean_word_length"] < 10)
     )
-    return F.coalesce(keep, F.lit(False))
+    return F.coalesce(F.when(text.isNotNull(), let(gopher_struct(text), keep)), F.lit(False))
 
 
 def char_shingles(text: Column, n: int) -> Column:
@@ -155,25 +166,27 @@ def answer_candidates(response: Column) -> Column:
     """Ordered distinct pieces of a response that may be its answer: the answer tag, the last box, what
     follows the thought, the last line, its trailing fraction, number or assignment, the last three
     fractions and numbers, and all of it. Boxes may be nested once."""
-    text = strip(response)
     none = F.lit("")
-    tag = F.when(
-        text.contains("<answer>") & text.contains("</answer>"),
-        strip(F.element_at(F.split(F.element_at(F.split(text, "<answer>"), -1), "</answer>"), 1)),
-    ).otherwise(none)
-    boxes = F.regexp_extract_all(text, F.lit("\\\\boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}"), F.lit(1))
-    box = F.when(F.size(boxes) > 0, strip(F.element_at(boxes, -1))).otherwise(none)
-    after = F.when(text.contains("</think>"), strip(F.element_at(F.split(text, "</think>"), -1))).otherwise(none)
-    lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), strip), lambda x: x != "")
-    last = F.when(
-        F.size(lines) > 0,
-        strip(F.regexp_replace(F.element_at(lines, -1), "(?i)^(final answer|answer)\\s*[:：]\\s*", "")),
-    ).otherwise(none)
     fraction, number = "\\\\frac\\{[^{}]+\\}\\{[^{}]+\\}", "-?[0-9]+(?:\\.[0-9]+)?(?:/[0-9]+)?"
-    ends = [F.regexp_extract(last, f"({p})\\s*$", 1) for p in (fraction, number, "[A-Za-z]\\s*=\\s*[-+]?[0-9]+(?:\\.[0-9]+)?")]
-    tails = [_last(F.regexp_extract_all(text, F.lit(p), F.lit(0)), 3) for p in (fraction, number)]
-    found = F.concat(F.array(tag, box, after, last, *ends), *tails, F.array(text))
-    return F.array_distinct(F.filter(found, lambda x: x != ""))
+    assignment = "[A-Za-z]\\s*=\\s*[-+]?[0-9]+(?:\\.[0-9]+)?"
+
+    def pieces(text: Column) -> Column:
+        tag = F.when(
+            text.contains("<answer>") & text.contains("</answer>"),
+            strip(F.element_at(F.split(F.element_at(F.split(text, "<answer>"), -1), "</answer>"), 1)),
+        ).otherwise(none)
+        boxes = F.regexp_extract_all(text, F.lit("\\\\boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}"), F.lit(1))
+        box = let(boxes, lambda b: F.when(F.size(b) > 0, strip(F.element_at(b, -1))).otherwise(none))
+        after = F.when(text.contains("</think>"), strip(F.element_at(F.split(text, "</think>"), -1))).otherwise(none)
+        lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), strip), lambda x: x != "")
+        bare = lambda x: strip(F.regexp_replace(x, "(?i)^(final answer|answer)\\s*[:：]\\s*", ""))
+        last = let(lines, lambda ls: F.when(F.size(ls) > 0, bare(F.element_at(ls, -1))).otherwise(none))
+        ends = let(last, lambda x: F.array(x, *[F.regexp_extract(x, f"({p})\\s*$", 1) for p in (fraction, number, assignment)]))
+        tails = [let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: _last(m, 3)) for p in (fraction, number)]
+        found = F.concat(F.array(tag, box, after), ends, *tails, F.array(text))
+        return F.array_distinct(F.filter(found, lambda x: x != ""))
+
+    return let(strip(response), pieces)
 
 
 def _last(items: Column, n: int) -> Column:

@@ -87,8 +87,8 @@ def pack(df: DataFrame, key: str, ids: str, length: int, bos: int, eos: int, see
     rows = df.select(key, full.alias("ids"))
     if seed is None:  # keys are spread over the parts in ranges of equal width
         low, high = rows.agg(F.min(key), F.max(key)).first()
-        width = max(1, ((high or 0) - (low or 0)) // (PARTS - 1)) if low is not None else 1
-        part = ((F.col(key) - (low or 0)) / width).cast("int")
+        width = (high - low) // PARTS + 1 if low is not None else 1
+        part = F.floor((F.col(key) - (low or 0)) / width).cast("int")
         order = F.concat(F.lpad(F.hex(part), 2, "0"), order)
     placed = positions(rows, order, F.size("ids"))
     # a token serves as an input of its own chunk and, at a border, as a label of the chunk before

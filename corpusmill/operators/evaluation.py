@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill import constants as C
+from corpusmill.functions.arrays import let
 from corpusmill.functions.text import answer_candidates, fill, parse_choice, parse_gold_number, parse_turns, strip
 
 
@@ -50,10 +51,14 @@ def accuracy_summary(df: DataFrame, predicted: Column, gold: Column) -> DataFram
 def single_turn(text: Column) -> Column:
     """struct<prompt, response> of a conversation of exactly one Human and one Assistant turn, both with
     content; null otherwise."""
-    turns = parse_turns(text)
-    ok = (F.size(turns) == 2) & (turns[0]["role"] == "Human") & (turns[1]["role"] == "Assistant")
-    ok = ok & (turns[0]["content"] != "") & (turns[1]["content"] != "")
-    return F.when(ok, F.struct(turns[0]["content"].alias("prompt"), turns[1]["content"].alias("response")))
+
+    def one(turns: Column) -> Column:
+        first, second = F.get(turns, F.lit(0)), F.get(turns, F.lit(1))
+        ok = (F.size(turns) == 2) & (first["role"] == "Human") & (second["role"] == "Assistant")
+        ok = ok & (first["content"] != "") & (second["content"] != "")
+        return F.when(ok, F.struct(first["content"].alias("prompt"), second["content"].alias("response")))
+
+    return let(parse_turns(text), one)
 
 
 def parse_preferences(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
@@ -87,15 +92,21 @@ def normal_answer(answer: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\\\\d?frac\\{([^{}]+)\\}\\{([^{}]+)\\}", "$1/$2"), "^([-+]?[0-9]+)\\.0+$", "$1")
 
 
+def number_of(answer: Column) -> Column:
+    """A normalised answer as a number, fractions too; null if it is none."""
+    parts = F.regexp_extract_all(answer, F.lit("^([-+]?[0-9]+)/([0-9]+)$"), F.lit(0))
+    halves = F.split(answer, "/")
+    fraction = F.when(F.size(parts) == 1, F.try_divide(F.get(halves, F.lit(0)).try_cast("double"), F.get(halves, F.lit(1)).try_cast("double")))
+    return F.coalesce(answer.try_cast("double"), fraction)
+
+
+def normal_match(a: Column, b: Column) -> Column:
+    """Equal as texts, or equal as numbers; both sides are normalised."""
+    return F.coalesce((a == b) | F.coalesce(F.abs(number_of(a) - number_of(b)) < 1e-9, F.lit(False)), F.lit(False))
+
+
 def answers_match(candidate: Column, truth: Column) -> Column:
-    """Equal after normalisation, or equal as numbers (fractions too)."""
-    a, b = normal_answer(candidate), normal_answer(truth)
-    number = lambda x: F.coalesce(
-        F.expr("try_cast(null as double)"),
-        x.try_cast("double"),
-        F.try_divide(F.regexp_extract(x, "^([-+]?[0-9]+)/([0-9]+)$", 1).try_cast("double"), F.regexp_extract(x, "^([-+]?[0-9]+)/([0-9]+)$", 2).try_cast("double")),
-    )
-    return F.coalesce((a == b) | (F.abs(number(a) - number(b)) < 1e-9), a == b, F.lit(False))
+    return let(normal_answer(candidate), lambda a: let(normal_answer(truth), lambda b: normal_match(a, b)))
 
 
 def relaxed_reward(response: Column, truth: Column) -> Column:
@@ -105,10 +116,22 @@ def relaxed_reward(response: Column, truth: Column) -> Column:
     The grader of formulas is a normalised comparison of texts and numbers.
     """
     boxes = F.regexp_extract_all(response, F.lit("\\\\boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}"), F.lit(1))
-    boxed = F.coalesce((F.size(boxes) > 0) & answers_match(F.element_at(F.when(F.size(boxes) > 0, boxes), -1), truth), F.lit(False))
-    free = F.coalesce(F.exists(answer_candidates(response), lambda c: answers_match(c, truth)), F.lit(False))
-    give = lambda c: c.cast("double")
-    return F.struct(give(boxed).alias("format_reward"), give(boxed | free).alias("answer_reward"), give(boxed | free).alias("reward"))
+
+    def judge(want: Column) -> Column:
+        right = lambda c: let(normal_answer(c), lambda a: normal_match(a, want))
+        last = let(boxes, lambda b: F.get(b, F.size(b) - 1))
+        boxed = F.coalesce(right(last), F.lit(False))
+        free = F.coalesce(F.exists(answer_candidates(response), right), F.lit(False))
+        return let(
+            F.struct(boxed.alias("boxed"), free.alias("free")),
+            lambda r: F.struct(
+                r["boxed"].cast("double").alias("format_reward"),
+                (r["boxed"] | r["free"]).cast("double").alias("answer_reward"),
+                (r["boxed"] | r["free"]).cast("double").alias("reward"),
+            ),
+        )
+
+    return let(normal_answer(truth), judge)
 
 
 def strict_reward(response: Column, truth: Column) -> Column:

@@ -456,9 +456,9 @@ def letters(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WITH t AS (SELECT item_id, list_concat([1], list_concat(list_transform(list_filter(string_split(question, ''), lambda c: c <> ''), lambda c: ascii(c)), [2])) AS ids FROM gsm8k), "
-    "u AS (SELECT item_id, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM t), p AS (SELECT token, row_number() OVER (ORDER BY item_id, i) - 1 AS at FROM u), "
-    "c AS (SELECT at // 128 AS chunk, at, token FROM p UNION ALL SELECT at // 128 - 1, at, token FROM p WHERE at % 128 = 0 AND at > 0) "
-    "SELECT CAST(chunk AS BIGINT) AS chunk, (array_agg(token ORDER BY at))[1:128] AS input_ids, (array_agg(token ORDER BY at))[2:129] AS labels FROM c GROUP BY chunk HAVING count(*) = 129"
+    "u AS (SELECT item_id, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM t), p AS (SELECT token, row_number() OVER (ORDER BY item_id, i) - 1 AS spot FROM u), "
+    "c AS (SELECT spot // 128 AS chunk, spot, token FROM p UNION ALL SELECT spot // 128 - 1, spot, token FROM p WHERE spot % 128 = 0 AND spot > 0) "
+    "SELECT CAST(chunk AS BIGINT) AS chunk, (array_agg(token ORDER BY spot))[1:128] AS input_ids, (array_agg(token ORDER BY spot))[2:129] AS labels FROM c GROUP BY chunk HAVING count(*) = 129"
 )
 def pack_sequences(spark: SparkSession, d: str) -> DataFrame:
     return batching.pack(letters(spark, d), "item_id", "ids", 128, 1, 2)
