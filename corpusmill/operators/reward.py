@@ -53,8 +53,8 @@ def expand_rollouts(df: DataFrame, outputs: str, keep: list[str]) -> DataFrame:
 
 def batch_loss(df: DataFrame, by: list[str], loss: str, mask: str, accumulate: int = 1) -> DataFrame:
     """Masked mean over all tokens of a batch (not a mean of means), divided by the accumulation steps."""
-    sums = df.groupBy(*by).agg(F.sum(A.masked_sum(F.col(loss), F.col(mask))).alias("s"), F.sum(A.total(F.col(mask))).alias("m"))
-    return sums.select(*by, (F.try_divide("s", "m") / accumulate).alias("loss"))
+    sums = df.groupBy(*by).agg(F.sum(A.masked_sum(F.col(loss), F.col(mask))).alias("__s"), F.sum(A.total(F.col(mask))).alias("__m"))
+    return sums.select(*by, (F.try_divide("__s", "__m") / accumulate).alias("loss"))
 
 
 def running_mass(df: DataFrame, by: list[str], probability: str) -> DataFrame:

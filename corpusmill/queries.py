@@ -32,12 +32,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def q(text: str) -> str:
+def q(value: str) -> str:
     """A text as an SQL literal."""
-    return "'" + text.replace("'", "''") + "'"
+    return "'" + value.replace("'", "''") + "'"
+
+
+def text() -> Column:
+    return F.col("text")
 
 
-TEXT = F.col("text")
 r6 = lambda c: F.round(c, 6)
 r9 = lambda c: F.round(c, 9)
 
@@ -54,7 +57,7 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 
 @query(METRICS_SQL + "SELECT doc_id, n_words, round(mean_word_length, 6) AS mean_word_length, round(ellipsis_ratio, 6) AS ellipsis_ratio, round(alpha_ratio, 6) AS alpha_ratio FROM m")
 def gopher_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = X.gopher_metrics(TEXT)
+    m = X.gopher_metrics(text())
     rows = table(spark, d, "documents").where("text is not null")
     return rows.select("doc_id", m["n_words"].alias("n_words"), *[r6(m[k]).alias(k) for k in ("mean_word_length", "ellipsis_ratio", "alpha_ratio")])
 
@@ -64,12 +67,12 @@ KEEP_SQL = "alpha_ratio > 0.8 AND ellipsis_ratio < 0.3 AND n_words BETWEEN 50 AN
 
 @query(METRICS_SQL + f"SELECT doc_id FROM m WHERE {KEEP_SQL}")
 def gopher_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(X.gopher_keep(TEXT)).select("doc_id")
+    return table(spark, d, "documents").where(X.gopher_keep(text())).select("doc_id")
 
 
 def masked(name: str, pattern: str, mask: str, f: Callable[[Column], Column]) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return table(spark, d, "documents").select("doc_id", F.md5(f(TEXT)).alias("digest"), X.count_matches(TEXT, pattern).alias("n"))
+        return table(spark, d, "documents").select("doc_id", F.md5(f(text())).alias("digest"), X.count_matches(text(), pattern).alias("n"))
 
     run.__name__ = name
     query(
@@ -83,37 +86,37 @@ masked("mask_ips", C.IP, C.IP_MASK, X.mask_ips)
 
 @query()
 def mask_phones(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.mask_phones(TEXT).alias("text"), X.count_matches(TEXT, C.PHONE["corrected"]).alias("n"))
+    return table(spark, d, "documents").select("doc_id", X.mask_phones(text()).alias("text"), X.count_matches(text(), C.PHONE["corrected"]).alias("n"))
 
 
 @query("SELECT doc_id, md5(text) AS digest, CAST(CASE WHEN text IS NOT NULL THEN 0 END AS BIGINT) AS n FROM documents")
 def mask_phones_as_stated(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents")
-    return rows.select("doc_id", F.md5(X.mask_phones(TEXT, "reference")).alias("digest"), X.count_matches(TEXT, C.PHONE["reference"]).alias("n"))
+    return rows.select("doc_id", F.md5(X.mask_phones(text(), "reference")).alias("digest"), X.count_matches(text(), C.PHONE["reference"]).alias("n"))
 
 
 @query(
     f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, {q(C.EMAIL)}, {q(C.EMAIL_MASK)}, 'g'), {q(C.IP)}, {q(C.IP_MASK)}, 'g')) AS digest FROM documents"
 )
 def desensitize_as_stated(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(X.desensitize(TEXT, "reference")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.desensitize(text(), "reference")).alias("digest"))
 
 
 @query()
 def desensitize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.desensitize(TEXT).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.desensitize(text()).alias("text"))
 
 
 @query(f"SELECT doc_id, md5(array_to_string({WORDS_SQL}, ' ')) AS digest FROM documents")
 def collapse_whitespace(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(X.collapse_spaces(TEXT)).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.collapse_spaces(text())).alias("digest"))
 
 
 @query()
 def positive_samples(spark: SparkSession, d: str) -> DataFrame:
     """Blank guard, masks, rule filter, one line."""
-    rows = table(spark, d, "documents").where(~X.is_blank(TEXT)).select("doc_id", X.desensitize(TEXT).alias("text"))
-    return rows.where(X.gopher_keep(TEXT)).select("doc_id", F.lit("hq").alias("label"), X.collapse_spaces(TEXT).alias("text"))
+    rows = table(spark, d, "documents").where(~X.is_blank(text())).select("doc_id", X.desensitize(text()).alias("text"))
+    return rows.where(X.gopher_keep(text())).select("doc_id", F.lit("hq").alias("label"), X.collapse_spaces(text()).alias("text"))
 
 
 @query(
@@ -121,7 +124,7 @@ def positive_samples(spark: SparkSession, d: str) -> DataFrame:
     + f"SELECT CASE WHEN coalesce(n_words, 0) = 0 THEN 'blank' WHEN {KEEP_SQL} THEN 'kept' ELSE 'rejected' END AS reason, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY 1"
 )
 def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return lines.skip_reasons(table(spark, d, "documents"), X.is_blank(TEXT), X.gopher_keep(TEXT))
+    return lines.skip_reasons(table(spark, d, "documents"), X.is_blank(text()), X.gopher_keep(text()))
 
 
 @query("SELECT doc_id, md5(regexp_replace(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), 'x', 'x', 'g')) AS digest FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\\n]*')")
@@ -132,13 +135,13 @@ def dedup_normal_ascii(spark: SparkSession, d: str) -> DataFrame:
     def normal(texts):  # noqa: ANN001, ANN202
         return texts.map(minhash.normalise)
 
-    rows = table(spark, d, "documents").where(TEXT.rlike("^[ -~\n]*\\z"))
-    return rows.select("doc_id", F.md5(F.replace(normal(TEXT), F.lit("_"), F.lit(""))).alias("digest"))
+    rows = table(spark, d, "documents").where(text().rlike("^[ -~\n]*\\z"))
+    return rows.select("doc_id", F.md5(F.replace(normal(text()), F.lit("_"), F.lit(""))).alias("digest"))
 
 
 @query()
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.char_shingles(TEXT, 5)).cast("bigint").alias("n"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.char_shingles(text(), 5)).cast("bigint").alias("n"))
 
 
 # ------------------------------------------------------------------ lines
@@ -182,7 +185,7 @@ def dedup_keep(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ tokenizer tables
 @query("SELECT w AS pretoken, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0b]+')) AS w FROM documents) GROUP BY w")
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(X.pretokens(TEXT, "[^ \\t\\n\\r\\f\\x0b]+")).alias("pretoken"))
+    words = table(spark, d, "documents").select(F.explode(X.pretokens(text(), "[^ \\t\\n\\r\\f\\x0b]+")).alias("pretoken"))
     return words.groupBy("pretoken").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -371,7 +374,10 @@ def dpo_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 EMB_SQL = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT vec_id, max(v) AS top FROM e GROUP BY vec_id), z AS (SELECT e.vec_id, e.i, e.v, top, sum(exp(v - top)) OVER (PARTITION BY e.vec_id) AS total FROM e JOIN s USING (vec_id))"
-EMB = F.col("embedding")
+
+
+def emb() -> Column:
+    return F.col("embedding")
 
 
 @query(
@@ -380,14 +386,14 @@ EMB = F.col("embedding")
 )
 def softmax_entropy(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings stand in for logits."""
-    p = A.softmax(EMB)
+    p = A.softmax(emb())
     rows = table(spark, d, "embeddings").select("vec_id", "embedding", p.alias("p"))
     return rows.select(
         "vec_id",
         r9(F.array_max("p")).alias("top_share"),
         r9(A.dot(F.col("p"), F.col("p"))).alias("squares"),
-        r6(A.entropy(EMB)).alias("entropy"),
-        r6(A.cross_entropy(EMB, F.lit(0))).alias("first_loss"),
+        r6(A.entropy(emb())).alias("entropy"),
+        r6(A.cross_entropy(emb(), F.lit(0))).alias("first_loss"),
     )
 
 
@@ -396,7 +402,7 @@ def softmax_entropy(spark: SparkSession, d: str) -> DataFrame:
     "SELECT vec_id, CAST(count(*) AS BIGINT) AS kept, round(max(p) / sum(p), 6) AS top_share FROM o WHERE before < 0.5 GROUP BY vec_id"
 )
 def top_p(spark: SparkSession, d: str) -> DataFrame:
-    p = A.top_p(A.softmax(EMB), 0.5)
+    p = A.top_p(A.softmax(emb()), 0.5)
     rows = table(spark, d, "embeddings").select("vec_id", p.alias("p"))
     return rows.select("vec_id", F.size(F.filter("p", lambda v: v > 0)).cast("bigint").alias("kept"), r6(F.array_max("p")).alias("top_share"))
 
@@ -408,7 +414,7 @@ def top_p(spark: SparkSession, d: str) -> DataFrame:
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     return rows.select(
-        "vec_id", r6(A.norm(EMB)).alias("norm"), r6(F.array_max(A.rms_norm(EMB))).alias("rms_top"), r6(F.array_max(A.clip_norm(EMB, 0.5))).alias("clipped_top")
+        "vec_id", r6(A.norm(emb())).alias("norm"), r6(F.array_max(A.rms_norm(emb()))).alias("rms_top"), r6(F.array_max(A.clip_norm(emb(), 0.5))).alias("clipped_top")
     )
 
 
@@ -515,5 +521,5 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
     """Visible text of documents that hold markup."""
     from corpusmill.functions.html import html_text
 
-    rows = table(spark, d, "documents").where(TEXT.rlike("<[a-zA-Z/]"))
-    return rows.select("doc_id", html_text(TEXT).alias("text"))
+    rows = table(spark, d, "documents").where(text().rlike("<[a-zA-Z/]"))
+    return rows.select("doc_id", html_text(text()).alias("text"))

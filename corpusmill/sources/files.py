@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,20 +24,19 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): a document a file."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
 
 
 def read_bytes_ignoring(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): bytes that aren't utf-8 are dropped."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(contents: pd.Series) -> pd.Series:
         return contents.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", decode("content").alias("text"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return rows.select("path", decode("content").alias("text"))
 
 
 def read_mmlu(spark: SparkSession, path: str) -> DataFrame:
