@@ -28,13 +28,15 @@ FREQUENT_WORDS = {
     "quando molto senza anche fino dove chi da tutto ci durante tutti uno né contro sono essere ha hanno può ancora",
     "pt": "o a os as de do da um uma e é que em não se por com para seu ao como mais mas ou este porque esta entre quando "
     "muito sem sobre também até há onde quem desde tudo nos durante todos uns lhes nem contra são ser tem pode ainda",
-    "zh": "的 一 是 不 了 在 人 有 我 他 这 个 们 中 来 上 大 为 和 国 地 到 以 说 时 要 就 出 会 可 也 你 对 生 能 而 子 那 得 于 着 下 自 之 年",
+    "zh": "的一是不了，在人有我他这个们中来上大为和国地。到以说时要就出会可也你对生能而子，那得于着下自之年。",
 }
 
 
 def gram_codes(text: str) -> np.ndarray:
     """Two rows: hashed buckets of the pairs and of the triples of characters that end at each place."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    # characters of Han script stand for their script
+    c = np.where((c >= 0x3400) & (c <= 0x9FFF), np.uint64(0x4E00), c)
     if len(c) < 3:
         c = np.concatenate([np.full(3 - len(c), 32, np.uint64), c])
     pairs = c[1:-1] * np.uint64(0x9E3779B1) + c[2:] * np.uint64(0x85EBCA77)

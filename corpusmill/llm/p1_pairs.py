@@ -134,20 +134,24 @@ def is_copy(instruction: str, answer: str) -> bool:
 
 # ---------------------------------------------------------------- truncation
 BITS = 16
+ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s+\S")
 TAIL = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\d,.]*|\n|[^\w\s]")
 #: Each answer gives one end and one place inside; more orders are not needed.
 ORDERS = 3
 
 
 def tail_codes(text: str) -> list[int]:
-    """Hashed buckets of the last one, two and three tokens; numbers and names are classes."""
-    tokens = TAIL.findall(text[-80:])[-ORDERS:]
+    """Hashed buckets of the last one, two and three tokens; numbers and names are classes, and ends of
+    list items are counted apart."""
+    tail = text[-80:]
+    tokens = TAIL.findall(tail)[-ORDERS:]
+    item = "* " if "\n" in text and ITEM.match(text[text.rfind("\n", 0, len(text.rstrip())) + 1 :]) else ""
     kinds = [
         "#" if t[0].isdigit() else "\\n" if t == "\n" else "Name" if t[0].isupper() and not t.isupper() else t.lower()
         for t in tokens
     ]
     return [
-        (zlib.crc32(" ".join(kinds[-k:]).encode()) & ((1 << BITS) - 1)) + ((k - 1) << BITS)
+        (zlib.crc32((item + " ".join(kinds[-k:])).encode()) & ((1 << BITS) - 1)) + ((k - 1) << BITS)
         for k in range(1, min(ORDERS, len(kinds)) + 1)
     ]
 
@@ -211,7 +215,6 @@ def fit_end_model(df: DataFrame, sides: list[str]) -> EndModel:
 COMPLETE = re.compile(r"[.!?。！？…][\"'”’»)\]*_`]*$|[:;]-?[)D(P]$|[\"”»)\]}>]$|```$|[^\w\s,;:(\-–—'\"“„«`/&+=]$")
 BROKEN = re.compile(r"[,;:(\[{\-–—/&+=“„«]$|(?:^|\n)\s*(?:\d+[.)]|[-*•])$")
 OPEN_QUOTE = re.compile(r"[\s(][\"“„«][^\"”»]*$")
-ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s+\S")
 ADDRESS = re.compile(r"\S+\.\w+(?:/\S*)?$|\S+@\S+$")
 SIGNED = re.compile(r",\s*\n\s*[^\W\d_][\w .'-]{0,40}$")
 # Words that leave a phrase open.
@@ -242,7 +245,7 @@ def is_truncated(text: str, model: EndModel) -> bool:
     last = re.findall(r"[^\W_]+", last_line[-40:])
     likely = model.likelihood(text)
     if ITEM.match(last_line):
-        return bool(last) and last[-1] in OPENERS or likely < 0.08
+        return bool(last) and last[-1] in OPENERS or likely < 0.2
     sentence = re.split(r"(?<=[.!?:])\s+", last_line)[-1]
     if len(sentence) < len(text) and max(score_text(sentence)) >= THRESHOLD:
         return False  # an insult in the style of a chat is whole without a stop
