@@ -104,7 +104,7 @@ def candidate_pairs(signed: DataFrame, bands: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("estimate"))
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each connected component; vertices has id, edges a and b.
 
     Least labels are passed on until none changes. Labels are written to the shared folder each round,
@@ -113,7 +113,7 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataF
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = materialise(both, "edges")
     labels = materialise(vertices.select("id", F.col("id").alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         offered = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("offer"))
         joined = labels.join(offered, "id", "left")
         step = materialise(
@@ -126,7 +126,6 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataF
         labels = materialise(step.select("id", "component").join(jump, "component").select("id", F.col("further").alias("component")), "labels")
         if not changed:
             return labels
-    return labels
 
 
 def near_duplicates(
