@@ -87,18 +87,6 @@ NEUTRAL = re.compile(
     r"^\W*(?:menu|search|login|log in|sign in|register|home|about|contact|home \| about \| contact|.?\W*all rights reserved|"
     r"share this page|back to top|skip to content|subscribe|print|next|previous|\d+|ref(?:erence)?\W[\d -]+|id \d+|ray \d+|ticket \d+)\W*$"
 )
-# A line that has none of these pieces can't set off a detector but that of Latin filler.
-TRIGGERS = [
-    *"{ } % < > [ ] @@ # * « _".split(), "(your ", "(insert ",
-    *"lorem|ipsum|blah|text text|text goes|your text|sample text|dummy|insert|goes here|asdf|xxxx|tbd|todo:|tba|click to|placeholder".split("|"),
-    *"type some|add a short|replace before|replace with|replace this|sample para|sample content|edit this|your content|your title|your headline|coming soon|construction|untitled".split("|"),
-    *"400|401|403|404|408|410|429|500|501|502|503|504|error|erreur|fehler|erro |denied|unavailable|gateway|forbidden|gone:".split("|"),
-    *"not found|be found|were looking for|requested|maintenance|robot|expired|session|sitzung|too many|no results|permission|went wrong".split("|"),
-    *"nothing at|no longer|removed perm|server|dns fail|spelling|new link|exception|undefined|traceback|be reached|too long to".split("|"),
-    *"non trouv|existe plus|acces ref|plus tard|gefunden|verweigert|angeforderte|existiert|interno|interne|encontrad|acceso neg".split("|"),
-    *"acesso neg|accesso neg|acceso den|mas tarde|页|错|服务|访|启|需要|your region|your country|blocked by|are blocked|notified|log in again|stack trace".split("|"),
-    *"javascript|java script|scripts|scripting|noscript| js|browser|turn them|until they are|human|database".split("|"),
-]
 UNIT = re.compile(r"\n+|(?<=[.!?。])\s+")
 
 
@@ -132,7 +120,6 @@ def inspect(text: str | None, url: str | None) -> tuple[str | None, float, int,
     if not text or len(text) < 3 or text.isspace():
         return None, 0.0, 0, False
     folded = fold(text)
-    triggers = [t for t in TRIGGERS if t in folded]
     hits: list[tuple[int, int, str]] = []  # line, unit in line, kind
     content = 0
     in_code = False
@@ -146,10 +133,6 @@ def inspect(text: str | None, url: str | None) -> tuple[str | None, float, int,
             continue
         if NEUTRAL.match(line):
             continue
-        if not any(t in line for t in triggers) and not (line.count(" ") >= 5 and line.split(None, 1)[0] in LATIN):
-            content += line.count(" ") + 1
-            units_after_hit += 1
-            continue
         for m, unit in enumerate(UNIT.split(line)):
             kind = kind_of(unit.strip())
             if kind:

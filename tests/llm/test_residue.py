@@ -39,3 +39,15 @@ def test_operator(spark):
     got = sorted((r["doc_id"], r["kind"]) for r in P.find_residue(df).collect())
     assert got == [(i, "evidence") for i in range(5)] + [(10, "placeholder")] * 2 + [(11, "script")]
     assert P.find_residue(df.where("false")).count() == 0
+
+
+#: Lines without a piece that a screen for errors and scripts would look for.
+UNSCREENED = [
+    "405 Not Allowed", "413 Request Entity Too Large", "Pagina non trovata", "Sessão expirada", "Su sesión ha caducado", "Please contact the administrator.",
+    "Slow down and retry.", "JS must be enabled", "Please enable script to go on.", "Intro: consectetur adipiscing elit sed eiusmod tempor",
+]
+
+
+@pytest.mark.parametrize("text", UNSCREENED)
+def test_every_line_meets_the_detectors(text):
+    assert P.inspect(text, None)[0]
