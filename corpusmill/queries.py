@@ -139,6 +139,17 @@ def dedup_normal_ascii(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.md5(F.replace(normal(text()), F.lit("_"), F.lit(""))).alias("digest"))
 
 
+@query()
+def dedup_normal(spark: SparkSession, d: str) -> DataFrame:
+    """The deduplication form of all documents; a null text has none."""
+
+    @F.pandas_udf("string")
+    def normal(texts):  # noqa: ANN001, ANN202
+        return texts.map(minhash.normalise, na_action="ignore")
+
+    return table(spark, d, "documents").select("doc_id", F.md5(normal(text())).alias("digest"))
+
+
 @query()
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.char_shingles(text(), 5)).cast("bigint").alias("n"))
@@ -267,6 +278,13 @@ def alpaca_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("example_id", F.md5(evaluation.alpaca(F.col("instruction"), F.col("chosen"))).alias("digest"))
 
 
+@query()
+def alpaca_all_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Of all rows, those whose instruction holds a field's name included."""
+    rows = table(spark, d, "preference_examples")
+    return rows.select("example_id", F.md5(evaluation.alpaca(F.col("instruction"), F.col("chosen"))).alias("digest"))
+
+
 @query()
 def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.parse_preferences(table(spark, d, "raw_preferences"))

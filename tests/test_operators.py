@@ -188,3 +188,29 @@ def test_classifier(spark):
     for r in got[:60]:
         right[r["label"] == r["predicted"]] += 1
     assert right[True] >= 58
+
+
+def test_dedup_form_of_all_documents(spark, tmp_path):
+    import hashlib
+    import re
+    import unicodedata
+
+    texts = ["Plain, text_1", "Café\tau lait\r\nÉTÉ!", "Ελλάδα — 中文。", "a\tb  c", "", "  ", None, "e\u0301 x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(t):
+        kept = "".join(c for c in t.lower() if c.isalnum() or c == "_" or c.isspace() or not re.match(r"[^\w\s]", c))
+        return "".join(c for c in unicodedata.normalize("NFD", " ".join(kept.split())) if unicodedata.category(c) != "Mn")
+
+    want = {i: t if t is None else hashlib.md5(brute(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    from corpusmill.queries import QUERIES
+
+    assert {r["doc_id"]: r["digest"] for r in QUERIES["dedup_normal"](spark, str(tmp_path)).collect()} == want
+
+
+def test_alpaca_of_all_rows(spark, tmp_path):
+    from corpusmill.queries import QUERIES
+
+    rows = [(1, "Fill {response} in", "done"), (2, "Say it", "it"), (3, None, None)]
+    spark.createDataFrame(rows, "example_id bigint, instruction string, chosen string").write.parquet(f"{tmp_path}/preference_examples.parquet")
+    assert {r["example_id"] for r in QUERIES["alpaca_all_texts"](spark, str(tmp_path)).collect()} == {1, 2, 3}
