@@ -23,7 +23,7 @@ from corpusmill.llm.words import fold, words
 from corpusmill.plans.layout import table
 
 # ---------------------------------------------------------------- empty answers
-MARKUP = re.compile(r"<[^<>]{0,40}>|&[a-z]+;|[\W_]+")
+MARKUP = re.compile(r"<[^<>]{0,40}>|&[a-z]+;|[\W_]")
 # What stands for a missing answer, after markup is taken away.
 STAND_INS = {
     "na", "none", "null", "nil", "nan", "undefined", "empty", "blank", "noresponse", "noanswer", "noanswergiven",
@@ -36,8 +36,6 @@ def is_empty(text: str | None) -> bool:
     """Null, blank, invisible, markup or punctuation only, or a stand-in for nothing."""
     if text is None:
         return True
-    if len(text) > 60:
-        return not any(map(str.isalnum, text))
     return (left := MARKUP.sub("", fold(text))) == "" or left in STAND_INS
 
 
@@ -68,8 +66,6 @@ SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+|(?<=[。！？])")
 
 def is_refusal(text: str) -> bool:
     """Declines, and nothing is left besides apologies, goodbyes and insults."""
-    if len(text) > 700:
-        return False
     folded = fold(text)
     if not DECLINE.search(folded):
         return False
@@ -107,6 +103,12 @@ def near(a: str, b: str) -> bool:
 def is_copy(instruction: str, answer: str) -> bool:
     """Gives back the instruction, or a good part of it, and nearly nothing else."""
     n = len(instruction)
+    if have := words(fold(instruction)):  # at any length a copy if it stands there alone
+        got = words(fold(answer))
+        while len(got) > len(have) and got[0] in LEAD:
+            got = got[1:]
+        if got == have:
+            return True
     if n < 20 or len(answer) < 0.3 * n:
         return False
     low, mine = answer.lower(), instruction.lower()

@@ -74,3 +74,10 @@ def test_operator(spark):
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id bigint, lang string, text string")
     assert fit_language_model(none).score(["the house is on the hill and it was there for all"])[0].argmax() == 0
+
+
+def test_no_length_switches():
+    assert P.is_empty("<p></p>" * 20) and P.is_empty("&nbsp; " * 20) and not P.is_empty("<p>Yes.</p>" * 20)
+    assert P.is_copy("Name a colour.", "name a colour") and P.is_copy("Name a colour.", "You asked: Name a colour.")
+    assert not P.is_copy("Name a colour.", "Red") and not P.is_copy("Name a colour.", "Name a colour. Red.")
+    assert P.is_refusal("I'm sorry, but I cannot help with that request. " * 20)
