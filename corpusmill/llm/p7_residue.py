@@ -1,19 +1,21 @@
 """Problem 7: template residue, filler, error pages and script notices in place of content.
 
-Method: detectors over the lines and sentences of a text (unfilled placeholders, filler, error
-messages, notices that scripts are needed) give strong or weak hits. Weak hits count only together
-with host evidence: the same low-information body, numbers and names masked, served several times,
-or a body that has none of the terms of its address slug or title. Sentences that explain such
-things are no hits, nor is a single line at the foot of an article.
+Method: every document gives detector hits (unfilled placeholders, filler, error messages, notices that
+scripts are needed) and, if it says little, a response key: the digest of its body with names and
+numbers masked. Keys are counted by host: how often the host served the body, and under how many
+different address slugs and titles. A document is residue if its evidence adds up to ENOUGH: a
+detector's hit is enough alone, a weak word, a body served again and again on the host, under different
+slugs or titles, and a slug or title none of whose terms stand in the body are worth one each.
+Sentences that explain such things are no hits, nor is a single line at the foot of an article.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,13 +73,13 @@ SCRIPT = re.compile(
     r"|turn (?:on|it on)? ?(?:javascript|js)|<noscript>|^noscript|browser does not support|check(?:ing)? your browser|has no js support"
     r"|client-side scripting|scripts are blocked|(?:active|activer|activez|aktivieren sie|activar|habilite|attiva\w*|ative) javascript"
     r"|javascript (?:desactive|deshabilitado|deaktiviert|disattivato|desativado)|启用 ?javascript|需要 ?javascript|turn them on and reload"
-    r"|stays empty until they are allowed"
+    r"|\b(?:until|unless) (?:they|it|scripts?|javascript) (?:is|are) (?:allowed|enabled|permitted|switched on|turned on)"
 )
 #: Sentences about such things, not such things.
 EXPLAINS = re.compile(
-    r"\b(?:in a template|marker|markers|such as|placeholder means|the word|swapped|expands|generic type|the set|has \w+ members|print\(|"
-    r"format string|status code|tells the browser|once (?:used|cost)|was once|used to|should still|said\b|wrote in|explains?|explained|"
-    r"means|stands for|called|article about|lecture|how to|for example|history of|typesetters?|printers? in|depend on)\b|print\("
+    r"\b(?:in a template|markers?|such as|the words?|the phrase|the term|swapped|replaced by|expands|generic type|the set|print\(|"
+    r"format strings?|status codes?|tells the|once|used to|should still|said|says|wrote|explain\w*|means|meant|stands for|called|known as|"
+    r"article|lecture|how to|for example|history of|designers?|depends? on)\b|print\("
 )
 WEAK = re.compile(
     r"\b(?:error|unavailable|forbidden|not found|denied|expired|blocked|disabled|robot|retry|reload|redirect\w*|unsupported|"
@@ -111,14 +113,27 @@ def kind_of(unit: str) -> str | None:
 
 #: Articles have at least so many words before a line at their foot.
 ARTICLE_WORDS = 15
-#: A low-information body has at most so many words.
+#: A low-information body has at most so many different words, whatever its length.
 LOW_WORDS = 60
+#: Evidence from which a document is residue, and times that a host must serve a body, and slugs or titles
+#: under which it must serve it, for each to count.
+ENOUGH, SERVED = 3, 3
+#: The documents of one body are spread over so many parts when evidence is joined.
+SALTS = 16
+
 
+def terms(text: str) -> set[str]:
+    """Words that say what a page is about: letters only, four or more of them (two in CJK don't occur: one each)."""
+    return {x for x in words(text) if x.isalpha() and (len(x) > 3 or not x.isascii())}
 
-def inspect(text: str | None, url: str | None) -> tuple[str | None, float, int, bool]:
-    """(kind of a strong hit, weak score, digest of a low-information body or 0, slug or title mismatch)."""
+
+def inspect(text: str | None, url: str | None) -> tuple[str | None, int, bytes | None, bytes | None]:
+    """(kind of a detector's hit, weak and mismatch evidence, response key, digest of slug and title).
+
+    The key is None for texts with a hit, without words, or with more than LOW_WORDS different words.
+    """
     if not text or len(text) < 3 or text.isspace():
-        return None, 0.0, 0, False
+        return None, 0, None, None
     folded = fold(text)
     hits: list[tuple[int, int, str]] = []  # line, unit in line, kind
     content = 0
@@ -151,59 +166,54 @@ def inspect(text: str | None, url: str | None) -> tuple[str | None, float, int,
             and content >= ARTICLE_WORDS
             and n > 0
         )
-        return (None if only_foot else hits[0][2]), 0.0, 0, False
-    w = words(folded) if len(folded) < 600 else []
-    if not 2 <= len(w) <= LOW_WORDS:
-        return None, 0.0, 0, False
-    weak = 0.6 if WEAK.search(folded) and not EXPLAINS.search(folded) else 0.0
-    masked = " ".join("#" if any(c.isdigit() for c in x) else x for x in w)
-    title = set(words(lines[0])) if len(lines) > 1 and lines[0].count(" ") < 10 else set()
-    slug = {x for x in words(fold((url or "").partition("://")[2].partition("/")[2])) if len(x) > 3 and x.isalpha()}
-    body = set(words(" ".join(lines[1:]))) if title else set(w)
-    apart = any(len(terms) >= 2 and not terms & body for terms in (slug, {x for x in title if len(x) > 3}))
-    return None, weak, zlib.crc32(masked.encode()) + 1, apart
-
-
-#: Times a low-information body must be served, over all hosts or by one, to count as evidence.
-SERVED = 3
-#: The documents of one body are spread over so many parts when evidence is joined.
-SALTS = 16
+        return (None if only_foot else hits[0][2]), 0, None, None
+    titled = len(lines) > 1 and lines[0].count(" ") < 10
+    body = words("\n".join(lines[1:]) if titled else folded)
+    if len(body) < 2 or len(different := set(body)) > LOW_WORDS:
+        return None, 0, None, None
+    title = terms(lines[0]) if titled else set()
+    slug = terms(fold((url or "").partition("://")[2].partition("/")[2]))
+    # names in the address or title that the body repeats are masked, as numbers are: one response for all of them
+    own = title | slug
+    masked = " ".join("#" if any(c.isdigit() for c in x) else "@" if x in own else x for x in body)
+    weak = bool(WEAK.search(folded)) and not EXPLAINS.search(folded)
+    apart = any(len(x) >= 2 and not x & different for x in (slug, title))
+    named = xxhash.xxh3_128_digest(" ".join(sorted(slug)) + "|" + " ".join(sorted(title))) if own else None
+    return None, weak + apart, xxhash.xxh3_128_digest(masked), named
 
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", url: str = "url") -> DataFrame:
     """(key, kind): documents whose content, or a part of it, is residue.
 
-    kind is placeholder, filler, error, script or evidence (a weak hit confirmed by its host). Null,
-    empty, blank and very short texts are no case; a null url only takes away the slug and host
-    evidence. Repeated rows give repeated results; other columns are not read; an empty table gives
-    an empty one. Texts are read whole, once; what the detectors found is written to the shared
-    folder, and only weak hits take part in a join, on salted digests.
+    kind is placeholder, filler, error, script, or evidence: ENOUGH of what the host's other responses,
+    the address and the title tell. Null, empty, blank and very short texts are no case; a null url only
+    takes away the slug and the host's evidence. Repeated rows give repeated results; other columns are
+    not read; an empty table gives an empty one. Texts are read whole, once; what they give is written to
+    the shared folder. Responses are counted by host and 128-bit key, combined before the shuffle; counts
+    go back to the documents in SALTS parts, so a body that a host serves for a third of its pages is no
+    single task.
     """
 
-    @F.pandas_udf("struct<kind: string, weak: double, digest: bigint, apart: boolean>")
+    @F.pandas_udf("struct<kind: string, points: int, response: binary, named: binary>")
     def detect(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, urls in batches:
-            yield pd.DataFrame(
-                [inspect(t, u) for t, u in zip(texts.tolist(), urls.tolist())],
-                columns=["kind", "weak", "digest", "apart"],
-            ).astype({"weak": "float64", "digest": "int64", "apart": "bool"})
-
-    seen = documents.select(F.col(key).alias("__key"), detect(F.col(text), F.col(url)).alias("d"),
-                            F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z]+://([^/?#]+)", 1)).alias("host"))
-    seen = seen.where(F.col("d.kind").isNotNull() | (F.col("d.digest") != 0)).select("__key", "host", "d.*")
+            found = [inspect(t, u) for t, u in zip(texts.tolist(), urls.tolist())]
+            yield pd.DataFrame(found, columns=["kind", "points", "response", "named"]).astype({"points": "int32"})
+
+    host = F.nullif(F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z]+://([^/?#]+)", 1)), F.lit(""))
+    seen = documents.select(F.col(key).alias("__key"), host.alias("host"), detect(F.col(text), F.col(url)).alias("d"))
+    seen = seen.where("d.kind is not null or d.response is not null").select("__key", "host", "d.*")
     seen = materialise(seen, "residue")
-    strong = seen.where(F.col("kind").isNotNull()).select("__key", "kind")
-    served = seen.where(F.col("digest") != 0).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SERVED)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    weak = seen.where(F.col("kind").isNull() & (F.col("weak") > 0)).withColumn(
-        "salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int")
-    )
-    judged = (
-        weak.join(served.withColumn("salt", salts), ["digest", "salt"], "left")
-        .where(F.col("weak") + F.when(F.col("n").isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("apart"), 0.3).otherwise(0.0) >= 0.9)
-        .select("__key", F.lit("evidence").alias("kind"))
-    )
-    return strong.unionByName(judged).withColumnRenamed("__key", key)
+    hit = seen.where("kind is not null").select("__key", "kind")
+    # only documents with a point of their own can reach ENOUGH
+    asked = seen.where("kind is null and host is not null and points > 0")
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
+    served = seen.where("kind is null and host is not null").groupBy("host", "response", "named").agg(F.count(F.lit(1)).alias("n"))
+    served = served.groupBy("host", "response").agg(F.sum("n").alias("n"), F.count("named").alias("names")).where(F.col("n") >= SERVED)
+    served = served.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    points = F.col("points") + 1 + (F.col("names") >= SERVED).cast("int")
+    judged = asked.join(served, ["host", "response", "salt"]).where(points >= ENOUGH).select("__key", F.lit("evidence").alias("kind"))
+    return hit.unionByName(judged).withColumnRenamed("__key", key)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,3 +225,8 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without residue, by id and source."""
     documents = table(spark, sf_dir, "documents")
     return documents.select("doc_id", "source").join(find_residue(documents).select("doc_id"), "doc_id", "left_anti")
+
+
+def p7_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents found by kind: what the detectors find, and what only the hosts' evidence does."""
+    return find_residue(table(spark, sf_dir, "documents")).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))

@@ -24,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_shares": p6_mixing.p6_shares,
     "p7_found": p7_residue.p7_found,
     "p7_clean": p7_residue.p7_clean,
+    "p7_kinds": p7_residue.p7_kinds,
 }
 SQL: dict[str, str] = {}

@@ -51,3 +51,21 @@ UNSCREENED = [
 @pytest.mark.parametrize("text", UNSCREENED)
 def test_every_line_meets_the_detectors(text):
     assert P.inspect(text, None)[0]
+
+
+def test_host_evidence_needs_no_keyword(spark):
+    # one host answers every address with the same words; the other host's copies of an article keep their title
+    topics = "garden kitchen harbour village mountain forest river castle".split()
+    empty = "Welcome back, dear visitor of our lovely place"
+    rows = [(i, empty, f"https://a.example/{t}-walking-guide/{i}") for i, t in enumerate(topics)]
+    rows += [(20 + i, f"Old {t} walks\n" + empty, f"https://b.example/{i}") for i, t in enumerate(topics)]
+    rows += [(40 + i, "Mill museum\nThe mill shows tools.", f"https://c.example/{i}") for i in range(8)]
+    rows += [(60 + i, f"A {t} stands by the water", f"https://d.example/the-{t}-page") for i, t in enumerate(topics)]
+    rows += [(80 + i, empty, None) for i in range(5)] + [(90, empty, "https://e.example/garden-walking-guide")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, url string")
+    assert {r["doc_id"] for r in P.find_residue(df).collect()} == {*range(8), *range(20, 28)}
+
+
+def test_long_bodies_of_few_words():
+    assert P.inspect("nothing to see on this page " * 400, "https://a.example/garden-walks")[2] is not None
+    assert P.inspect(" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)), None)[2] is None
