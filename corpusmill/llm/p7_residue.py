@@ -79,7 +79,7 @@ SCRIPT = re.compile(
 EXPLAINS = re.compile(
     r"\b(?:in a template|markers?|such as|the words?|the phrase|the term|swapped|replaced by|expands|generic type|the set|print\(|"
     r"format strings?|status codes?|tells the|once|used to|should still|said|says|wrote|explain\w*|means|meant|stands for|called|known as|"
-    r"article|lecture|how to|for example|history of|designers?|depends? on)\b|print\("
+    r"(?:article|lecture|chapter) (?:on|about)|how to|for example|history of|designers?|depends? on)\b|print\("
 )
 WEAK = re.compile(
     r"\b(?:error|unavailable|forbidden|not found|denied|expired|blocked|disabled|robot|retry|reload|redirect\w*|unsupported|"

@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_report": p1_pairs.p1_report,
     "p2_found": p2_overlap.p2_found,
     "p2_report": p2_overlap.p2_report,
+    "p2_classes": p2_overlap.p2_classes,
     "p3_found": p3_leaks.p3_found,
     "p3_items": p3_leaks.p3_items,
     "p4_found": p4_grammar.p4_found,
