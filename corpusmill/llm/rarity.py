@@ -18,8 +18,8 @@ from corpusmill.llm.words import fold, words
 #: bytes whatever the number of texts; with more texts than buckets can tell apart only the rarest words
 #: look less rare than they are.
 BITS, BLOCK = 22, 14
-#: Nats of rarity from which a word is informative.
-INFORMATIVE = 2.5
+#: Nats of rarity from which a word is informative, and that a word which no text has is given at least.
+INFORMATIVE, UNSEEN = 2.5, 8.5
 #: Steps of a stored count: code = STEPS log2(count + 1), so a count is kept to about a tenth.
 STEPS = 5
 VALUES = np.exp2(np.arange(256) / STEPS) - 1
@@ -54,8 +54,9 @@ class Rarity:
         if found is None:
             if len(self.memory) > 500_000:
                 self.memory.clear()
-            count = max(1.0, VALUES[self.ones[bucket(word)]])
-            found = self.memory[word] = max(0.0, math.log((self.texts + 1) / count))
+            count = VALUES[self.ones[bucket(word)]]
+            nats = math.log((self.texts + 1) / max(1.0, count))
+            found = self.memory[word] = max(0.0 if count else UNSEEN, nats)
         return found
 
     def beyond(self, word: str, after: str) -> float:
