@@ -1,170 +1,223 @@
 """Problem 6: mixing sources to target weights.
 
 Method: the documents of a source, in pseudorandom order, form one stream of tokens that is cut into
-blocks of fixed length. A mix has as many slots as its scarcest source allows; each source owns its
-share of them. A pseudorandom permutation spreads the slots over output shards, so a shard's source
-counts are a multinomial draw whose totals are fixed. The slots of a source go through permutations of
-its block indices, one after the other, so a block is used at most max_repeats times. Blocks are then
-joined by index with the pieces of documents in them.
+blocks of fixed length; the last block of a source may be shorter. A mix has as many tokens as its
+scarcest source allows; each source owns its share of them, as slots for blocks. The counts of sources in
+each output shard are a multinomial draw given the totals, so the totals are met. A source's slots go
+through pseudorandom permutations of its block indices, a new one each round, so a block is used at most
+max_repeats times. Blocks are then joined by index with the pieces of documents in them.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusmill.llm.p5_encode import token_counts
 from corpusmill.plans.layout import materialise, table
 
-#: Block lengths in tokens: the largest that still gives a mix WANTED blocks is taken.
-LENGTHS, WANTED = (512, 256, 128, 64, 32, 16), 4000
-#: Parts of a source's stream over which offsets are added up; rows of a part are ordered in one task.
-PARTS = 1024
+#: Tokens of a block. What a source reaches differs from its target by a block at most.
+LENGTH = 128
+#: Documents of a source that one task puts in order; a source has as many parts as it needs.
+PART_ROWS = 200_000
 #: Slots of an output shard.
 SHARD = 1024
-#: Slots made by one row before they are spread.
-RUN = 4096
 
 
-def permutation(n: int, name: str) -> tuple[int, int]:
-    """Factor and shift of a pseudorandom permutation k -> (factor k + shift) mod n of [0, n)."""
-    n = max(n, 1)
-    factor = (zlib.crc32(name.encode()) % n) | 1
-    while math.gcd(factor, n) != 1:
-        factor += 2 if n % 2 == 0 else 1
-    return factor, zlib.crc32(f"{name}+".encode()) % n
+# ---------------------------------------------------------------- permutations
+def mixed(x: np.ndarray, key: int) -> np.ndarray:
+    """Numbers scrambled by a key."""
+    with np.errstate(over="ignore"):
+        x = (x ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
 
 
-def source_streams(documents: DataFrame, targets: DataFrame, **tokens: str) -> DataFrame:
+def permute(k: np.ndarray, n: int, name: str) -> np.ndarray:
+    """The places of k under a pseudorandom permutation of [0, n), which the name chooses.
+
+    A Feistel network of four rounds over the least even number of bits that hold n; what falls outside
+    goes through it again.
+    """
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    low = np.uint64((1 << half) - 1)
+    keys = [zlib.crc32(f"{name} {r}".encode()) | zlib.crc32(f"{r} {name}".encode()) << 32 for r in range(4)]
+    out = k.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> np.uint64(half), out[todo] & low
+        for key in keys:
+            left, right = right, left ^ (mixed(right, key) & low)
+        out[todo] = left << np.uint64(half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+# ---------------------------------------------------------------- streams
+def source_streams(documents: DataFrame, targets: DataFrame, part_rows: int = PART_ROWS, **tokens: str) -> DataFrame:
     """(source, doc_id, n_tokens, start): where each document stands in its source's stream.
 
-    Only documents of listed sources are counted. Offsets are added up in two steps, within PARTS
-    parts of a source and over the parts, so that no task orders a whole source.
+    Only documents of listed sources are counted. Offsets are added up in two steps, within parts of a
+    source and over the parts; the number of parts follows the source's documents, so no task orders
+    more than some `part_rows` of them.
     """
     listed = targets.where("source is not null").select("source").distinct()
     wanted = documents.select("doc_id", "source", "text").join(F.broadcast(listed), "source", "left_semi")  # a list of sources
-    sized = token_counts(wanted, ["doc_id", "source"], **tokens).where("n_tokens > 0")
-    order = F.xxhash64("doc_id", F.lit(6))
-    sized = sized.withColumn("order", order).withColumn("part", F.pmod("order", F.lit(PARTS)).cast("int"))
+    sized = token_counts(wanted, ["doc_id", "source"], **tokens).where("n_tokens > 0").withColumn("order", F.xxhash64("doc_id", F.lit(6)))
     sized = materialise(sized, "mix-sizes")
-    parts = sized.groupBy("source", "part").agg(F.sum("n_tokens").alias("size"))
+    rows = {r["source"]: r["count"] for r in sized.groupBy("source").count().collect()}  # one row a listed source
+    if not rows:
+        return sized.select("source", "doc_id", "n_tokens", F.lit(0).cast("bigint").alias("start"))
+    parts = F.create_map(*[x for s, n in rows.items() for x in (F.lit(s), F.lit(-(-n // part_rows)))])
+    sized = sized.withColumn("part", F.pmod("order", parts[F.col("source")].cast("bigint")))
+    sums = sized.groupBy("source", "part").agg(F.sum("n_tokens").alias("size"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("source", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "part").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("source", "part").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     return (
         sized.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .join(parts, ["source", "part"])
+        .join(sums, ["source", "part"])
         .select("source", "doc_id", "n_tokens", (F.col("offset") + F.col("within")).alias("start"))
     )
 
 
-PLAN = T.StructType(
-    [
-        T.StructField("mix_id", T.StringType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("target_share", T.DoubleType()),
-        T.StructField("max_repeats", T.IntegerType()),
-        T.StructField("length", T.IntegerType()),
-        T.StructField("blocks", T.LongType()),
-        T.StructField("first_slot", T.LongType()),
-        T.StructField("slots", T.LongType()),
-        T.StructField("mix_slots", T.LongType()),
-        T.StructField("factor", T.LongType()),
-        T.StructField("shift", T.LongType()),
-        T.StructField("mix_factor", T.LongType()),
-        T.StructField("mix_shift", T.LongType()),
-    ]
-)
-
-
-def plan_mixes(targets: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """A row for each mix and source: block length, blocks, slots and permutations.
-
-    Rows with a null mix, source, share or repeats, or a share or repeats not above 0, get no slots; of
-    a source listed twice in a mix the shares add up and the smaller number of repeats holds. Sources
-    without documents get none either, and the others keep their shares in proportion.
+# ---------------------------------------------------------------- plans
+def read_targets(targets: DataFrame) -> dict[str, dict[str, tuple[float, int]]]:
+    """mix -> source -> (share, repeats) of the small table of targets.
+
+    Rows with a null mix, source, share or repeats don't count; of a source listed twice in a mix the
+    shares add up and the smaller number of repeats holds.
     """
-    mixes: dict[str, dict[str, list]] = {}
-    for r in targets.select("mix_id", "source", "target_share", "max_repeats").collect():  # the small table of targets
+    mixes: dict[str, dict[str, tuple[float, int]]] = {}
+    for r in targets.select("mix_id", "source", "target_share", "max_repeats").collect():
         if None in (r["mix_id"], r["source"], r["target_share"], r["max_repeats"]):
             continue
-        row = mixes.setdefault(r["mix_id"], {}).setdefault(r["source"], [0.0, r["max_repeats"]])
-        row[0] += float(r["target_share"])
-        row[1] = min(row[1], r["max_repeats"])
-    out = []
-    for mix, wanted in sorted(mixes.items()):
-        there = {s: (w, r) for s, (w, r) in wanted.items() if w > 0 and r > 0 and sizes.get(s, 0) >= LENGTHS[-1]}
-        total = sum(w for w, _ in there.values())
-        tokens = min((r * sizes[s] * total / w for s, (w, r) in there.items()), default=0.0)
-        length = next((n for n in LENGTHS if tokens / n >= WANTED), LENGTHS[-1])
-        there = {s: x for s, x in there.items() if sizes[s] >= length}
-        # whole blocks only; their number bounds the slots once more
-        total = sum(w for w, _ in there.values())
-        slots = int(min((r * (sizes[s] // length) * total / w for s, (w, r) in there.items()), default=0))
-        exact = {s: slots * w / total for s, (w, _) in there.items()}
-        own = {s: int(x) for s, x in exact.items()}
-        for s in sorted(exact, key=lambda s: own[s] - exact[s])[: slots - sum(own.values())]:
-            if own[s] < there[s][1] * (sizes[s] // length):
-                own[s] += 1
-        all_slots, first = sum(own.values()), 0
-        mix_factor, mix_shift = permutation(all_slots, f"mix {mix}")
-        for s, (w, r) in sorted(wanted.items()):
-            blocks = sizes.get(s, 0) // length
-            factor, shift = permutation(blocks, f"source {mix} {s}")
-            out.append((mix, s, w, r, length, blocks, first, own.get(s, 0), all_slots, factor, shift, mix_factor, mix_shift))
-            first += own.get(s, 0)
-    return targets.sparkSession.createDataFrame(out, PLAN)
-
-
-def affine(k: Column, factor: str, shift: str, n: str) -> Column:
-    """(factor k + shift) mod n, in decimals so that large products don't overflow."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    return F.pmod(wide(k) * wide(F.col(factor)) + F.col(shift), F.col(n).cast("decimal(38,0)")).cast("bigint")
-
-
-def draw_slots(plan: DataFrame) -> DataFrame:
-    """(mix_id, source, length, block, shard, place): every slot with its block and output place."""
-    runs = plan.where("slots > 0").withColumn(
-        "run", F.explode(F.sequence(F.lit(0), F.expr(f"cast((slots - 1) div {RUN} as int)")))
-    )
-    # the runs are spread before they are expanded, so that one large source is no single task
-    parts = plan.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    runs = runs.repartition(int(parts), "mix_id", "source", "run")
-    last = F.least(F.col("slots") - 1, (F.col("run").cast("bigint") + 1) * RUN - 1)
-    slots = runs.withColumn("k", F.explode(F.sequence(F.col("run").cast("bigint") * RUN, last)))
-    place = affine(F.col("first_slot") + F.col("k"), "mix_factor", "mix_shift", "mix_slots")
-    # each round through the blocks goes in another order
-    turn = F.expr("pmod(k, blocks) + (k div blocks) * 7919")
-    slots = slots.withColumn("block", affine(turn, "factor", "shift", "blocks")).withColumn("place", place)
-    return slots.select(
-        "mix_id", "source", "length", "block", F.expr(f"place div {SHARD}").alias("shard"), F.expr(f"place % {SHARD}").alias("place")
-    )
+        share, repeats = mixes.setdefault(r["mix_id"], {}).get(r["source"], (0.0, r["max_repeats"]))
+        mixes[r["mix_id"]][r["source"]] = share + float(r["target_share"]), min(repeats, r["max_repeats"])
+    return mixes
 
 
-def cut_pieces(streams: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, length, block, doc_id, n_tokens, from_token, to_token): parts of documents by block."""
-    lengths = plan.where("slots > 0").select("source", "length").distinct()  # as small as the targets
-    inside = streams.join(F.broadcast(lengths), "source")
-    first, last = F.expr("start div length"), F.expr("(start + n_tokens - 1) div length")
-    pieces = inside.withColumn("block", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("block") * F.col("length") - F.col("start"), F.lit(0))
-    high = F.least((F.col("block") + 1) * F.col("length") - F.col("start"), F.col("n_tokens"))
-    return pieces.select("source", "length", "block", "doc_id", "n_tokens", low.alias("from_token"), high.alias("to_token"))
+def plan_mixes(mixes: dict[str, dict[str, tuple[float, int]]], sizes: dict[str, int], length: int = LENGTH) -> dict[str, dict[str, tuple[int, int]]]:
+    """mix -> source -> (slots, blocks).
+
+    Sources without tokens, and those whose share or repeats aren't above 0, get no slots, and the others
+    keep their shares in proportion; every other source gets one at least, however small it is.
+    """
+    plan = {}
+    for mix, wanted in sorted(mixes.items()):
+        there = {s: x for s, x in sorted(wanted.items()) if x[0] > 0 and x[1] > 0 and sizes.get(s, 0) > 0}
+        tokens = min((r * sizes[s] / w for s, (w, r) in there.items()), default=0.0)  # of a share of 1
+        plan[mix] = {}
+        for s, (w, r) in there.items():
+            blocks = -(-sizes[s] // length)
+            wanted_blocks = w * tokens * blocks / sizes[s]
+            plan[mix][s] = min(max(1, round(wanted_blocks)), r * blocks), blocks
+    return plan
 
 
-def prepare(documents: DataFrame, targets: DataFrame, **tokens: str) -> tuple[DataFrame, DataFrame]:
+@lru_cache(maxsize=4096)
+def split_counts(counts: tuple[int, ...], take: int, name: str) -> tuple[int, ...]:
+    """How many of each source are among `take` slots drawn without replacement from `counts`.
+
+    Beyond a thousand million slots a draw is rounded from the normal law that it follows there.
+    """
+    rng = np.random.default_rng([zlib.crc32(name.encode()), zlib.crc32(name[::-1].encode())])
+    left, rest, out = sum(counts), take, []
+    for n in counts:
+        left -= n
+        if rest == 0 or n == 0:
+            got = 0
+        elif left == 0:
+            got = rest
+        elif n + left < 10**9:
+            got = int(rng.hypergeometric(n, left, rest))
+        else:
+            p, all_ = n / (n + left), n + left
+            got = round(rng.normal(rest * p, (rest * p * (1 - p) * (all_ - rest) / (all_ - 1)) ** 0.5))
+            got = min(max(got, rest - left, 0), n, rest)
+        out.append(got)
+        rest -= got
+    return tuple(out)
+
+
+def shard_counts(counts: tuple[int, ...], shards: int, shard: int, name: str) -> tuple[list[int], list[int]]:
+    """(slots of each source in earlier shards, slots of each in this one).
+
+    The slots are halved down to the shard by draws without replacement: the law of independent
+    multinomial shards given their totals. No task needs the shards before it.
+    """
+    before, first, last = [0] * len(counts), 0, shards
+    while last - first > 1:
+        middle = (first + last) // 2
+        low = split_counts(counts, min(sum(counts), (middle - first) * SHARD), f"{name} {first} {last}")
+        if shard < middle:
+            counts, last = low, middle
+        else:
+            before = [a + b for a, b in zip(before, low)]
+            counts, first = tuple(a - b for a, b in zip(counts, low)), middle
+    return before, list(counts)
+
+
+def draw_slots(spark: SparkSession, plan: dict[str, dict[str, tuple[int, int]]]) -> DataFrame:
+    """(mix_id, shard, place, source, block): every slot with its block and place; shards are drawn by themselves."""
+    todo = []
+    for mix, sources in plan.items():
+        shards = -(-sum(n for n, _ in sources.values()) // SHARD)
+        if shards:
+            todo.append(spark.range(shards).select(F.lit(mix).alias("mix_id"), F.col("id").alias("shard")))
+    schema = "mix_id string, shard bigint, place int, source string, block bigint"
+    if not todo:
+        return spark.createDataFrame([], schema)
+    rows = todo[0]
+    for more in todo[1:]:
+        rows = rows.unionByName(more)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for mix, shard in batch.itertuples(index=False):
+                sources = plan[mix]
+                counts = tuple(n for n, _ in sources.values())
+                shards = -(-sum(counts) // SHARD)
+                before, here = shard_counts(counts, shards, shard, mix)
+                places = permute(np.arange(sum(here)), sum(here), f"{mix} shard {shard}")
+                out, done = [], 0
+                for (source, (_, blocks)), first, n in zip(sources.items(), before, here):
+                    k = np.arange(first, first + n)
+                    block = np.empty(n, np.int64)
+                    for turn in np.unique(k // blocks):  # a new permutation each round through the blocks
+                        now = k // blocks == turn
+                        block[now] = permute(k[now] % blocks, blocks, f"{mix} {source} round {turn}")
+                    out.append(pd.DataFrame({"mix_id": mix, "shard": shard, "place": places[done : done + n].astype("int32"), "source": source, "block": block}))
+                    done += n
+                yield pd.concat(out)
+
+    return rows.mapInPandas(draw, schema)
+
+
+def cut_pieces(streams: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(source, block, doc_id, n_tokens, from_token, to_token): parts of documents by block."""
+    first, last = F.expr(f"start div {length}"), F.expr(f"(start + n_tokens - 1) div {length}")
+    pieces = streams.withColumn("block", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("block") * length - F.col("start"), F.lit(0))
+    high = F.least((F.col("block") + 1) * length - F.col("start"), F.col("n_tokens"))
+    return pieces.select("source", "block", "doc_id", "n_tokens", low.alias("from_token"), high.alias("to_token"))
+
+
+def prepare(documents: DataFrame, targets: DataFrame, length: int, **tokens: str) -> tuple[DataFrame, dict]:
     """Streams (written) and plan."""
     streams = materialise(source_streams(documents, targets, **tokens), "mix-streams")
     sizes = {r["source"]: r["n"] for r in streams.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    return streams, plan_mixes(targets, sizes)
+    return streams, plan_mixes(read_targets(targets), sizes, length)
 
 
-def mix_selection(documents: DataFrame, targets: DataFrame, **tokens: str) -> DataFrame:
+def mix_selection(documents: DataFrame, targets: DataFrame, length: int = LENGTH, **tokens: str) -> DataFrame:
     """(mix_id, source, doc_id, n_tokens, copies, tokens_used): the documents that each mix uses.
 
     copies is how often a document's most used token occurs, at most max_repeats; tokens_used counts
@@ -172,33 +225,33 @@ def mix_selection(documents: DataFrame, targets: DataFrame, **tokens: str) -> Da
     never used; texts repeated under other ids count as documents of their own; clashing further
     columns are not read. Empty documents or targets give an empty selection.
     """
-    streams, plan = prepare(documents, targets, **tokens)
-    uses = draw_slots(plan).groupBy("mix_id", "source", "length", "block").agg(F.count(F.lit(1)).alias("uses"))
-    pieces = cut_pieces(streams, plan)
+    streams, plan = prepare(documents, targets, length, **tokens)
+    uses = draw_slots(documents.sparkSession, plan).groupBy("mix_id", "source", "block").agg(F.count(F.lit(1)).alias("uses"))
     return (
-        pieces.join(uses, ["source", "length", "block"])
+        cut_pieces(streams, length)
+        .join(uses, ["source", "block"])
         .groupBy("mix_id", "source", "doc_id", "n_tokens")
         .agg(F.max("uses").alias("copies"), F.sum(F.col("uses") * (F.col("to_token") - F.col("from_token"))).alias("tokens_used"))
     )
 
 
-def mix_blocks(documents: DataFrame, targets: DataFrame, **tokens: str) -> DataFrame:
+def mix_blocks(documents: DataFrame, targets: DataFrame, length: int = LENGTH, **tokens: str) -> DataFrame:
     """(mix_id, shard, place, source, block, doc_id, from_token, to_token): the mixes block by block."""
-    streams, plan = prepare(documents, targets, **tokens)
+    streams, plan = prepare(documents, targets, length, **tokens)
     return (
-        draw_slots(plan)
-        .join(cut_pieces(streams, plan), ["source", "length", "block"])
+        draw_slots(documents.sparkSession, plan)
+        .join(cut_pieces(streams, length), ["source", "block"])
         .select("mix_id", "shard", "place", "source", "block", "doc_id", "from_token", "to_token")
     )
 
 
-def mix_shares(documents: DataFrame, targets: DataFrame, **tokens: str) -> DataFrame:
+def mix_shares(documents: DataFrame, targets: DataFrame, length: int = LENGTH, **tokens: str) -> DataFrame:
     """(mix_id, source, target_share, max_repeats, documents, most_copies, tokens_used, actual_share):
     what each source of a mix reaches; a source that is not there reaches 0."""
-    used = mix_selection(documents, targets, **tokens).groupBy("mix_id", "source").agg(
+    used = mix_selection(documents, targets, length, **tokens).groupBy("mix_id", "source").agg(
         F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"), F.sum("tokens_used").alias("tokens_used")
     )
-    joined = targets.select("mix_id", "source", "target_share", "max_repeats").join(F.broadcast(used), ["mix_id", "source"], "left")
+    joined = targets.select("mix_id", "source", "target_share", "max_repeats").join(F.broadcast(used), ["mix_id", "source"], "left")  # a row a target
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     joined = joined.select("mix_id", "source", "target_share", "max_repeats", zero("documents"), zero("most_copies"), zero("tokens_used"))
     total = F.sum("tokens_used").over(Window.partitionBy("mix_id"))
@@ -207,12 +260,15 @@ def mix_shares(documents: DataFrame, targets: DataFrame, **tokens: str) -> DataF
 
 
 def p6_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that each mix uses."""
     return mix_selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
 def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixes block by block, by output shard."""
     return mix_blocks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that sources really reach."""
     return mix_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
