@@ -1,12 +1,15 @@
 """Problem 4: abusive, hateful and sexual content, by a weighted finite-state pattern grammar.
 
-Four transducers are composed over each clause of a text:
+Each clause of a text goes through machines that are composed:
 
 1. spelling: look-alikes, leet digits, stars, spaced-out and stretched letters become plain words;
-2. lexicon: each word becomes one symbol of a small alphabet of classes;
-3. patterns: weighted regular expressions over the symbols (insult at a target, threat, curse,
-   degraded group, call for harm, sexual act or offer) give a clause its score by category;
-4. context: negation, reported speech and teaching contexts scale a clause's score down.
+2. lexicon: each word becomes one symbol of a small alphabet of classes; names of groups that only these
+   texts have are learned from labelled samples;
+3. negation: a transducer that takes insults out of the reach of "is not";
+4. reported speech and teaching: transducers that scale a clause down if it speaks about words, or
+   about medicine, art and lessons without addressing the reader;
+5. rules: a weighted acceptor of insults at a target, threats, curses, degraded groups, calls for harm,
+   sexual acts and offers, built from named machines; it gives a clause its score by category.
 
 Isolated words score nothing; a clause must be matched.
 """
@@ -14,12 +17,14 @@ Isolated words score nothing; a clause must be matched.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.machines import Acceptor, Composition, Transducer, run
 from corpusmill.llm.words import fold
 from corpusmill.plans.layout import table
 
@@ -54,11 +59,12 @@ CLASSES: dict[str, str] = {
     "K": "kill break burn beat beaten beating hang hanged sink sunk sinking freeze shoot stab strangle smash crush punch "
     "regret hurt destroy wiped driven exterminated gassed drowned shot lynched deported whipped slit murder",
     "R": "out back border fence away boat rid eradicated",
-    "E": "breed hate trust hire steal lie marries marry ruined deserve belong wants table blood pray key lock cost",
-    # groups: general ones, and the peoples of invented countries
+    "E": "breed hate trust hire steal lie marries marry ruined deserve belong wants table blood pray key cost",
+    # to move or shut people away
+    "O": "lock drive ship throw drag kick chase",
+    # groups of people; others are learned, see learn_groups
     "G": "immigrant immigrants foreigner foreigners refugee refugees women woman men cripples cripple race jews muslims "
-    "christians blacks whites gays lesbians arabs gypsies migrants natives elderly disabled dravonians dravonian "
-    "merrowfolk tambrics tambric yelvans yelvan korrish ulmedes ulmede ostari quellish believers atheists",
+    "christians blacks whites gays lesbians arabs gypsies migrants natives elderly disabled believers atheists",
     # sexual: explicit nouns and adjectives; body and undressing; acts
     "X": "sex porn striptease erotic sexual horny orgasm blowjob masturbate nude nudes naked intercourse genitals penis "
     "vagina pornographic xxx fucking undress thrusting thrust",
@@ -79,109 +85,113 @@ CLASSES |= {
     "mother legs", "o": "only", "p": "people person", "k": "keep", "t": "too", "v": "loves love wanted", "d": "disgust "
     "sick sickens despise", "c": "children school", "r": "real", "u": "lol omg lmao", "e": "and or", "x": "phone oral hot "
     "favours pictures videos massage cam", "z": "send show tell come filmed want", "n": "someone somebody", "a": "what how",
-    "i": "in into inside", "s": "so very really", "y": "off down open slowly",
+    "i": "in into inside", "s": "so very really", "y": "off down open slowly", "j": "of", "q": "said says",
+    "P": "peace luck applause style happily",
 }
 
-#: Weighted patterns over symbols; _ is any other word and # a number. Spaces are for reading.
-PATTERNS: list[tuple[str, float, str]] = [
-    # abuse: an insult aimed at the reader or a named person
-    ("abuse", 2.0, r"Y s? B? N? D? [A_s]{0,2} (?:I|[A]J|J)"),
-    ("abuse", 2.0, r"(?:a|u|D) D? [A_]{0,3} [IJ] [_D]{0,3} Y B"),
-    ("abuse", 2.0, r"Y [A_]{0,2} (?:I|AJ)"),
-    ("abuse", 1.6, r"F [A_DY]{0,4} [IJ]"),
-    ("abuse", 1.6, r"[IJ] [A_]{0,2} Y .{0,4} A"),
-    ("abuse", 1.5, r"o D A? [A_]{0,3} [IJ] _{0,2} W"),
-    ("abuse", 1.5, r"[_HD] B D [A_]{0,3} [IJ] [_H]{0,3} W D? K"),
-    ("abuse", 1.5, r"Y _ (?:i _)? _? D [A_]{0,3} (?:I|A_{0,2}J)"),
-    ("abuse", 1.5, r"u .{0,3} D [A_]{0,3} [IJ]"),
-    ("abuse", 1.5, r"a D [A_]{0,3} I"),
-    ("abuse", 1.4, r"^ g? F? [A_]{0,2} I $"),
-    ("abuse", 1.4, r"^ g F A"),
-    ("abuse", 1.4, r"p l Y W N"),
-    ("abuse", 1.4, r"F Y [A_]{0,2} m"),
-    ("abuse", 1.4, r"Y [A_]{0,2} m .{0,6} [dA]"),
-    ("abuse", 1.4, r"Y A m"),
-    ("abuse", 1.2, r"B [D_] A .{0,3} Y m"),
+#: Machines that rules are built from.
+NAMED = {
+    "insult": "[A_]{0,3} I | A{1,3} [_j]{0,2} J",  # a strong insult, or an animal with an adjective
+    "you_are": "Y s? B? D?",
+    "group": "[Dpc_]? G | D [A_]? G",
+    "low": "[DAs_]{0,3} [AJ]",
+    "harm": "K Y | Y K | K [_D]{0,1} Y [A_]{0,2} [m_]",  # somebody harms the reader
+    "ought": "W _? B .{0,5} K",
+    "body": "S",
+}
+#: Weighted rules over symbols; _ is any other word and # a number.
+RULES: list[tuple[str, float, str]] = [
+    # abuse: an insult aimed at the reader or at a person
+    ("abuse", 2.0, "<you_are> [A_s]{0,2} (?: I | A [_j]{0,2} J | J)"),
+    ("abuse", 2.0, "[au] D? <insult> [_Dj]{0,3} Y B"),
+    ("abuse", 1.5, "[au] .{0,3} D [_]{0,1} <insult>"),
+    ("abuse", 1.5, "a D <insult>"),
+    ("abuse", 1.6, "F [ADY_]{0,4} [IJ]"),
+    ("abuse", 1.4, "^ g? F? <insult> $"),
+    ("abuse", 1.4, "^ g F A"),
+    ("abuse", 1.6, "[IJ] [A_]{0,2} Y .{0,4} A"),
+    ("abuse", 1.5, "o D <insult> _{0,2} W"),
+    ("abuse", 1.5, "[_HD] B D <insult> [_H]{0,3} W D? K"),
+    ("abuse", 1.5, "Y _ (?:i _)? _? D <insult>"),
+    ("abuse", 1.4, "p l Y W N"),
+    ("abuse", 1.6, "a _ [D_] p B D A"),
+    # abuse: looks and mind of the reader
+    ("abuse", 1.4, "Y A m"),
+    ("abuse", 1.4, "F Y [A_]{0,2} m"),
+    ("abuse", 1.4, "Y [A_]{0,2} m .{0,6} [dA]"),
+    ("abuse", 1.6, "Y _ D m j"),
+    ("abuse", 1.2, "B [D_] A .{0,3} Y m"),
     # abuse: threats and curses
-    ("abuse", 2.0, r"M W _ .{0,10} Y .{0,5} (?:K|b)"),
-    ("abuse", 2.0, r"M W? .{0,5} Y .{0,5} (?:K|b)"),
-    ("abuse", 2.0, r"M W? K Y"),
-    ("abuse", 2.0, r"(?:z|k) .{0,4} M W? K Y"),
-    ("abuse", 1.8, r"M h Y C"),
-    ("abuse", 1.8, r"g C Y"),
-    ("abuse", 1.8, r"C Y"),
-    ("abuse", 1.8, r"w D f .{0,3} C"),
-    ("abuse", 1.6, r"F R .{0,4} Y"),
-    ("abuse", 1.6, r"M C _ Y"),
-    ("abuse", 1.6, r"N v Y"),
-    ("abuse", 1.6, r"Y d M"),
-    ("abuse", 1.6, r"Y _ D m _ D"),
-    ("abuse", 1.6, r"a _ [D_] p B D A"),
-    ("abuse", 1.5, r"_ Y m _ Y"),
+    ("abuse", 2.0, "M W [^NMQ]{0,14} <harm>"),
+    ("abuse", 2.0, "M K Y"),
+    ("abuse", 1.8, "M h Y C [^P]{0,3} $ | M h Y C [^Pi] | M h Y C i [^P]"),
+    ("abuse", 1.8, "g? C Y"),
+    ("abuse", 1.8, "w D f .{0,3} C"),
+    ("abuse", 1.6, "F R .{0,4} Y"),
+    ("abuse", 1.6, "M C _ Y"),
+    ("abuse", 1.6, "N v Y"),
+    ("abuse", 1.6, "Y d M"),
     # hate: a group is degraded
-    ("hate", 2.0, r"(?:G|^D_|D_) .{0,4} B [DAs_]{0,3} J"),
-    ("hate", 2.0, r"[HD] (?:c|p|G|_)? .{0,2} B [DAs_]{0,2} (?:J|A) (?:J|e|$)"),
-    ("hate", 2.0, r"H c B [AJ]"),
-    ("hate", 2.0, r"G B t A"),
-    ("hate", 2.0, r"G B [DAs_]{0,2} A"),
-    ("hate", 2.0, r"_? E l J"),
-    ("hate", 1.8, r"D D? [_G] B A (?:e A)?"),
-    ("hate", 1.8, r"N (?:W )?E D? [_G] .{0,4} (?:E|A)"),
-    ("hate", 1.8, r"N .{0,6} E i? _? [_G]? H E B A"),
-    ("hate", 1.8, r"H D? E e E"),
-    ("hate", 1.6, r"N E D [_G]"),
-    ("hate", 1.6, r"k D [_G] R"),
-    ("hate", 1.6, r"(?:G|_) N? .{0,2} N E .{0,5} H E .{0,2} R"),
-    ("hate", 1.6, r"E D _? D? [_G] D _ B E"),
-    ("hate", 1.6, r"E D G i .{0,8} R D E"),
-        ("hate", 1.6, r"G .{0,3} E _ .{0,3} H K"),
+    ("hate", 2.0, "<group> .{0,4} B [DAs_]{0,3} J"),
+    ("hate", 2.0, "^ [D_] .{0,4} B [DAs_]{0,3} J"),
+    ("hate", 2.0, "[HD] [cpG_]? .{0,2} B [DAs_]{0,2} [JA] (?:J|e|$)"),
+    ("hate", 2.0, "G B t? <low>"),
+    ("hate", 2.0, "H c B [AJ]"),
+    ("hate", 2.0, "E l J"),
+    ("hate", 1.8, "D D? [_G] B A (?:e A)"),
+    ("hate", 1.8, "N (?:W )? E D? G .{0,4} [EA]"),
+    ("hate", 1.8, "N E D? [_G] [DH] .{0,2} E"),
+    ("hate", 1.8, "G .{0,6} H E B A"),
+    ("hate", 1.8, "H D? E e E"),
+    ("hate", 1.6, "N E D G"),
+    ("hate", 1.6, "G N? .{0,2} N E .{0,5} H E .{0,2} R"),
+    ("hate", 1.6, "E D [_j]{0,2} D? G .{0,4} E"),
     # hate: a call to harm or remove a group
-    ("hate", 2.0, r"(?:G|p|_) .{0,8} W _? B .{0,5} K"),
-    ("hate", 2.0, r"W .{0,8} (?:G|_) _ B K R"),
-    ("hate", 2.0, r"(?:[GH_]|D_) _ B K R"),
-    ("hate", 1.6, r"n W _ R _ H"),
-    ("hate", 1.6, r"n W g R _ H"),
-    ("hate", 1.6, r"n W (?:g|_) R"),
+    ("hate", 2.0, "[Gp_] .{0,8} <ought>"),
+    ("hate", 2.0, "W .{0,8} [G_] _ B K R"),
+    ("hate", 2.0, "[GH_] _ B K R"),
+    ("hate", 1.6, "[kO] <group> (?:R|i)"),
+    ("hate", 1.6, "G .{0,10} _ H K"),
+    ("hate", 1.6, "n W g? [R_] [R_j]{0,2} H"),
     # sexual: acts, offers and descriptions
-    ("sexual", 2.0, r"S .{0,7} T .{0,5} T"),
-    ("sexual", 2.0, r"T .{0,8} H S"),
-    ("sexual", 2.0, r"H S .{0,3} (?:e .{0,3})? T"),
-    ("sexual", 2.0, r"T .{0,6} H _? S"),
-    ("sexual", 2.0, r"X .{0,3} e .{0,3} T"),
-    ("sexual", 2.0, r"X .{0,8} (?:S|X) "),
-    ("sexual", 2.0, r"B X e .{0,6} (?:X|x)"),
-    ("sexual", 1.8, r"X Y .{0,8} (?:T|S)"),
-    ("sexual", 1.8, r"z M .{0,3} (?:X|x x|x) .{0,14} Y S"),
-    ("sexual", 1.8, r"z .{0,3} M? S .{0,8} T .{0,4} (?:X|x)"),
-    ("sexual", 1.8, r"z .{0,8} Y T .{0,5} S"),
-    ("sexual", 1.8, r"T S .{0,10} z .{0,3} T"),
-    ("sexual", 1.8, r"S B .{0,5} Y .{0,8} T"),
-    ("sexual", 1.8, r"T .{0,4} S y? .{0,10} (?:X|x x)"),
-    ("sexual", 1.8, r"(?:T|H) .{0,3} y? H S e .{0,8} T .{0,6} (?:X|x)"),
-    ("sexual", 1.8, r"(?:z|_) .{0,3} _ X .{0,9} _ D _"),
-    ("sexual", 1.8, r"T y? .{0,4} H S .{0,2} e"),
-    ("sexual", 1.6, r"B _? X .{0,14} X"),
-    ("sexual", 1.8, r"z H X"),
-    ("sexual", 1.6, r"M z _ X Y"),
-]
-#: Contexts: (weight factor, pattern on the clause). A direct address keeps half of the weight.
-CONTEXTS: list[tuple[float, str]] = [
-    (0.15, r"Q"),  # reported speech, words about words
-    (0.15, r"^[^Y]*L[^Y]*$"),  # teaching, medicine, museums, unless the reader is addressed
-    (0.3, r"^Y B N"),  # "you are not a ..."
-    (0.3, r"B N D? A? I"),
+    ("sexual", 2.0, "<body> .{0,7} T .{0,5} T"),
+    ("sexual", 2.0, "T .{0,8} H _? <body>"),
+    ("sexual", 2.0, "H <body> .{0,3} (?:e .{0,3})? T"),
+    ("sexual", 2.0, "X .{0,3} e .{0,3} T"),
+    ("sexual", 2.0, "X .{0,8} [SX]"),
+    ("sexual", 2.0, "B X e .{0,6} [Xx]"),
+    ("sexual", 1.8, "X Y .{0,8} [TS]"),
+    ("sexual", 1.8, "z M .{0,3} (?:X|x) .{0,14} Y <body>"),
+    ("sexual", 1.8, "z .{0,3} M? <body> .{0,8} T .{0,4} [Xx]"),
+    ("sexual", 1.8, "z .{0,8} Y T .{0,5} <body>"),
+    ("sexual", 1.8, "T <body> .{0,10} z .{0,3} T"),
+    ("sexual", 1.8, "<body> B .{0,5} Y .{0,8} T"),
+    ("sexual", 1.8, "T .{0,4} <body> y? .{0,10} (?:X|x x)"),
+    ("sexual", 1.8, "z H _? X"),
+    ("sexual", 1.6, "B _? X .{0,14} X"),
+    ("sexual", 1.6, "M z _ X Y"),
 ]
+#: "is not a ..." puts what follows out of reach: states after a form of be, and after its negation.
+NEGATION = Transducer(
+    {(0, "B"): (1, "*"), (1, "N"): (2, "*"), (1, "B"): (1, "*"), (1, "*"): (0, "*"), (2, "DAs"): (2, "_"), (2, "IJX"): (0, "_"), (2, "*"): (0, "*")}, {}
+)
+#: Words about words scale a clause down; "said" does unless the writer says it.
+REPORTED = Transducer({(0, "Q"): (2, "*"), (0, "q"): (2, "*"), (0, "M"): (1, "*"), (1, "q"): (0, "_"), (1, "Q"): (2, "*"), (1, "*"): (0, "*")}, {2: 0.15})
+#: So do lessons, medicine and art, unless the reader is addressed.
+TEACHING = Transducer({(0, "L"): (1, "*"), (0, "Y"): (2, "*"), (1, "Y"): (2, "*")}, {1: 0.15})
 
 LEET = str.maketrans({"1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "0": "o", "@": "a", "$": "s", "!": "i", "8": "b"})
 TOKEN = re.compile(r"[a-z0-9@$#*!]*[a-z][a-z0-9@$#*!]*(?:'[a-z]+)?|[@$#*!0-9]{2,}|\d+|[.!?;]+(?=\s|$)|\n")
 BREAKS = ".!?;\n"
 SPACED = re.compile(r"(?<![^\W\d_])(?:[a-z0-9@$#*](?:\. ?| )){2,}[a-z0-9@$#*](?![^\W\d_])")
 REPEAT = re.compile(r"(.)\1+")
+
+
 class Lexicon:
     """Transducers 1 and 2: a word as spelt -> its class symbol, with a memory of words seen."""
 
-    def __init__(self) -> None:
-        self.classes = {w: s for s, ws in CLASSES.items() for w in ws.split()}
+    def __init__(self, groups: frozenset[str] = frozenset()) -> None:
+        self.classes = {g: "G" for g in groups} | {w: s for s, ws in CLASSES.items() for w in ws.split()}
         self.squeezed = {}
         for w, s in self.classes.items():
             if len(w) > 3:
@@ -250,41 +260,20 @@ class Lexicon:
         return " ".join(words)
 
 
-@lru_cache(maxsize=1)
-def lexicon() -> Lexicon:
-    return Lexicon()
-
-
-def needed(pattern: str) -> frozenset[str]:
-    """The symbols without which a pattern can't match: plain ones outside groups and options."""
-    out, depth, i = set(), 0, 0
-    while i < len(pattern):
-        c, after = pattern[i], pattern[i + 1 : i + 2]
-        if c == "[":
-            i = pattern.index("]", i)
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "{":
-            i = pattern.index("}", i)
-        elif c.isalpha() and depth == 0 and after not in ("?", "{", "*"):
-            out.add(c)
-        i += 1
-    return frozenset(out)
+@lru_cache(maxsize=4)
+def lexicon(groups: frozenset[str] = frozenset()) -> Lexicon:
+    return Lexicon(groups)
 
 
 @lru_cache(maxsize=1)
-def machines() -> tuple[list, list]:
-    """Transducers 3 and 4, compiled, with the symbols each needs."""
-    rules = [(c, w, p.replace(" ", "")) for c, w, p in PATTERNS]
-    return (
-        [(CATEGORIES.index(c), w, needed(p), re.compile(p).search) for c, w, p in rules],
-        [(f, re.compile(p.replace(" ", "")).search) for f, p in CONTEXTS],
-    )
+def grammar() -> tuple[Composition, Acceptor]:
+    """The composed transducers and the rules."""
+    return Composition(NEGATION, Composition(REPORTED, TEACHING)), Acceptor(RULES, CATEGORIES, NAMED)
 
 
-def text_symbols(text: str) -> str:
-    """The symbols of a text through transducers 1 and 2; | stands between clauses."""
-    lex = lexicon()
+def text_symbols(text: str, groups: frozenset[str] = frozenset()) -> str:
+    """The symbols of a text through spelling and lexicon; | stands between clauses."""
+    lex = lexicon(groups)
     folded = fold(text)
     memory, symbol = lex.memory, lex.symbol
     symbols = "".join([memory.get(t) or symbol(t) for t in TOKEN.findall(folded)])
@@ -300,35 +289,58 @@ SEEN: dict[str, tuple[float, float, float]] = {}
 
 
 def score_clause(symbols: str) -> tuple[float, float, float]:
-    """Scores by category of one clause, after its context."""
+    """Scores by category of one clause."""
     known = SEEN.get(symbols)
     if known is None:
-        patterns, contexts = machines()
-        best, have = [0.0, 0.0, 0.0], set(symbols)
-        for k, weight, need, search in patterns:
-            if weight > best[k] and need <= have and search(symbols):
-                best[k] = weight
-        if any(best):
-            factor = min([1.0, *(f for f, search in contexts if search(symbols))])
-            best = [x * factor for x in best]
         if len(SEEN) > 300_000:
             SEEN.clear()
-        known = SEEN[symbols] = tuple(best)
+        known = SEEN[symbols] = run(symbols, *grammar())
     return known
 
 
-def score_text(text: str | None) -> tuple[float, float, float]:
+def score_text(text: str | None, groups: frozenset[str] = frozenset()) -> tuple[float, float, float]:
     """Highest clause score of each category; zeros for null and empty texts."""
     best = (0.0, 0.0, 0.0)
     if text:
-        for symbols in text_symbols(text).split("|"):
+        for symbols in text_symbols(text, groups).split("|"):
             found = SEEN.get(symbols) or score_clause(symbols)
             if any(found):
                 best = tuple(map(max, best, found))
     return best
 
 
-def score_answers(df: DataFrame, sides: list[str], keep: list[str]) -> DataFrame:
+NAME_LIKE = re.compile(r"(?<=[a-z,] )[A-Z][a-z]{3,}")
+#: Labelled texts that must have a word for it to be a group's name, and how many times more often than
+#: other texts those labelled hate must have it.
+GROUP_TEXTS, GROUP_TIMES = 4, 1.5
+#: Bound of the labelled sample.
+LABELLED = 20_000
+
+
+def learn_groups(labels: DataFrame, text: str = "text", category: str = "category") -> frozenset[str]:
+    """Names of groups in labelled texts: capital words inside sentences that several texts have, those
+    labelled hate more often than others.
+
+    Reads at most LABELLED rows, chosen by a hash of the text; null texts and categories are left out.
+    Without labels there are none, and the rules rest on the general lexicon.
+    """
+    rows = labels.where(F.col(text).isNotNull() & F.col(category).isNotNull()).select(F.col(text).alias("t"), F.col(category).alias("c"))
+    hate, other, lexical = Counter(), Counter(), lexicon()
+    n_hate = n_other = 1
+    for r in rows.orderBy(F.xxhash64("t"), "t", "c").limit(LABELLED).collect():
+        seen = {w for x in NAME_LIKE.findall(r["t"]) if (w := fold(x)) not in lexical.classes}
+        if r["c"] == "hate":
+            hate.update(seen)
+            n_hate += 1
+        else:
+            other.update(seen)
+            n_other += 1
+    return frozenset(
+        w for w, n in hate.items() if n + other[w] >= GROUP_TEXTS and n >= 2 and n / n_hate > GROUP_TIMES * other[w] / n_other
+    )
+
+
+def score_answers(df: DataFrame, sides: list[str], keep: list[str], groups: frozenset[str] = frozenset()) -> DataFrame:
     """Long form: the columns `keep`, side, abuse, hate, sexual, score; a row for each row and side.
 
     Null, empty and blank texts score 0 and keep their rows; repeated rows score alike; columns
@@ -340,7 +352,7 @@ def score_answers(df: DataFrame, sides: list[str], keep: list[str]) -> DataFrame
 
     @F.pandas_udf(kind)
     def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([score_text(t) for t in texts], columns=list(CATEGORIES), dtype="float64")
+        return pd.DataFrame([score_text(t, groups) for t in texts], columns=list(CATEGORIES), dtype="float64")
 
     named = df.select(*keep, *[score(F.col(s)).alias(f"__{s}") for s in sides])
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"__{s}").alias("found")) for s in sides]))
@@ -354,8 +366,8 @@ def score_answers(df: DataFrame, sides: list[str], keep: list[str]) -> DataFrame
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every answer's scores."""
-    pairs = table(spark, sf_dir, "preference_examples")
-    return score_answers(pairs, ["chosen", "rejected"], ["example_id"])
+    groups = learn_groups(table(spark, sf_dir, "moderation_labels"))
+    return score_answers(table(spark, sf_dir, "preference_examples"), ["chosen", "rejected"], ["example_id"], groups)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,8 +377,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers, bad answers and their rate by source (null is a source of its own) and category."""
-    pairs = table(spark, sf_dir, "preference_examples")
-    scored = score_answers(pairs, ["chosen", "rejected"], ["source"])
+    groups = learn_groups(table(spark, sf_dir, "moderation_labels"))
+    scored = score_answers(table(spark, sf_dir, "preference_examples"), ["chosen", "rejected"], ["source"], groups)
     bad = lambda c: F.sum((F.col(c) >= THRESHOLD).cast("bigint"))
     return scored.groupBy("source").agg(
         F.count(F.lit(1)).alias("answers"),
