@@ -81,8 +81,8 @@ CLASSES: dict[str, str] = {
 }
 #: Words of the known patterns that need to be told apart from any other word; lower-case symbols.
 CLASSES |= {
-    "h": "hope", "g": "go get", "l": "like", "f": "favour favor", "w": "world", "b": "born", "m": "mouth face brain "
-    "mother legs", "o": "only", "p": "people person", "k": "keep", "t": "too", "v": "loves love wanted", "d": "disgust "
+    "h": "hope", "g": "go get", "l": "like", "f": "favour favor", "w": "world", "b": "born", "m": "mouth face "
+    "mother legs", "Z": "brain brains mind", "o": "only", "p": "people person", "k": "keep", "t": "too", "v": "loves love wanted", "d": "disgust "
     "sick sickens despise", "c": "children school", "r": "real", "u": "lol omg lmao", "e": "and or", "x": "phone oral hot "
     "favours pictures videos massage cam", "z": "send show tell come filmed want", "n": "someone somebody", "a": "what how",
     "i": "in into inside", "s": "so very really", "y": "off down open slowly", "j": "of", "q": "said says",
@@ -95,32 +95,32 @@ NAMED = {
     "you_are": "Y s? B? D?",
     "group": "[Dpc_]? G | D [A_]? G",
     "low": "[DAs_]{0,3} [AJ]",
-    "harm": "K Y | Y K | K [_D]{0,1} Y [A_]{0,2} [m_]",  # somebody harms the reader
+    "harm": "K Y | Y K | K [_D]{0,1} Y [A_]{0,2} [mZ_]",  # somebody harms the reader
     "ought": "W _? B .{0,5} K",
     "body": "S",
 }
 #: Weighted rules over symbols; _ is any other word and # a number.
 RULES: list[tuple[str, float, str]] = [
     # abuse: an insult aimed at the reader or at a person
-    ("abuse", 2.0, "<you_are> [A_s]{0,2} (?: I | A [_j]{0,2} J | J)"),
+    ("abuse", 2.0, "<you_are> [A_s]{0,2} (?: I | A [_j]{0,2} J) | Y s? B D [A_s]{0,2} J | Y J $"),
     ("abuse", 2.0, "[au] D? <insult> [_Dj]{0,3} Y B"),
     ("abuse", 1.5, "[au] .{0,3} D [_]{0,1} <insult>"),
     ("abuse", 1.5, "a D <insult>"),
-    ("abuse", 1.6, "F [ADY_]{0,4} [IJ]"),
+    ("abuse", 1.6, "F [ADYj_]{0,5} [IJ]"),
     ("abuse", 1.4, "^ g? F? <insult> $"),
     ("abuse", 1.4, "^ g F A"),
     ("abuse", 1.6, "[IJ] [A_]{0,2} Y .{0,4} A"),
     ("abuse", 1.5, "o D <insult> _{0,2} W"),
-    ("abuse", 1.5, "[_HD] B D <insult> [_H]{0,3} W D? K"),
+    ("abuse", 1.5, "[_HD] B D <insult> [_Hj]{0,4} W D? K"),
     ("abuse", 1.5, "Y _ (?:i _)? _? D <insult>"),
     ("abuse", 1.4, "p l Y W N"),
     ("abuse", 1.6, "a _ [D_] p B D A"),
     # abuse: looks and mind of the reader
-    ("abuse", 1.4, "Y A m"),
-    ("abuse", 1.4, "F Y [A_]{0,2} m"),
-    ("abuse", 1.4, "Y [A_]{0,2} m .{0,6} [dA]"),
-    ("abuse", 1.6, "Y _ D m j"),
-    ("abuse", 1.2, "B [D_] A .{0,3} Y m"),
+    ("abuse", 1.4, "Y A [mZ]"),
+    ("abuse", 1.4, "F Y [A_]{0,2} [mZ]"),
+    ("abuse", 1.4, "Y [A_]{0,2} [mZ] .{0,6} [dA]"),
+    ("abuse", 1.6, "Y _ D Z j"),
+    ("abuse", 1.2, "B [D_] A .{0,3} Y [mZ]"),
     # abuse: threats and curses
     ("abuse", 2.0, "M W [^NMQ]{0,14} <harm>"),
     ("abuse", 2.0, "M K Y"),
@@ -133,7 +133,6 @@ RULES: list[tuple[str, float, str]] = [
     ("abuse", 1.6, "Y d M"),
     # hate: a group is degraded
     ("hate", 2.0, "<group> .{0,4} B [DAs_]{0,3} J"),
-    ("hate", 2.0, "^ [D_] .{0,4} B [DAs_]{0,3} J"),
     ("hate", 2.0, "[HD] [cpG_]? .{0,2} B [DAs_]{0,2} [JA] (?:J|e|$)"),
     ("hate", 2.0, "G B t? <low>"),
     ("hate", 2.0, "H c B [AJ]"),
@@ -155,7 +154,7 @@ RULES: list[tuple[str, float, str]] = [
     ("hate", 1.6, "n W g? [R_] [R_j]{0,2} H"),
     # sexual: acts, offers and descriptions
     ("sexual", 2.0, "<body> .{0,7} T .{0,5} T"),
-    ("sexual", 2.0, "T .{0,8} H _? <body>"),
+    ("sexual", 2.0, "T .{0,8} T .{0,4} H _? <body> | T .{0,8} H _? <body> .{0,8} [TX] | X .{0,12} H _? <body>"),
     ("sexual", 2.0, "H <body> .{0,3} (?:e .{0,3})? T"),
     ("sexual", 2.0, "X .{0,3} e .{0,3} T"),
     ("sexual", 2.0, "X .{0,8} [SX]"),
@@ -309,17 +308,17 @@ def score_text(text: str | None, groups: frozenset[str] = frozenset()) -> tuple[
     return best
 
 
-NAME_LIKE = re.compile(r"(?<=[a-z,] )[A-Z][a-z]{3,}")
+NAME_LIKE = re.compile(r"(?<=[a-z,] )(?<! in )(?<! at )(?<!from )(?<!near )(?<!until )[A-Z][a-z]{3,}")
 #: Labelled texts that must have a word for it to be a group's name, and how many times more often than
 #: other texts those labelled hate must have it.
-GROUP_TEXTS, GROUP_TIMES = 4, 1.5
+GROUP_TEXTS, GROUP_TIMES = 3, 1.5
 #: Bound of the labelled sample.
 LABELLED = 20_000
 
 
 def learn_groups(labels: DataFrame, text: str = "text", category: str = "category") -> frozenset[str]:
-    """Names of groups in labelled texts: capital words inside sentences that several texts have, those
-    labelled hate more often than others.
+    """Names of groups in labelled texts: capital words inside sentences, not after words of place and time,
+    that several texts have, those labelled hate more often than others.
 
     Reads at most LABELLED rows, chosen by a hash of the text; null texts and categories are left out.
     Without labels there are none, and the rules rest on the general lexicon.
@@ -335,9 +334,8 @@ def learn_groups(labels: DataFrame, text: str = "text", category: str = "categor
         else:
             other.update(seen)
             n_other += 1
-    return frozenset(
-        w for w, n in hate.items() if n + other[w] >= GROUP_TEXTS and n >= 2 and n / n_hate > GROUP_TIMES * other[w] / n_other
-    )
+    found = {w for w, n in hate.items() if n + other[w] >= GROUP_TEXTS and n >= 2 and n / n_hate > GROUP_TIMES * other[w] / n_other}
+    return frozenset(found | {w[:-1] for w in found if w.endswith("s") and w[:-1] not in lexical.classes})
 
 
 def score_answers(df: DataFrame, sides: list[str], keep: list[str], groups: frozenset[str] = frozenset()) -> DataFrame:
