@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.screen import Detector, Screen
 from corpusmill.llm.words import fold, words
 from corpusmill.plans.layout import materialise, table
 
@@ -30,13 +31,13 @@ FIELDS = (
     r"order|description|logo|image|here)"
 )
 NAMED = r"[ ]*" + FIELDS + r"(?:[._ ]?" + FIELDS + r")?[ ]*"
-PLACEHOLDER = re.compile(
+PLACEHOLDER = Detector(
     r"\{\{[{%#]?\s*[a-z_][\w .|'-]{0,40}\s*[}%]?\}\}|\$\{\s*[a-z_][\w .]{0,40}\}|<%=?\s*[\w .@]{1,40}%>|\[\[\s*[a-z_][\w .]{0,40}\]\]"
     r"|\[(?:insert|your) [\w .'-]{1,40}\]|\((?:insert|your) [\w .'-]{1,40} here\)|\*\|[\w .:]{1,40}\|\*|@@[\w .]{1,40}@@|<<[a-z_][\w .]{0,40}>>|%%[\w .]{1,40}%%"
     r"|__[a-z][a-z .]{1,30}(?:_[a-z]+)?__|(?<![\w%])%[a-z][a-z_ .]{2,30}%(?!\w)"
     rf"|\{{{NAMED}\}}|\[{NAMED}\]|<{NAMED}>|#{NAMED}#|«{NAMED}»",
 )
-FILLER = re.compile(
+FILLER = Detector(
     r"lorem ipsum dolor|ipsum dolor sit|\bdolor sit amet|\bblah blah blah|\btext text text|\basdf\b.*\b(?:asdf|jkl)|\bxxxx+ xxxx"
     r"|your (?:text|content|title|headline) (?:goes )?here|(?:text|headline|content|title|caption|copy|image) goes here"
     r"|placeholder text|sample (?:text|paragraph|content)|dummy text|click to edit|type something|insert (?:copy|text) ?(?:here)?$"
@@ -49,7 +50,7 @@ LATIN = set(
     "reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt "
     "culpa qui officia deserunt mollit anim id est laborum".split()
 )
-ERROR = re.compile(
+ERROR = Detector(
     r"^\W*(?:http |error |erreur |fehler |errore |erro )?[45]\d\d\b\W*(?:-|:|\||error|bad|forbidden|not|gone|internal|service|gateway|unauth\w*|request|too|the page)"
     r"|^\W*(?:http )?error \d{3}\b|\b(?:500|internal) (?:internal )?server error|internal server error|bad gateway|gateway time-?out"
     r"|service (?:temporarily )?unavailable|^\W*access denied|(?:page|file|document|site) (?:you were looking for|you requested|requested|not found|cannot be found)"
@@ -67,7 +68,7 @@ ERROR = re.compile(
     r"|errore interno|pagina nao encontrada|acesso negado|erro interno|sessao expirada|sesion ha (?:expirado|caducado)"
     r"|页面不存在|错误代码|服务器错误|访问被拒绝|找不到(?:该)?页面|无法访问"
 )
-SCRIPT = re.compile(
+SCRIPT = Detector(
     r"\b(?:enable|activate|turn on|switch on|allow|requires?|needs?|without|no) (?:\w+ ){0,2}(?:javascript|java script|js|scripts?|scripting)\b"
     r"|\b(?:javascript|js|scripts?|scripting) (?:and cookies )?(?:is|are|must be|needs to be|has to be|should be) (?:\w+ )?(?:disabled|off|blocked|enabled|turned|required|switched|needed)"
     r"|turn (?:on|it on)? ?(?:javascript|js)|<noscript>|^noscript|browser does not support|check(?:ing)? your browser|has no js support"
@@ -92,23 +93,23 @@ NEUTRAL = re.compile(
 UNIT = re.compile(r"\n+|(?<=[.!?。])\s+")
 
 
-def kind_of(unit: str) -> str | None:
-    """The detector that a line or sentence, folded, sets off."""
-    if EXPLAINS.search(unit):
-        return None
-    if PLACEHOLDER.search(unit):
-        return "placeholder"
-    if FILLER.search(unit):
-        return "filler"
-    if SCRIPT.search(unit):
-        return "script"
-    if ERROR.search(unit):
-        return "error"
-    if "a" in unit:
+DETECTORS = [("placeholder", PLACEHOLDER), ("filler", FILLER), ("script", SCRIPT), ("error", ERROR)]
+#: The literals of each detector, and words of filler Latin, in the order of their bits.
+SCREEN = Screen([*(d.literals for _, d in DETECTORS), {w for w in LATIN if len(w) > 3}])
+
+
+def kind_of(unit: str, bits: int) -> str | None:
+    """The detector that a line or sentence, folded, sets off; bits tell whose literals it has.
+
+    Filler Latin has six words or more, four fifths of them of the known ones, one of these longer than
+    three letters.
+    """
+    kind = next((kind for k, (kind, detect) in enumerate(DETECTORS) if detect(unit, bool(bits >> k & 1))), None)
+    if kind is None and bits >> len(DETECTORS):
         w = words(unit)
         if len(w) >= 6 and sum(x in LATIN for x in w) >= 0.8 * len(w):
-            return "filler"
-    return None
+            kind = "filler"
+    return kind if kind and not EXPLAINS.search(unit) else None
 
 
 #: Articles have at least so many words before a line at their foot.
@@ -140,6 +141,7 @@ def inspect(text: str | None, url: str | None) -> tuple[str | None, int, bytes |
     in_code = False
     units_after_hit = 0
     lines = [x for x in folded.split("\n") if x.strip()]
+    screened = SCREEN.bits(folded)  # most texts have no literal at all
     for n, line in enumerate(lines):
         if "```" in line:
             in_code = not in_code
@@ -148,8 +150,11 @@ def inspect(text: str | None, url: str | None) -> tuple[str | None, int, bytes |
             continue
         if NEUTRAL.match(line):
             continue
-        for m, unit in enumerate(UNIT.split(line)):
-            kind = kind_of(unit.strip())
+        units = UNIT.split(line)
+        may = SCREEN.bits(line) if screened else 0
+        for m, unit in enumerate(units):
+            unit = unit.strip()
+            kind = kind_of(unit, SCREEN.bits(unit) if may and len(units) > 1 else may)
             if kind:
                 hits.append((n, m, kind))
                 units_after_hit = 0
@@ -168,7 +173,11 @@ def inspect(text: str | None, url: str | None) -> tuple[str | None, int, bytes |
         )
         return (None if only_foot else hits[0][2]), 0, None, None
     titled = len(lines) > 1 and lines[0].count(" ") < 10
-    body = words("\n".join(lines[1:]) if titled else folded)
+    rest = "\n".join(lines[1:]) if titled else folded
+    cut = rest.find(" ", 900)
+    if cut > 0 and len(set(words(rest[:cut]))) > LOW_WORDS:
+        return None, 0, None, None  # its beginning has too many already
+    body = words(rest)
     if len(body) < 2 or len(different := set(body)) > LOW_WORDS:
         return None, 0, None, None
     title = terms(lines[0]) if titled else set()

@@ -21,20 +21,29 @@ NUMBER_COMMA = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 CJK = re.compile("([㐀-鿿])")
 
 
+class Plain(dict):
+    """Character -> what is left of it, made when first met."""
+
+    def __missing__(self, code: int) -> str:
+        out = []
+        for c in unicodedata.normalize("NFKD", chr(code)):
+            kind = unicodedata.category(c)
+            if kind == "Mn" or kind == "Cf" or (kind == "Cc" and c not in "\n\t\r"):
+                continue
+            out.append(c)
+        self[code] = "".join(out).translate(LOOK_ALIKES)
+        return self[code]
+
+
+PLAIN = Plain()
+
+
 def fold(text: str) -> str:
     """Lower case, compatibility forms, no marks, no invisible characters, look-alikes as Latin."""
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKC", text).casefold().translate(LOOK_ALIKES)
-    if text.isascii():
-        return text
-    out = []
-    for c in unicodedata.normalize("NFKD", text):
-        kind = unicodedata.category(c)
-        if kind == "Mn" or kind == "Cf" or (kind == "Cc" and c not in "\n\t\r"):
-            continue
-        out.append(c)
-    return "".join(out).translate(LOOK_ALIKES)
+    return text if text.isascii() else text.translate(PLAIN)
 
 
 def words(folded: str) -> list[str]:

@@ -69,3 +69,22 @@ def test_host_evidence_needs_no_keyword(spark):
 def test_long_bodies_of_few_words():
     assert P.inspect("nothing to see on this page " * 400, "https://a.example/garden-walks")[2] is not None
     assert P.inspect(" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)), None)[2] is None
+
+
+def test_screen_loses_no_line():
+    import random
+    import re
+
+    from corpusmill.llm import screen
+    from corpusmill.llm.words import fold
+
+    assert screen.alternatives(r"a[|)]|b(?:c|d)\||^e|[^]x]") == [r"a[|)]", r"b(?:c|d)\|", "^e", "[^]x]"]
+    assert screen.needed(screen.sre.parse("x(?:ab|cde)?(?:long|short) y")) == {"long", "short"}
+    rng = random.Random(1)
+    lines = [fold(x) for t in [*CASES, *UNSCREENED, *[f for f in FINE if f]] for x in re.split(r"\n", t)]
+    lines += ["".join(rng.sample(x, len(x))) for x in lines] + [x[i:j] for x in lines for i, j in [sorted(rng.sample(range(len(x) + 1), 2))] if x]
+    for name, detector in P.DETECTORS:
+        source = [p.pattern for p in (detector.at_start and detector.at_start.__self__, detector.inside and detector.inside.__self__) if p]
+        whole, bit = re.compile("|".join(source)), [n for n, _ in P.DETECTORS].index(name)
+        for x in lines:
+            assert detector(x, bool(P.SCREEN.bits(x) >> bit & 1)) == bool(whole.search(x)), (name, x)
