@@ -101,19 +101,21 @@ def near(a: str, b: str) -> bool:
 
 
 def is_copy(instruction: str, answer: str) -> bool:
-    """Gives back the instruction, or a good part of it, and nearly nothing else."""
-    n = len(instruction)
-    if have := words(fold(instruction)):  # at any length a copy if it stands there alone
+    """Gives back the instruction, or a good part of it, and nearly nothing else.
+
+    At any length an answer is a copy if, but for a lead-in, it is the instruction with a slip in some words;
+    a part of fewer than six words may be an answer, and is none.
+    """
+    low, mine = answer.lower(), instruction.lower()
+    have = words(fold(instruction))
+    if len(have) < 6 or len(low) < 2 * len(mine):
         got = words(fold(answer))
         while len(got) > len(have) and got[0] in LEAD:
             got = got[1:]
-        if got == have:
+        if have and len(got) == len(have) and all(map(near, got, have)):
             return True
-    if n < 20 or len(answer) < 0.3 * n:
-        return False
-    low, mine = answer.lower(), instruction.lower()
-    step = max(1, n // 14)
-    probes = [mine[i : i + 7] for i in range(0, n - 7, step)]
+    n = len(mine)
+    probes = [mine[i : i + 7] for i in range(0, n - 7, max(1, n // 14))]
     if low.isascii() and mine.isascii() and sum(p in low for p in probes) < 0.3 * len(probes):
         return False
     have, got = words(fold(instruction)), words(fold(answer))
@@ -135,34 +137,68 @@ def is_copy(instruction: str, answer: str) -> bool:
 
 
 # ---------------------------------------------------------------- truncation
-BITS = 16
+BITS = 18
 ITEM = re.compile(r"^\s*(?:\d+[.)]|[-*•])\s+\S")
-TAIL = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\d,.]*|\n|[^\w\s]")
-#: Each answer gives one end and one place inside; more orders are not needed.
+TAIL = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\d,.]*|[^\w\s]")
+#: Tokens before a place that tell whether a text may end there.
 ORDERS = 3
+#: Codes of the start of a text and of a line end, and what sets list items apart.
+START, LINE, IN_ITEM = 0x51AB3F, 0x7C0D21, 0x2E5A9F00
+KINDS: dict[str, int] = {}
+
+
+def token_kind(token: str) -> int:
+    """The code of a token; numbers and names are classes."""
+    known = KINDS.get(token)
+    if known is None:
+        if len(KINDS) > 300_000:
+            KINDS.clear()
+        kind = "#" if token[0].isdigit() else "Name" if token[0].isupper() and not token.isupper() else token.lower()
+        known = KINDS[token] = zlib.crc32(kind.encode("utf-8", "surrogatepass"))
+    return known
+
+
+def token_kinds(text: str, several: bool | None = None) -> list[int]:
+    """Codes of a text's tokens and line ends; those of list items are set apart in texts of several lines."""
+    out: list[int] = []
+    lines = text.split("\n")
+    several = len(lines) > 1 if several is None else several
+    for k, line in enumerate(lines):
+        if k:
+            out.append(LINE)
+        if several and ITEM.match(line):
+            out += [token_kind(t) ^ IN_ITEM for t in TAIL.findall(line)]
+        else:
+            out += map(token_kind, TAIL.findall(line))
+    return out
 
 
-def tail_codes(text: str) -> list[int]:
-    """Hashed buckets of the last one, two and three tokens; numbers and names are classes, and ends of
-    list items are counted apart."""
-    tail = text[-80:]
-    tokens = TAIL.findall(tail)[-ORDERS:]
-    item = "* " if "\n" in text and ITEM.match(text[text.rfind("\n", 0, len(text.rstrip())) + 1 :]) else ""
-    kinds = [
-        "#" if t[0].isdigit() else "\\n" if t == "\n" else "Name" if t[0].isupper() and not t.isupper() else t.lower()
-        for t in tokens
-    ]
-    return [
-        (zlib.crc32((item + " ".join(kinds[-k:])).encode()) & ((1 << BITS) - 1)) + ((k - 1) << BITS)
-        for k in range(1, min(ORDERS, len(kinds)) + 1)
-    ]
+def place_codes(kinds: np.ndarray) -> np.ndarray:
+    """A row for each order: the bucket of the last one, two and three tokens up to each place, from the
+    third on."""
+    x = kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows, h = [], np.zeros(len(x) - ORDERS + 1, np.uint64)
+    for k in range(ORDERS):
+        h = (h ^ x[ORDERS - 1 - k : len(x) - k]) * np.uint64(0xD6E8FEB86659FD93)
+        rows.append((h >> np.uint64(64 - BITS)).astype(np.int64) + (k << BITS))
+    return np.stack(rows)
+
+
+def last_codes(text: str) -> np.ndarray:
+    """The buckets of a text's end."""
+    start = text.rfind("\n", 0, max(0, len(text) - 160)) + 1  # whole lines, so items are known as such
+    kinds = [START] * ORDERS + token_kinds(text[start:].rstrip(), "\n" in text)
+    return place_codes(np.array(kinds[-ORDERS:], np.uint64))[:, 0]
 
 
 class EndModel:
-    """How likely a text ends after its last tokens, from ends and inner places of the corpus."""
+    """How likely a text ends after its last tokens, from the ends and all inner places of the corpus."""
 
     def __init__(self, ends: np.ndarray, inner: np.ndarray):
-        self.ends, self.inner = ends, inner
+        whole = 1 << BITS
+        # of all inner places together as many as there are ends
+        scale = ends[:whole].sum() / max(1.0, float(inner[:whole].sum()))
+        self.ends, self.inner = ends.astype(np.float32), (inner * scale).astype(np.float32)
 
     def likelihood(self, text: str) -> float:
         """P(end | last tokens), from short to long contexts, when ends and inner places are alike frequent.
@@ -170,35 +206,37 @@ class EndModel:
         The text's own end is in the counts and is taken out.
         """
         p = 0.5
-        for code in tail_codes(text):
+        for code in last_codes(text):
             e, i = max(0.0, float(self.ends[code]) - 1), float(self.inner[code])
             p = (e + 8 * p) / (e + i + 8)
         return p
 
 
-def inner_place(text: str) -> str:
-    """The text up to a pseudo-random space inside it."""
-    at = zlib.crc32(text[:64].encode("utf-8", "replace")) % len(text)
-    cut = text.find(" ", at)
-    return text[:cut] if cut > 0 else ""
-
-
 def fit_end_model(df: DataFrame, sides: list[str]) -> EndModel:
-    """Counts over all answers of `df`, whatever their number: each task adds up two arrays of fixed
-    size, and these are summed by bucket before the driver gets them."""
+    """Counts over the ends and all places inside the lines of all answers of `df`, whatever their number: each task
+    adds up two arrays of fixed size, and these are summed by bucket before the driver gets them."""
     size = ORDERS << BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends, inner = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for side in sides:
+                kinds, last = [], []
                 for text in batch[side]:
                     if text and not text.isspace():
-                        for code in tail_codes(text):
-                            ends[code] += 1
-                        if before := inner_place(text):
-                            for code in tail_codes(before):
-                                inner[code] += 1
+                        kinds += [START] * (ORDERS - 1)
+                        kinds += token_kinds(text.rstrip())
+                        last.append(len(kinds) - ORDERS)
+                if not last:
+                    continue
+                codes = place_codes(np.array(kinds, np.uint64))
+                is_end = np.zeros(codes.shape[1], bool)
+                is_end[[x for x in last if x >= 0]] = True
+                # before and after a line end a text might stop, too: these places tell nothing
+                line = np.array(kinds[ORDERS - 1 :], np.uint64) == LINE
+                neither = is_end | line | np.append(line[1:], False)
+                ends += np.bincount(codes[:, is_end].ravel(), minlength=size)
+                inner += np.bincount(codes[:, ~neither].ravel(), minlength=size)
         used = np.flatnonzero(ends + inner)
         yield pd.DataFrame({"code": used.astype("int32"), "ends": ends[used], "inner": inner[used]})
 
@@ -209,7 +247,7 @@ def fit_end_model(df: DataFrame, sides: list[str]) -> EndModel:
         .agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner"))
         .toPandas()  # at most ORDERS << BITS rows, whatever the corpus
     )
-    ends, inner = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    ends, inner = np.zeros(size), np.zeros(size)
     ends[counts["code"]], inner[counts["code"]] = counts["ends"], counts["inner"]
     return EndModel(ends, inner)
 
@@ -245,22 +283,18 @@ def is_truncated(text: str, model: EndModel) -> bool:
     if ADDRESS.search(last_line[-60:]) and not ITEM.match(last_line):
         return False
     last = re.findall(r"[^\W_]+", last_line[-40:])
+    opens = bool(last) and last[-1] in OPENERS
     likely = model.likelihood(text)
     if ITEM.match(last_line):
-        return bool(last) and last[-1] in OPENERS or likely < 0.2
+        return opens or likely < 0.2
     sentence = re.split(r"(?<=[.!?:])\s+", last_line)[-1]
-    if len(sentence) < len(text) and max(score_text(sentence)) >= THRESHOLD:
+    if max(score_text(sentence)) >= THRESHOLD:
         return False  # an insult in the style of a chat is whole without a stop
     before = text[: len(text) - len(sentence)].strip()
-    alone = not before or all(
-        max(score_text(s)) >= THRESHOLD for s in re.split(r"(?<=[.!?])\s+|\n+", before) if s.strip()
-    )
-    n = len(words(fold(sentence)))
-    if alone and max(score_text(sentence)) >= THRESHOLD:
-        return False
-    if alone and n <= 5:
-        return bool(last) and last[-1] in OPENERS
-    return (bool(last) and last[-1] in OPENERS) or likely < 0.75
+    alone = not before or all(max(score_text(s)) >= THRESHOLD for s in re.split(r"(?<=[.!?])\s+|\n+", before) if s.strip())
+    if alone and len(words(fold(sentence))) <= 5:
+        return opens
+    return opens or likely < 0.75
 
 
 # ---------------------------------------------------------------- language
@@ -330,7 +364,7 @@ def pair_defects(
     read, an empty table gives an empty one. Whole texts are judged, in one pass without a shuffle.
     """
     spark = pairs.sparkSession
-    models = spark.sparkContext.broadcast((languages, ends))  # fixed sizes: 2 MB and 2 MB
+    models = spark.sparkContext.broadcast((languages, ends))  # fixed sizes: 2 MB and 6 MB
 
     @F.pandas_udf("struct<" + ", ".join(f"s{k}: string" for k in range(len(sides))) + ">")
     def judge(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
