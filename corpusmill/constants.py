@@ -16,8 +16,11 @@ PHONE_BODY = (
 PHONE = {"reference": PHONE_BODY + "(?<![0-9])", "corrected": PHONE_BODY + "(?![0-9])"}
 PHONE_MASK = "|||PHONE_NUMBER|||"
 
-PRETOKEN = "'(?:[sdmt]|ll|ve|re)| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
-PRETOKEN_SIMPLE = "\\s*\\S+"
+#: The pre-token pattern; white space is Unicode's.
+PRETOKEN = (
+    f"'(?:[sdmt]|ll|ve|re)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE[1:-1]}\\p{{L}}\\p{{N}}]+|{SPACE}+(?![^{SPACE[1:-1]}])|{SPACE}+"
+)
+PRETOKEN_SIMPLE = f"{SPACE}*[^{SPACE[1:-1]}]+"
 
 SYSTEM_PROMPT = """# Instruction
 Below is a list of conversations between a human and an AI assistant (you).

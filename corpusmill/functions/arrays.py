@@ -62,6 +62,23 @@ def masked_mean(x: Column, mask: Column) -> Column:
     return F.try_divide(masked_sum(x, mask), total(mask))
 
 
+def sequence_logprob(token_logprobs: Column, prompt: Column, response: Column) -> Column:
+    """Sum over a response of `response` tokens after a prompt of `prompt`: the token before each predicts it,
+    so the slice starts one place before the response."""
+    return total(F.slice(token_logprobs, F.greatest(prompt, F.lit(1)).cast("int"), response.cast("int")))
+
+
+def loss_by_type(kind: str, logprobs: Column, rewards: Column, advantages: Column, old: Column, clip: float) -> Column:
+    """Token losses of one of three kinds; another one raises."""
+    if kind == "no_baseline":
+        return policy_loss(logprobs, rewards)
+    if kind == "reinforce_with_baseline":
+        return policy_loss(logprobs, advantages)
+    if kind == "grpo_clip":
+        return clipped_loss(logprobs, old, advantages, clip, clip)
+    raise ValueError(f"unknown loss: {kind}")
+
+
 def policy_loss(logprobs: Column, advantage: Column) -> Column:
     return F.transform(logprobs, lambda v: -advantage * v)
 
@@ -143,6 +160,24 @@ def silu(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double") / (1 + F.exp(-v.cast("double"))))
 
 
+def swiglu(gate: Column, value: Column) -> Column:
+    """silu(gate) times value, place by place."""
+    return F.zip_with(silu(gate), value, lambda a, b: a * b)
+
+
+def attention(query: Column, keys: Column, values: Column, mask: Column | None = None) -> Column:
+    """One query over arrays of keys and values: softmax(q k / sqrt d) weighted values; places whose mask is 0
+    get a score of -1e9."""
+    scores = F.transform(keys, lambda k: dot(query, k) / F.sqrt(F.size(query)))
+    if mask is not None:
+        scores = F.zip_with(scores, mask, lambda v, m: F.when(m == 0, F.lit(-1e9)).otherwise(v))
+    weighted = lambda w: F.zip_with(w, values, lambda a, v: F.transform(v, lambda x: x.cast("double") * a))
+    add = lambda rows: F.aggregate(
+        rows, F.array().cast("array<double>"), lambda a, v: F.when(F.size(a) == 0, v).otherwise(F.zip_with(a, v, lambda x, y: x + y))
+    )
+    return let(softmax(scores), lambda w: add(weighted(w)))
+
+
 def rotate(x: Column, position: Column, theta: float = 10000.0) -> Column:
     """Rotary position embedding of one vector: pairs (2i, 2i+1) turned by position / theta^(2i/d)."""
     d = F.size(x)

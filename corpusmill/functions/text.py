@@ -100,8 +100,9 @@ def gopher_keep(text: Column) -> Column:
 
 
 def char_shingles(text: Column, n: int) -> Column:
-    """Distinct stretches of n characters, by one pass of a look-ahead; none if the text is shorter."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    """Distinct stretches of n characters, by one pass of a look-ahead; none if the text is shorter. A
+    character outside the basic plane is one, too: no stretch starts inside it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?![\\uDC00-\\uDFFF])(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def pretokens(text: Column, pattern: str = C.PRETOKEN) -> Column:
@@ -162,10 +163,21 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{C.SPACE}+|{C.SPACE}+$", "")
 
 
+NESTED = 5
+
+
+def nested(depth: int) -> str:
+    """Text with braces that match, up to a depth."""
+    return f"(?:[^{{}}]++|\\{{{nested(depth - 1)}\\}})*" if depth else "[^{}]*"
+
+
+BOXED = f"\\\\boxed\\{{({nested(NESTED)})\\}}"
+
+
 def answer_candidates(response: Column) -> Column:
     """Ordered distinct pieces of a response that may be its answer: the answer tag, the last box, what
     follows the thought, the last line, its trailing fraction, number or assignment, the last three
-    fractions and numbers, and all of it. Boxes may be nested once."""
+    fractions and numbers, and all of it. Braces inside a box may be nested NESTED times."""
     none = F.lit("")
     fraction, number = "\\\\frac\\{[^{}]+\\}\\{[^{}]+\\}", "-?[0-9]+(?:\\.[0-9]+)?(?:/[0-9]+)?"
     assignment = "[A-Za-z]\\s*=\\s*[-+]?[0-9]+(?:\\.[0-9]+)?"
@@ -175,7 +187,7 @@ def answer_candidates(response: Column) -> Column:
             text.contains("<answer>") & text.contains("</answer>"),
             strip(F.element_at(F.split(F.element_at(F.split(text, "<answer>"), -1), "</answer>"), 1)),
         ).otherwise(none)
-        boxes = F.regexp_extract_all(text, F.lit("\\\\boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}"), F.lit(1))
+        boxes = F.regexp_extract_all(text, F.lit(BOXED), F.lit(1))
         box = let(boxes, lambda b: F.when(F.size(b) > 0, strip(F.element_at(b, -1))).otherwise(none))
         after = F.when(text.contains("</think>"), strip(F.element_at(F.split(text, "</think>"), -1))).otherwise(none)
         lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r]"), strip), lambda x: x != "")

@@ -1,13 +1,20 @@
-"""Byte-pair tables, encoding and decoding with a given vocabulary. Tokenizers are not trained here."""
+"""Byte-pair tables, encoding and decoding with a given vocabulary.
+
+Tokenizers are not trained here: counts, the best pair and the merge of a given pair are operators, the
+training loop is left out.
+"""
 
 from __future__ import annotations
 
+import heapq
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import constants as C
@@ -34,9 +41,9 @@ def pretoken_counts(df: DataFrame, text: str = "text", specials: list[str] | Non
 
 
 def pair_counts(counts: DataFrame) -> DataFrame:
-    """(left, right, n): adjacent bytes as hex, weighted by the pre-token's count."""
-    bytes_ = F.regexp_extract_all(F.hex(F.encode("pretoken", "utf-8")), F.lit("(..)"), F.lit(1))
-    rows = counts.select("n", bytes_.alias("b")).where(F.size("b") > 1)
+    """(left, right, n): adjacent pieces as hex, weighted by the pre-token's count; counts has pretoken or pieces."""
+    pieces = F.col("pieces") if "pieces" in counts.columns else byte_pieces(F.col("pretoken"))
+    rows = counts.select("n", pieces.alias("b")).where(F.size("b") > 1)
     pairs = rows.select("n", F.explode(F.arrays_zip(F.expr("slice(b, 1, size(b) - 1)").alias("l"), F.expr("slice(b, 2, size(b) - 1)").alias("r"))).alias("p"))
     return pairs.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("n"))
 
@@ -46,31 +53,108 @@ def best_pair(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(1)
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
-    """Token -> id and pair -> rank of a vocabulary file."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    return model["vocab"], {m: i for i, m in enumerate(merges)}
+def highest_ids(tokens: DataFrame) -> DataFrame:
+    """(token, id): of tokens with equal bytes the highest id; the way back from bytes to ids."""
+    return tokens.groupBy("token").agg(F.max("id").alias("id"))
+
+
+def merge_pair(counts: DataFrame, left: str, right: str) -> DataFrame:
+    """(pieces array<string>, n): pre-tokens as pieces of hex bytes in which a given pair is merged, from
+    left to right without overlaps.
+
+    counts has pretoken and n, or pieces and n from an earlier merge. An expression inside the JVM.
+    """
+    if "pieces" not in counts.columns:
+        counts = counts.select(byte_pieces(F.col("pretoken")).alias("pieces"), "n")
+    merged = F.aggregate(
+        "pieces",
+        F.struct(F.array().cast("array<string>").alias("done"), F.lit(False).alias("fresh")),
+        lambda a, x: F.when(
+            (F.size(a["done"]) > 0) & ~a["fresh"] & (x == right) & F.coalesce(F.try_element_at(a["done"], F.lit(-1)) == left, F.lit(False)),
+            F.struct(F.concat(F.slice(a["done"], 1, F.size(a["done"]) - 1), F.array(F.lit(left + right))).alias("done"), F.lit(True).alias("fresh")),
+        ).otherwise(F.struct(F.concat(a["done"], F.array(x)).alias("done"), F.lit(False).alias("fresh"))),
+    )["done"]
+    return counts.select(merged.alias("pieces"), "n")
+
+
+def byte_pieces(text: Column) -> Column:
+    """The utf-8 bytes of a text, each as two hex digits."""
+    return F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("(..)"), F.lit(1))
+
+
+def initial_vocabulary(spark: SparkSession, specials: list[str], size: int = 1 << 30) -> DataFrame:
+    """(id, token binary): the 256 bytes, then the special tokens, repeated ones once, up to `size` entries."""
+    rows = [(i, bytes([i])) for i in range(256)]
+    for s in specials:
+        if len(rows) >= size:
+            break
+        if s.encode() not in {t for _, t in rows}:
+            rows.append((len(rows), s.encode()))
+    return spark.createDataFrame(rows, "id int, token binary")
+
+
+def local_path(path: str) -> str:
+    """A vocabulary's path on this machine: as given, or where addFile() put it."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+@lru_cache(maxsize=4)
+def load(path: str, merges: str | None = None) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """Token -> id and pair -> rank of a vocabulary: one file with both, or a file of ids and one of merges
+    by line.
+
+    Of the merges only a first line that starts with #version is a header; blank lines and lines of other
+    than two tokens are skipped.
+    """
+    with open(local_path(path), encoding="utf-8") as f:
+        vocab = json.load(f)
+    if merges is None:
+        vocab, pairs = vocab["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in vocab["model"]["merges"]]
+    else:
+        with open(local_path(merges), encoding="utf-8") as f:
+            rows = [line.rstrip("\r\n").split(" ") for line in f]
+        pairs = [tuple(r) for i, r in enumerate(rows) if len(r) == 2 and all(r) and not (i == 0 and r[0].startswith("#version"))]
+    return vocab, {m: i for i, m in enumerate(pairs)}
+
+
+def write_vocabulary(vocab: dict[str, int], ranks: dict[tuple[str, str], int], folder: str) -> tuple[str, str]:
+    """A file of ids and one of merges, without loss; their paths."""
+    paths = os.path.join(folder, "vocab.json"), os.path.join(folder, "merges.txt")
+    with open(paths[0], "w", encoding="utf-8") as f:
+        json.dump(vocab, f, ensure_ascii=False)
+    with open(paths[1], "w", encoding="utf-8") as f:
+        f.write("#version: 1\n" + "".join(f"{a} {b}\n" for a, b in sorted(ranks, key=ranks.get)))
+    return paths
 
 
 def vocabulary(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
     """(id, token binary); of equal token bytes the highest id is kept."""
     back = {c: b for b, c in byte_table().items()}
     rows = [(i, bytes(back[c] for c in t)) for t, i in load(path)[0].items() if all(c in back for c in t)]
-    return spark.createDataFrame(rows, "id int, token binary").groupBy("token").agg(F.max("id").alias("id")).select("id", "token")
-
-
-def encode_word(word: str, path: str, table: dict[int, str]) -> list[int]:
-    vocab, ranks = load(path)
-    parts = [table[b] for b in word.encode("utf-8", "surrogatepass")]
-    while len(parts) > 1:
-        rank, at = min((ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank == 1 << 60:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [vocab[p] for p in parts]
+    return highest_ids(spark.createDataFrame(rows, "id int, token binary")).select("id", "token")
+
+
+def encode_word(word: str, vocab: dict[str, int], ranks: dict[tuple[str, str], int], table: dict[int, str]) -> list[int]:
+    """Merges of lowest rank first, of equal ones the leftmost, by a queue over linked pieces."""
+    parts: list[str | None] = [table[b] for b in word.encode("utf-8", "surrogatepass")]
+    after = list(range(1, len(parts) + 1))
+    before = list(range(-1, len(parts) - 1))
+    queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := ranks.get((a, b))) is not None]
+    heapq.heapify(queue)
+    while queue:
+        _, i, a, b = heapq.heappop(queue)
+        j = after[i]
+        if parts[i] != a or j >= len(parts) or parts[j] != b:
+            continue  # one of them is merged already
+        parts[i], parts[j] = a + b, None
+        after[i] = after[j]
+        if after[i] < len(parts):
+            before[after[i]] = i
+            if (r := ranks.get((parts[i], parts[after[i]]))) is not None:
+                heapq.heappush(queue, (r, i, parts[i], parts[after[i]]))
+        if (k := before[i]) >= 0 and (r := ranks.get((parts[k], parts[i]))) is not None:
+            heapq.heappush(queue, (r, k, parts[k], parts[i]))
+    return [vocab[p] for p in parts if p is not None]
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", specials: dict[str, int] | None = None, path: str = VOCABULARY) -> DataFrame:
@@ -84,7 +168,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", specials: dic
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, list[int]] = {s: [i] for s, i in specials.items()}
-        table = byte_table()
+        table, (vocab, ranks) = byte_table(), load(path)
         for pieces in batches:
             out = []
             for words in pieces:
@@ -93,7 +177,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", specials: dic
                     if w not in known:
                         if len(known) > 500_000:
                             known = {s: [i] for s, i in specials.items()}
-                        known[w] = encode_word(w, path, table)
+                        known[w] = encode_word(w, vocab, ranks, table)
                     ids += known[w]
                 out.append(ids)
             yield pd.Series(out)

@@ -62,3 +62,10 @@ def merge_samples(high: DataFrame | None, low: DataFrame | None) -> DataFrame |
     lines = high.select("value").unionByName(low.select("value"))
     parts = F.regexp_extract(F.col("value"), "^__label__(hq|lq)\\s+(.*)$", 1), F.regexp_extract(F.col("value"), "^__label__(hq|lq)\\s+(.*)$", 2)
     return lines.select(parts[0].alias("label"), parts[1].alias("text")).where("label <> ''")
+
+
+def count_positives(lines: DataFrame, otherwise: int = 10_000) -> DataFrame:
+    """(positives, target): lines of high quality, and how many negatives to look for: as many, or a fixed
+    number where there are none."""
+    n = F.count(F.when(F.col("value").startswith("__label__hq"), F.lit(1)))
+    return lines.agg(n.alias("positives")).select("positives", F.when(F.col("positives") > 0, F.col("positives")).otherwise(otherwise).cast("bigint").alias("target"))

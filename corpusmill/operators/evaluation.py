@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusmill import constants as C
 from corpusmill.functions.arrays import let
-from corpusmill.functions.text import answer_candidates, fill, parse_choice, parse_gold_number, parse_turns, strip
+from corpusmill.functions.text import BOXED, answer_candidates, fill, parse_choice, parse_gold_number, parse_turns, strip
+
+from corpusmill.operators.batching import shuffled
 
 
 def mmlu_prompts(df: DataFrame) -> DataFrame:
@@ -109,16 +111,24 @@ def answers_match(candidate: Column, truth: Column) -> Column:
     return let(normal_answer(candidate), lambda a: let(normal_answer(truth), lambda b: normal_match(a, b)))
 
 
-def relaxed_reward(response: Column, truth: Column) -> Column:
+def ground_truths(df: DataFrame, column: str) -> Column:
+    """A column of numbers, texts or lists of them as array<string>; a null gives an empty array."""
+    kind = df.schema[column].dataType.simpleString()
+    as_list = F.col(column).cast("array<string>") if kind.startswith("array") else F.array(F.col(column).cast("string"))
+    return F.when(F.col(column).isNull(), F.array().cast("array<string>")).otherwise(F.filter(as_list, lambda x: x.isNotNull()))
+
+
+def relaxed_reward(response: Column, truths: Column) -> Column:
     """struct<format_reward, answer_reward, reward>: a boxed answer that is right gives all; else any
-    candidate piece that is right gives the answer's reward. Null responses and truths give 0.
+    candidate piece that equals any of the truths (array<string>) gives the answer's reward. Null
+    responses and no truths give 0.
 
     The grader of formulas is a normalised comparison of texts and numbers.
     """
-    boxes = F.regexp_extract_all(response, F.lit("\\\\boxed\\{((?:[^{}]|\\{[^{}]*\\})*)\\}"), F.lit(1))
+    boxes = F.regexp_extract_all(response, F.lit(BOXED), F.lit(1))
 
-    def judge(want: Column) -> Column:
-        right = lambda c: let(normal_answer(c), lambda a: normal_match(a, want))
+    def judge(wanted: Column) -> Column:
+        right = lambda c: let(normal_answer(c), lambda a: F.exists(wanted, lambda w: normal_match(a, w)))
         last = let(boxes, lambda b: F.get(b, F.size(b) - 1))
         boxed = F.coalesce(right(last), F.lit(False))
         free = F.coalesce(F.exists(answer_candidates(response), right), F.lit(False))
@@ -131,17 +141,36 @@ def relaxed_reward(response: Column, truth: Column) -> Column:
             ),
         )
 
-    return let(normal_answer(truth), judge)
+    return let(F.transform(F.coalesce(truths, F.array().cast("array<string>")), normal_answer), judge)
 
 
-def strict_reward(response: Column, truth: Column) -> Column:
-    """The answer must stand in its tag after the thought; right content gives the answer's reward."""
+def strict_reward(response: Column, truths: Column) -> Column:
+    """The answer must stand in its tag after the thought; content that equals one of the truths
+    (array<string>) gives the answer's reward."""
     well = F.coalesce(response.contains("</think> <answer>") & response.contains("</answer>"), F.lit(False))
     inner = strip(F.element_at(F.split(F.element_at(F.split(response, "<answer>"), -1), "</answer>"), 1))
-    right = well & answers_match(inner, truth)
+    right = well & F.coalesce(F.exists(truths, lambda t: answers_match(inner, t)), F.lit(False))
     return F.struct(well.cast("double").alias("format_reward"), right.cast("double").alias("answer_reward"), right.cast("double").alias("reward"))
 
 
+def wrong_sample(df: DataFrame, key: str, predicted: Column, gold: Column, limit: int = 10, seed: int = 42) -> DataFrame:
+    """A seeded sample of at most `limit` rows whose prediction isn't the gold answer."""
+    return df.where(~predicted.eqNullSafe(gold)).orderBy(shuffled(F.col(key), seed), key).limit(limit)
+
+
+def prediction_table(df: DataFrame, instruction: str, output: str, generator: str, dataset: str | None = None) -> DataFrame:
+    """(instruction, output, generator, dataset): a model's outputs as evaluators read them; rows without a
+    dataset are of alpaca_eval."""
+    named = F.coalesce(F.col(dataset), F.lit("alpaca_eval")) if dataset else F.lit("alpaca_eval")
+    return df.select(F.col(instruction).alias("instruction"), F.col(output).alias("output"), F.lit(generator).alias("generator"), named.alias("dataset"))
+
+
+def validation_mean(df: DataFrame, key: str, reward: str, size: int) -> DataFrame:
+    """(n, mean_reward) over the first `size` rows by key, or all if it is not above 0; 0.0 for no rows."""
+    rows = df.orderBy(key).limit(size) if size > 0 else df
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum(reward), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("mean_reward"))
+
+
 REWARDS = {"strict": strict_reward, "answer_focused": relaxed_reward}
 PROMPTS = {"strict": C.THINK_PROMPT, "answer_focused": C.ANSWER_PROMPT}
 

@@ -23,15 +23,15 @@ def unique_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """(key, text): the documents with only those lines that occur once in the whole corpus, every copy
     of a repeated line being dropped. A document that loses all lines, or is null, keeps an empty text.
 
-    Lines are matched by their 128-bit digest's 64-bit halves, so hot lines cost a count, not a group.
+    One aggregate over 128-bit digests of the lines: copies are combined before the shuffle, so a hot line,
+    a blank one say, costs a row a task; lines that occur once go on to their documents.
     """
-    lines = split_lines(df, key, text).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(7)))
-    once = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("h1", "h2")
-    kept = lines.join(once, ["h1", "h2"], "left_semi")
-    joined = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("parts"))
-    joined = joined.select(key, F.array_join(F.col("parts.line"), "").alias("kept"))
-    ids = df.select(key).distinct()
-    return ids.join(joined, key, "left").select(key, F.coalesce("kept", F.lit("")).alias(text))
+    lines = split_lines(df, key, text).withColumn("h", F.unhex(F.md5("line")))
+    counted = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos", "line")).alias("one"))
+    once = counted.where("n = 1").select(F.col(f"one.{key}").alias(key), "one.pos", "one.line")
+    marks = df.select(key, F.lit(-1).alias("pos"), F.lit("").alias("line"))  # every document has one
+    joined = once.unionByName(marks).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("parts"))
+    return joined.select(key, F.array_join(F.col("parts.line"), "").alias(text))
 
 
 def skip_reasons(df: DataFrame, blank, kept) -> DataFrame:  # noqa: ANN001

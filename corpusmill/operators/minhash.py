@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -9,10 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.plans.layout import materialise
+from corpusmill.plans.layout import discard, materialise
 
 EMPTY = (1 << 63) - 1
 #: Rows of one bucket are joined in so many parts.
@@ -54,18 +55,20 @@ def hash_word(word: str) -> int:
 
 
 def signatures(df: DataFrame, key: str, text: str, k: int = 64, n: int = 5, unit: str = "word", seed: int = 1) -> DataFrame:
-    """(key, normal, signature array<bigint>): K seeded minima; EMPTY where a text has no shingle."""
+    """(id, normal, n, signature array<bigint>): K seeded minima over n distinct shingles; EMPTY where a text
+    has no shingle."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
     shifts = rng.integers(0, 1 << 63, k, dtype=np.uint64)
 
-    @F.pandas_udf("struct<normal: string, signature: array<bigint>>")
+    @F.pandas_udf("struct<normal: string, n: bigint, signature: array<bigint>>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             normal = [normalise(t or "") for t in texts]
-            out = []
+            out, sizes = [], []
             for t in normal:
                 h = shingle_hashes(t, n, unit)
+                sizes.append(len(h))
                 if not len(h):
                     out.append([EMPTY] * k)
                     continue
@@ -74,9 +77,24 @@ def signatures(df: DataFrame, key: str, text: str, k: int = 64, n: int = 5, unit
                     mixed = h[start : start + 4096, None] * factors + shifts
                     best = np.minimum(best, (mixed ^ (mixed >> np.uint64(29))).min(0))
                 out.append((best >> np.uint64(1)).astype(np.int64).tolist())
-            yield pd.DataFrame({"normal": normal, "signature": out})
+            yield pd.DataFrame({"normal": normal, "n": sizes, "signature": out})
 
-    return df.select(F.col(key).alias("id"), sign(F.col(text)).alias("s")).select("id", "s.normal", "s.signature")
+    return df.select(F.col(key).alias("id"), sign(F.col(text)).alias("s")).select("id", "s.normal", "s.n", "s.signature")
+
+
+def md5_signatures(df: DataFrame, key: str, shingles: Column, k: int) -> DataFrame:
+    """(id, n, signature): K minima of 60-bit heads of md5 digests of shingle and seed, inside the JVM.
+
+    A portable form for checks in other engines. `shingles` is an array of distinct texts; without any, or
+    if it is null, the signature is EMPTY.
+    """
+
+    def seeded(seed: str):  # noqa: ANN202
+        return lambda x: F.conv(F.substring(F.md5(F.concat(x, F.lit(seed))), 1, 15), 16, 10).cast("bigint")
+
+    least = [F.array_min(F.transform("__s", seeded(f"#{i}"))) for i in range(k)]
+    rows = df.select(F.col(key).alias("id"), F.coalesce(shingles, F.array().cast("array<string>")).alias("__s"))
+    return rows.select("id", F.size("__s").alias("n"), F.array(*[F.coalesce(c, F.lit(EMPTY)) for c in least]).alias("signature"))
 
 
 def agreement(a, b):  # noqa: ANN001, ANN201
@@ -85,21 +103,32 @@ def agreement(a, b):  # noqa: ANN001, ANN201
     return same / F.size(a)
 
 
-def candidate_pairs(signed: DataFrame, bands: int) -> DataFrame:
+#: Texts whose numbers of shingles differ by more than this factor can't be near duplicates; with a size column
+#: buckets are split by classes of this width.
+WIDTH = 1.25
+
+
+def candidate_pairs(signed: DataFrame, bands: int, size: str | None = None) -> DataFrame:
     """(a, b, estimate) with a < b for each pair of signatures that shares a band.
 
     `signed` has rep and signature. K must be a multiple of bands. A band's rows are compared as a whole,
-    not by a hash alone. Buckets are joined in SALTS parts; hot ones are split further by the engine's
-    skew join.
+    not by a hash alone. Given a column of sizes, pairs whose sizes are apart by more than WIDTH never
+    meet: rows join inside a size class and with the next one. Buckets are joined in SALTS parts; hot
+    ones are split further by the engine's skew join.
     """
     k = F.size("signature")
     width = (k / bands).cast("int")
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
-    rows = signed.select("rep", "signature", width.alias("width"), band)
-    rows = rows.select("rep", "band", F.expr("slice(signature, band * width + 1, width)").alias("key"))
-    left = rows.select(F.col("rep").alias("a"), "band", "key", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"))
-    right = rows.select(F.col("rep").alias("b"), "band", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    pairs = left.join(right, ["band", "key", "salt"]).where("a < b").select("a", "b").distinct()
+    weight = F.floor(F.log(F.greatest(F.col(size), F.lit(1))) / math.log(WIDTH)).cast("int") if size else F.lit(0)
+    rows = signed.select("rep", "signature", width.alias("width"), weight.alias("weight"), band)
+    rows = rows.select("rep", "band", "weight", F.expr("slice(signature, band * width + 1, width)").alias("key"))
+    left = rows.select(F.col("rep").alias("a"), "band", "weight", "key", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"))
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))) if size else F.lit(0)
+    right = rows.withColumn("step", near).select(
+        F.col("rep").alias("b"), "band", (F.col("weight") + F.col("step")).alias("weight"), "key",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"),
+    )
+    pairs = left.join(right, ["band", "weight", "key", "salt"]).where("a < b").select("a", "b").distinct()
     of = lambda c: signed.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("estimate"))
 
@@ -107,8 +136,9 @@ def candidate_pairs(signed: DataFrame, bands: int) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of each connected component; vertices has id, edges a and b.
 
-    Least labels are passed on until none changes. Labels are written to the shared folder each round,
-    which cuts the lineage and survives lost executors.
+    Least labels are passed on until none changes, and each label is replaced by its own label, so long
+    chains take few rounds. A round's labels are written to the shared folder, which cuts the lineage and
+    survives lost executors; the round before is deleted.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = materialise(both, "edges")
@@ -121,11 +151,13 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             "labels",
         )
         changed = step.where("component <> before").limit(1).count()
-        # a label is replaced by its own label: halves the rounds that long chains need
+        discard(labels)
+        if not changed:
+            discard(both)
+            return step.select("id", "component")
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
         labels = materialise(step.select("id", "component").join(jump, "component").select("id", F.col("further").alias("component")), "labels")
-        if not changed:
-            return labels
+        discard(step)
 
 
 def near_duplicates(
@@ -142,13 +174,24 @@ def near_duplicates(
         raise ValueError("K must be a multiple of the number of bands")
     signed = materialise(signatures(df, key, text, k, n, unit), "signatures")
     # one representative of equal texts; texts without shingles are one class, whatever they say
-    group = F.when(F.element_at("signature", 1) == EMPTY, F.lit("")).otherwise(F.col("normal"))
-    signed = signed.select("id", F.md5(group).alias("class"), "signature")
+    group = F.when(F.col("n") == 0, F.lit("")).otherwise(F.col("normal"))
+    return cluster(signed.select("id", F.md5(group).alias("class"), "n", "signature"), key, bands, threshold)
+
+
+def cluster(signed: DataFrame, key: str, bands: int, threshold: float) -> DataFrame:
+    """(key, cluster, links) of signed rows: id, class (of equal texts), n shingles, signature.
+
+    Classes are compared once; then their members get the result back, so copies are never paired. At an
+    estimate of 0.8 or more sizes differ by a fourth at most, so buckets are split by size.
+    """
     reps = materialise(
-        signed.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")),
+        signed.groupBy("class").agg(
+            F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")
+        ),
         "representatives",
     )
-    pairs = materialise(candidate_pairs(reps, bands).where(F.col("estimate") >= threshold), "near-pairs")
+    found_pairs = candidate_pairs(reps, bands, "n" if threshold >= 0.8 else None)
+    pairs = materialise(found_pairs.where(F.col("estimate") >= threshold), "near-pairs")
     found = components(reps.select(F.col("rep").alias("id")), pairs)
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("o")).union(pairs.select("b", "a"))
     size = reps.select(F.col("rep").alias("o"), "copies")

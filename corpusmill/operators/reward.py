@@ -57,7 +57,12 @@ def batch_loss(df: DataFrame, by: list[str], loss: str, mask: str, accumulate: i
     return sums.select(*by, (F.try_divide("__s", "__m") / accumulate).alias("loss"))
 
 
-def running_mass(df: DataFrame, by: list[str], probability: str) -> DataFrame:
-    """Cumulative probability in descending order, the relational form of top-p."""
-    w = Window.partitionBy(*by).orderBy(F.desc(probability)).rowsBetween(Window.unboundedPreceding, 0)
+def running_mass(df: DataFrame, by: list[str], probability: str, ties: list[str]) -> DataFrame:
+    """Cumulative probability in descending order, the relational form of top-p; equal ones by the columns `ties`."""
+    w = Window.partitionBy(*by).orderBy(F.desc(probability), *ties).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("mass", F.sum(probability).over(w))
+
+
+def token_losses(df: DataFrame, by: list[str], loss: str) -> DataFrame:
+    """Mean and sum of token losses by group of columns; `loss` is a column of numbers, one a token."""
+    return df.groupBy(*by).agg(F.avg(loss).alias("mean_loss"), F.sum(loss).alias("summed_loss"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,28 +18,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made, and set,
-    so that later calls and checkpoint() use the same one.
+    Only in a local session without that setting (tests, a laptop) a local folder is made, and set, so that
+    later calls and checkpoint() use the same one; on a cluster a missing setting raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Folders written by this process and not yet deleted.
+WRITTEN: set[str] = set()
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which sweep() deletes."""
+    path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+    WRITTEN.add(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a parquet table under shared_dir and read it back.
 
     Cuts the lineage with files that outlive any executor. Unlike checkpoint(), which runs
     the plan once to count and once to write, the plan runs a single time.
     """
-    path = f"{shared_dir(df.sparkSession)}/corpusmill/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = fresh(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    WRITTEN.discard(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote and that no plan reads any more."""
+    delete(df.sparkSession, df.written)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this process has written: once the results that rest on them are stored."""
+    for path in list(WRITTEN):
+        delete(spark, path)
+
+
+@atexit.register
+def sweep_local() -> None:
+    """At the process's end, local folders too."""
+    for path in WRITTEN:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:").replace("///", "/", 1).replace("//", "/", 1), ignore_errors=True)
 
 
 def spread(df: DataFrame) -> DataFrame:

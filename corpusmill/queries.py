@@ -84,9 +84,16 @@ masked("mask_emails", C.EMAIL, C.EMAIL_MASK, X.mask_emails)
 masked("mask_ips", C.IP, C.IP_MASK, X.mask_ips)
 
 
-@query()
+# the look-around of the phone pattern as groups; two passes, since neighbours share a character between them
+PHONE_RE2 = q("(^|[^0-9])" .replace("(^", "(?i)(^") + C.PHONE_BODY.removeprefix("(?i)(?<![0-9])") + "($|[^0-9])")
+PHONE_ONCE = lambda c: f"regexp_replace({c}, {PHONE_RE2}, {q(chr(92) + '1' + C.PHONE_MASK + chr(92) + '2')}, 'g')"
+PHONE_SQL = lambda c: PHONE_ONCE(PHONE_ONCE(c))
+MASK_COUNT = lambda c: f"len(string_split({c}, {q(C.PHONE_MASK)}))"
+
+
+@query(f"SELECT doc_id, md5({PHONE_SQL('text')}) AS digest, CAST({MASK_COUNT(PHONE_SQL('text'))} - {MASK_COUNT('text')} AS BIGINT) AS n FROM documents")
 def mask_phones(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.mask_phones(text()).alias("text"), X.count_matches(text(), C.PHONE["corrected"]).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.mask_phones(text())).alias("digest"), X.count_matches(text(), C.PHONE["corrected"]).alias("n"))
 
 
 @query("SELECT doc_id, md5(text) AS digest, CAST(CASE WHEN text IS NOT NULL THEN 0 END AS BIGINT) AS n FROM documents")
@@ -102,9 +109,13 @@ def desensitize_as_stated(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(X.desensitize(text(), "reference")).alias("digest"))
 
 
-@query()
+EMAIL_SQL = lambda c: f"regexp_replace({c}, {q(C.EMAIL)}, {q(C.EMAIL_MASK)}, 'g')"
+CLEAN_SQL = lambda c: f"regexp_replace({PHONE_SQL(EMAIL_SQL(c))}, {q(C.IP)}, {q(C.IP_MASK)}, 'g')"
+
+
+@query(f"SELECT doc_id, md5({CLEAN_SQL('text')}) AS digest FROM documents")
 def desensitize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.desensitize(text()).alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.desensitize(text())).alias("digest"))
 
 
 @query(f"SELECT doc_id, md5(array_to_string({WORDS_SQL}, ' ')) AS digest FROM documents")
@@ -112,9 +123,17 @@ def collapse_whitespace(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(X.collapse_spaces(text())).alias("digest"))
 
 
-@query()
+@query(
+    METRICS_SQL.replace("WITH w AS", f"WITH masked AS (SELECT doc_id, {CLEAN_SQL('text')} AS text FROM documents), w AS").replace("FROM documents WHERE", "FROM masked WHERE")
+    .replace("SELECT doc_id, CAST(len(ws)", "SELECT doc_id, ws, CAST(len(ws)")
+    + f"SELECT doc_id, 'hq' AS label, md5(array_to_string(ws, ' ')) AS digest FROM m WHERE {KEEP_SQL}"
+)
 def positive_samples(spark: SparkSession, d: str) -> DataFrame:
     """Blank guard, masks, rule filter, one line."""
+    return positives(spark, d).select("doc_id", "label", F.md5("text").alias("digest"))
+
+
+def positives(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where(~X.is_blank(text())).select("doc_id", X.desensitize(text()).alias("text"))
     return rows.where(X.gopher_keep(text())).select("doc_id", F.lit("hq").alias("label"), X.collapse_spaces(text()).alias("text"))
 
@@ -127,19 +146,10 @@ def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     return lines.skip_reasons(table(spark, d, "documents"), X.is_blank(text()), X.gopher_keep(text()))
 
 
-@query("SELECT doc_id, md5(regexp_replace(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), 'x', 'x', 'g')) AS digest FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\\n]*')")
-def dedup_normal_ascii(spark: SparkSession, d: str) -> DataFrame:
-    """The deduplication form of texts of plain characters; tests cover all others."""
-
-    @F.pandas_udf("string")
-    def normal(texts):  # noqa: ANN001, ANN202
-        return texts.map(minhash.normalise)
+NORMAL_SQL = f"strip_accents(trim(regexp_replace(regexp_replace(lower(text), {q('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + C.SPACE[1:-1] + ']')}, '', 'g'), {q(C.SPACE + '+')}, ' ', 'g')))"
 
-    rows = table(spark, d, "documents").where(text().rlike("^[ -~\n]*\\z"))
-    return rows.select("doc_id", F.md5(F.replace(normal(text()), F.lit("_"), F.lit(""))).alias("digest"))
 
-
-@query()
+@query(f"SELECT doc_id, md5({NORMAL_SQL}) AS digest FROM documents")
 def dedup_normal(spark: SparkSession, d: str) -> DataFrame:
     """The deduplication form of all documents; a null text has none."""
 
@@ -150,7 +160,10 @@ def dedup_normal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(normal(text())).alias("digest"))
 
 
-@query()
+CHARS = "regexp_extract_all(text, '(?s).')"
+
+
+@query(f"SELECT doc_id, CAST(CASE WHEN len(c) < 5 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(c) - 3), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3] || c[i + 4]))) END AS BIGINT) AS n FROM (SELECT doc_id, {CHARS} AS c FROM documents WHERE text IS NOT NULL)")
 def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(X.char_shingles(text(), 5)).cast("bigint").alias("n"))
 
@@ -200,21 +213,82 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
     return words.groupBy("pretoken").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+SEP = chr(0xFDD0)  # a character that no text may have
+NO_SPACE = f"[^{C.SPACE[1:-1]}]"
+# a run of white space gives its last character to what follows: a mark before it stands for the look-ahead
+TOKENS_SQL = lambda c: (
+    f"regexp_extract_all(regexp_replace({c}, {q(f'({C.SPACE})({NO_SPACE})')}, {q(SEP + chr(92) + '1' + chr(92) + '2')}, 'g'), "
+    + q(f"'(?:[sdmt]|ll|ve|re)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{C.SPACE[1:-1]}\\p{{L}}\\p{{N}}{SEP}]+|{C.SPACE}+") + ")"
+)
+PRE_SQL = f"t AS (SELECT unnest({TOKENS_SQL('text')}) AS pretoken FROM documents), p AS (SELECT pretoken, count(*) AS n FROM t GROUP BY pretoken)"
+BYTES_SQL = "b AS (SELECT regexp_extract_all(hex(encode(pretoken)), '..') AS b, n FROM p)"
+PAIRS_OF_SQL = "u AS (SELECT unnest(list_zip(b[1:len(b) - 1], b[2:len(b)])) AS z, n FROM b WHERE len(b) > 1), c AS (SELECT z[1] AS \"left\", z[2] AS \"right\", CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY ALL)"
+
+
+@query(f"WITH s AS (SELECT unnest(string_split(text, '<|endoftext|>')) AS text FROM documents), {PRE_SQL.replace('FROM documents', 'FROM s')} SELECT pretoken, CAST(n AS BIGINT) AS n FROM p")
 def pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
     return bpe.pretoken_counts(table(spark, d, "documents"), specials=["<|endoftext|>"])
 
 
-@query()
+@query(f"WITH {PRE_SQL}, {BYTES_SQL}, {PAIRS_OF_SQL} SELECT * FROM c")
 def pair_counts(spark: SparkSession, d: str) -> DataFrame:
     return bpe.pair_counts(bpe.pretoken_counts(table(spark, d, "documents")))
 
 
-@query()
+@query(f"WITH {PRE_SQL}, {BYTES_SQL}, {PAIRS_OF_SQL} SELECT * FROM c ORDER BY n DESC, \"left\" DESC, \"right\" DESC LIMIT 1")
 def best_pair(spark: SparkSession, d: str) -> DataFrame:
     return bpe.best_pair(bpe.pair_counts(bpe.pretoken_counts(table(spark, d, "documents"))))
 
 
+@query(
+    f"WITH {PRE_SQL}, h AS (SELECT array_to_string(regexp_extract_all(hex(encode(pretoken)), '..'), ' ') || ' ' AS h, n FROM p), "
+    f"b AS (SELECT string_split(rtrim(replace(h, '20 74 ', '2074 ')), ' ') AS b, n FROM h), {PAIRS_OF_SQL} SELECT * FROM c"
+)
+def merged_pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pair counts once a blank and a t have been merged."""
+    return bpe.pair_counts(bpe.merge_pair(bpe.pretoken_counts(table(spark, d, "documents")), "20", "74"))
+
+
+@query(f"SELECT w AS pretoken, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(text, {q(C.PRETOKEN_SIMPLE)})) AS w FROM documents) GROUP BY w")
+def simple_pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select(F.explode(X.pretokens(text(), C.PRETOKEN_SIMPLE)).alias("pretoken"))
+    return words.groupBy("pretoken").agg(F.count(F.lit(1)).alias("n"))
+
+
+CUTS = ["the", "there", "."]
+CUT_SQL = f"regexp_replace(text, '(there|the|[.])', {q(SEP + chr(92) + '1' + SEP)}, 'g')"
+
+
+@query(f"SELECT doc_id, list_filter(string_split({CUT_SQL}, {q(SEP)}), lambda x: x <> '') AS pieces FROM documents")
+def special_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut at tokens that stay as pieces; of two that start alike the longer one."""
+    return table(spark, d, "documents").select("doc_id", X.split_specials(text(), CUTS).alias("pieces"))
+
+
+@query("SELECT doc_id, list_filter(string_split(regexp_replace(text, '(there|the|[.])', " + q(SEP) + ", 'g'), " + q(SEP) + "), lambda x: x <> '') AS pieces FROM documents")
+def special_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut at tokens that are dropped."""
+    return table(spark, d, "documents").select("doc_id", X.split_specials(text(), CUTS, keep=False).alias("pieces"))
+
+
+@query("SELECT CAST(b AS INTEGER) AS byte, CASE WHEN p THEN chr(CAST(b AS INTEGER)) ELSE chr(CAST(255 + sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (ORDER BY b) AS INTEGER)) END AS letter FROM (SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 AS p FROM range(256) t(b))")
+def byte_letters(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(bpe.byte_table().items()), "byte int, letter string")
+
+
+@query("SELECT CAST(b AS INTEGER) AS id, printf('%02X', CAST(b AS INTEGER)) AS token FROM range(256) t(b) UNION ALL VALUES (256, hex(encode('<|a|>'))), (257, hex(encode('<|b|>')))")
+def initial_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.initial_vocabulary(spark, ["<|a|>", "<|b|>", "<|a|>"]).select("id", F.hex("token").alias("token"))
+
+
+@query("SELECT hex(encode(instruction)) AS token, CAST(max(example_id) AS BIGINT) AS id FROM preference_examples WHERE instruction IS NOT NULL GROUP BY instruction")
+def token_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Of equal tokens the highest id; instructions stand in for tokens."""
+    rows = table(spark, d, "preference_examples").where("instruction is not null")
+    rows = rows.select(F.encode("instruction", "utf-8").alias("token"), F.col("example_id").alias("id"))
+    return bpe.highest_ids(rows).select(F.hex("token").alias("token"), "id")
+
+
 @query()
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "preference_examples"), "example_id", "instruction", {"<|endoftext|>": 50256})
@@ -272,25 +346,60 @@ def mmlu_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return done.select("n", r6("accuracy").alias("accuracy"), "parse_failures", r6("parse_failure_rate").alias("parse_failure_rate"))
 
 
-@query("SELECT example_id, md5(" + replaced(C.ALPACA, response="chosen", instruction="instruction") + ") AS digest FROM preference_examples WHERE instruction NOT LIKE '%{response}%' OR instruction IS NULL")
+# a text with two fields: the halves around them, so that a field's name inside a field stays as it is
+def filled(template: str, first: str, second: str, a: str, b: str) -> str:
+    head, rest = template.split("{" + first + "}")
+    middle, tail = rest.split("{" + second + "}")
+    return f"{q(head)} || {a} || {q(middle)} || {b} || {q(tail)}"
+
+
+@query(f"SELECT example_id, md5({filled(C.ALPACA, 'instruction', 'response', 'instruction', 'chosen')}) AS digest FROM preference_examples")
 def alpaca_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "preference_examples").where("instruction not like '%{response}%' or instruction is null")
+    rows = table(spark, d, "preference_examples")
     return rows.select("example_id", F.md5(evaluation.alpaca(F.col("instruction"), F.col("chosen"))).alias("digest"))
 
 
-@query()
-def alpaca_all_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Of all rows, those whose instruction holds a field's name included."""
+@query(f"SELECT example_id, md5({filled(C.ALPACA_INDENTED, 'instruction', 'response', 'instruction', 'rejected')}) AS digest FROM preference_examples")
+def alpaca_indented(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "preference_examples")
-    return rows.select("example_id", F.md5(evaluation.alpaca(F.col("instruction"), F.col("chosen"))).alias("digest"))
+    return rows.select("example_id", F.md5(evaluation.alpaca(F.col("instruction"), F.col("rejected"), True)).alias("digest"))
 
 
-@query()
+@query(f"SELECT item_id, replace({q(C.THINK_PROMPT)}, '{{question}}', problem) AS strict, replace({q(C.ANSWER_PROMPT)}, '{{question}}', problem) AS answer_focused FROM math_problems")
+def mode_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompts of both reward modes."""
+    rows = table(spark, d, "math_problems")
+    return rows.select("item_id", *[X.fill(evaluation.by_mode(m)[1], question=F.col("problem")).alias(m) for m in ("strict", "answer_focused")])
+
+
+# turns: marks stand for the look-ahead; an empty turn takes the next one's name as its content
+STRIP_SQL = lambda c: f"regexp_replace(regexp_replace({c}, {q('^' + C.SPACE + '+')}, ''), {q(C.SPACE + '+$')}, '')"
+TURN_SQL = "(?s)(Human|Assistant):\\s*(.*)"
+TURNS_SQL = lambda c: (
+    f"list_filter(string_split(regexp_replace(regexp_replace({c}, '(Human|Assistant):\\s*\\n\\n(Human|Assistant):', '\\1:\\2:', 'g'), '\\n\\n(Human|Assistant):', {q(SEP + chr(92) + '1:')}, 'g'), {q(SEP)}), "
+    f"lambda x: regexp_matches(x, {q(TURN_SQL)}))"
+)
+ROLE_SQL, SAID_SQL = (lambda x: f"regexp_extract({x}, {q(TURN_SQL)}, 1)"), (lambda x: STRIP_SQL(f"regexp_extract({x}, {q(TURN_SQL)}, 2)"))
+WELL_SQL = lambda t: f"len({t}) = 2 AND {ROLE_SQL(t + '[1]')} = 'Human' AND {ROLE_SQL(t + '[2]')} = 'Assistant' AND {SAID_SQL(t + '[1]')} <> '' AND {SAID_SQL(t + '[2]')} <> ''"
+PREFERENCES_SQL = (
+    f"WITH t AS (SELECT raw_id, {TURNS_SQL('chosen')} AS c, {TURNS_SQL('rejected')} AS r FROM raw_preferences), "
+    f"s AS (SELECT raw_id, c, r, CASE WHEN NOT coalesce({WELL_SQL('c')}, false) OR NOT coalesce({WELL_SQL('r')}, false) THEN 'unparsed' "
+    f"WHEN {SAID_SQL('c[1]')} <> {SAID_SQL('r[1]')} THEN 'prompts_differ' ELSE 'kept' END AS status FROM t) "
+)
+
+
+@query(f"WITH t AS (SELECT raw_id, {TURNS_SQL('chosen')} AS t FROM raw_preferences) SELECT raw_id, CASE WHEN t IS NOT NULL THEN list_transform(t, lambda x: {ROLE_SQL('x')}) END AS roles, list_transform(t, lambda x: {SAID_SQL('x')}) AS contents FROM t")
+def conversation_turns(spark: SparkSession, d: str) -> DataFrame:
+    turns = X.parse_turns(F.col("chosen"))
+    return table(spark, d, "raw_preferences").select("raw_id", turns["role"].alias("roles"), turns["content"].alias("contents"))
+
+
+@query(PREFERENCES_SQL + f"SELECT raw_id, status, CASE WHEN status = 'kept' THEN {SAID_SQL('c[1]')} END AS instruction, CASE WHEN status = 'kept' THEN {SAID_SQL('c[2]')} END AS chosen, CASE WHEN status = 'kept' THEN {SAID_SQL('r[2]')} END AS rejected FROM s")
 def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.parse_preferences(table(spark, d, "raw_preferences"))
+    return evaluation.parse_preferences(table(spark, d, "raw_preferences")).select("raw_id", "status", "instruction", "chosen", "rejected")
 
 
-@query()
+@query(PREFERENCES_SQL + "SELECT status, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY status")
 def preference_load_counts(spark: SparkSession, d: str) -> DataFrame:
     return preference_pairs(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -307,8 +416,10 @@ def answer_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def relaxed_rewards(spark: SparkSession, d: str) -> DataFrame:
-    rows = rollouts(spark, d).select("rollout_id", "item_id", "response").join(table(spark, d, "math_problems").select("item_id", "answer"), "item_id", "left")
-    return rows.select("rollout_id", evaluation.relaxed_reward(F.col("response"), F.col("answer")).alias("r")).select("rollout_id", "r.*")
+    problems = table(spark, d, "math_problems")
+    problems = problems.select("item_id", evaluation.ground_truths(problems, "answer").alias("truths"))
+    rows = rollouts(spark, d).select("rollout_id", "item_id", "response").join(problems, "item_id", "left")
+    return rows.select("rollout_id", evaluation.relaxed_reward(F.col("response"), F.col("truths")).alias("r")).select("rollout_id", "r.*")
 
 
 # ------------------------------------------------------------------ rewards and losses
@@ -488,11 +599,20 @@ def pack_sequences(spark: SparkSession, d: str) -> DataFrame:
     return batching.pack(letters(spark, d), "item_id", "ids", 128, 1, 2)
 
 
-@query()
+CODES_SQL = lambda c: f"list_transform(regexp_extract_all(coalesce({c}, ''), '(?s).'), lambda x: ascii(x))"
+
+
+@query(
+    f"WITH t AS (SELECT item_id, item_id // 16 AS b, {CODES_SQL('problem')} AS p, {CODES_SQL('answer')} AS r FROM math_problems), m AS (SELECT b, max(len(p) + len(r)) AS n FROM t GROUP BY b), "
+    "f AS (SELECT item_id, n, list_concat(list_concat(p, r), list_transform(range(n - len(p) - len(r)), lambda i: 0)) AS v, "
+    "list_concat(list_concat(list_transform(p, lambda x: false), list_transform(r, lambda x: true)), list_transform(range(n - len(p) - len(r)), lambda i: false)) AS k FROM t JOIN m USING (b)) "
+    "SELECT item_id, v[1:n - 1] AS input_ids, v[2:n] AS labels, k[2:n] AS response_mask FROM f"
+)
 def prompt_response_mask(spark: SparkSession, d: str) -> DataFrame:
     codes = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?s)."), F.lit(0)), lambda x: F.ascii(x))
-    rows = table(spark, d, "math_problems").select("item_id", codes(F.col("problem")).alias("p"), codes(F.col("answer")).alias("r"))
-    return batching.pad_pairs(rows, "item_id", "p", "r", 0)
+    rows = table(spark, d, "math_problems")
+    rows = rows.select("item_id", codes(F.col("problem")).alias("p"), codes(F.col("answer")).alias("r"), F.expr("item_id div 16").alias("b"))
+    return batching.pad_pairs(rows, "item_id", "p", "r", 0, "b")
 
 
 @query("SELECT CAST(r AS BIGINT) AS step, round(CASE WHEN r < 10 THEN 0.001 * r / 10 WHEN r > 90 THEN 0.0001 ELSE 0.0001 + 0.0009 * (1 + cos(3.141592653589793 * (r - 10) / 80)) / 2 END, 9) AS rate FROM range(120) t(r)")
@@ -536,8 +656,7 @@ def moderation_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def html_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Visible text of documents that hold markup."""
+    """Visible text of all documents, read as pages."""
     from corpusmill.functions.html import html_text
 
-    rows = table(spark, d, "documents").where(text().rlike("<[a-zA-Z/]"))
-    return rows.select("doc_id", html_text(text()).alias("text"))
+    return table(spark, d, "documents").select("doc_id", html_text(text()).alias("text"))
