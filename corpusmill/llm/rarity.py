@@ -23,20 +23,34 @@ INFORMATIVE, UNSEEN = 2.5, 8.5
 #: Steps of a stored count: code = STEPS log2(count + 1), so a count is kept to about a tenth.
 STEPS = 5
 VALUES = np.exp2(np.arange(256) / STEPS) - 1
+LOGS = [0.0, *np.log(np.maximum(VALUES[1:], 1.0)).tolist()]
+PAIR = 0x9E3779B1
+
+
+def code(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
 def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> (32 - BITS)
+    return code(word) >> (32 - BITS)
+
+
+def pair_bucket(before: int, after: int) -> int:
+    """Of the codes of two words in sequence."""
+    return ((before * PAIR + after) & 0xFFFFFFFF) * PAIR >> (64 - BITS) & ((1 << BITS) - 1)
 
 
 class Rarity:
     """-log of the share of texts that have a word; what a word tells beyond the one before it."""
 
     def __init__(self, texts: int, ones: np.ndarray, twos: np.ndarray | None = None):
-        self.texts, self.ones, self.twos = max(texts, 1), ones, twos
-        #: Counts up to which a bucket tells no more than chance does.
-        self.noise = 2.0 if twos is None else max(2.0, 2 * float(VALUES[twos].sum()) / len(twos))
-        self.memory: dict[str, float] = {}
+        self.texts, self.ones = max(texts, 1), ones.tobytes()
+        self.twos = None if twos is None else twos.tobytes()
+        #: Codes of counts up to which a bucket tells no more than chance does.
+        noise = 2.0 if twos is None else max(2.0, 2 * float(VALUES[twos].sum()) / len(twos))
+        self.noise = int(STEPS * math.log2(noise + 1))
+        self.top = math.log(self.texts + 1)
+        self.memory: dict[str, tuple[float, int]] = {}
 
     @staticmethod
     def from_counts(texts: int, counts: dict[str, int]) -> Rarity:
@@ -49,23 +63,33 @@ class Rarity:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memory": {}}
 
-    def of(self, word: str) -> float:
+    def look_up(self, word: str) -> tuple[float, int]:
+        """Nats of rarity and code of a word; looked-up words are remembered."""
         found = self.memory.get(word)
         if found is None:
             if len(self.memory) > 500_000:
                 self.memory.clear()
-            count = VALUES[self.ones[bucket(word)]]
-            nats = math.log((self.texts + 1) / max(1.0, count))
-            found = self.memory[word] = max(0.0 if count else UNSEEN, nats)
+            c = code(word)
+            stored = self.ones[c >> (32 - BITS)]
+            found = self.memory[word] = max(0.0 if stored else UNSEEN, self.top - LOGS[stored]), c
         return found
 
-    def beyond(self, word: str, after: str) -> float:
-        """Nats that a word adds to the one before it: all its own unless the pair is known to be frequent."""
-        count = VALUES[self.twos[bucket(f"{after} {word}")]]
-        own = self.of(word)
-        if count <= self.noise:
-            return own
-        return max(0.0, min(own, math.log((self.texts + 1) / count) - self.of(after)))
+    def of(self, word: str) -> float:
+        return self.look_up(word)[0]
+
+    def told(self, known: list[tuple[float, int]]) -> list[float]:
+        """Nats that each of some looked-up words adds to the one before it: all its own unless the pair is
+        known to be frequent."""
+        twos, noise, top = self.twos, self.noise, self.top
+        beyond, before, code_before = [], 0.0, 0
+        for own, code_ in known:
+            x = own
+            if beyond and (stored := twos[pair_bucket(code_before, code_)]) > noise:
+                x = top - LOGS[stored] - before
+                x = 0.0 if x < 0 else own if x > own else x
+            beyond.append(x)
+            before, code_before = own, code_
+        return beyond
 
     def informative(self, ws: list[str]) -> list[str]:
         return [w for w in ws if self.of(w) >= INFORMATIVE]
@@ -97,13 +121,13 @@ def count_table(texts: DataFrame, known: Rarity | None) -> tuple[int, np.ndarray
             for t in batch["text"]:
                 ws = words(fold(t))
                 if rarity is not None:
-                    ws = rarity.informative(ws)
-                    ws = [f"{x} {y}" for x, y in zip(ws, ws[1:])]
+                    known = [c for x, c in map(rarity.look_up, ws) if x >= INFORMATIVE]
+                    ws = map(pair_bucket, known, known[1:])
                 counts.update(set(ws))
                 total += 1
         folded: Counter = Counter({-1: total})
         for w, c in counts.items():
-            folded[bucket(w)] += c
+            folded[bucket(w) if rarity is None else w] += c
         yield pd.DataFrame({"b": list(folded), "n": list(folded.values())}, dtype="int64")
 
     summed = texts.select("text").mapInPandas(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
@@ -132,4 +156,4 @@ def word_rarity(texts: DataFrame) -> Rarity:
 def pair_rarity(texts: DataFrame) -> Rarity:
     """Of words and of pairs of informative words in sequence."""
     known = word_rarity(texts)
-    return Rarity(known.texts, known.ones, count_table(texts, known)[1])
+    return Rarity(known.texts, np.frombuffer(known.ones, np.uint8), count_table(texts, known)[1])
