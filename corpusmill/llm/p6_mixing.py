@@ -229,7 +229,7 @@ def mix_selection(documents: DataFrame, targets: DataFrame, length: int = LENGTH
     uses = draw_slots(documents.sparkSession, plan).groupBy("mix_id", "source", "block").agg(F.count(F.lit(1)).alias("uses"))
     return (
         cut_pieces(streams, length)
-        .join(uses, ["source", "block"])
+        .join(uses.hint("merge"), ["source", "block"])  # both sides grow with the corpus
         .groupBy("mix_id", "source", "doc_id", "n_tokens")
         .agg(F.max("uses").alias("copies"), F.sum(F.col("uses") * (F.col("to_token") - F.col("from_token"))).alias("tokens_used"))
     )
