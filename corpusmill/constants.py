@@ -16,10 +16,12 @@ PHONE_BODY = (
 PHONE = {"reference": PHONE_BODY + "(?<![0-9])", "corrected": PHONE_BODY + "(?![0-9])"}
 PHONE_MASK = "|||PHONE_NUMBER|||"
 
-#: The pre-token pattern; white space is Unicode's.
+#: White space as Unicode has it, which the pre-token patterns go by: without the four separators.
+WHITE = SPACE.replace("\\x1c-\\x1f", "")
 PRETOKEN = (
-    f"'(?:[sdmt]|ll|ve|re)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE[1:-1]}\\p{{L}}\\p{{N}}]+|{SPACE}+(?![^{SPACE[1:-1]}])|{SPACE}+"
+    f"'(?:[sdmt]|ll|ve|re)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{WHITE[1:-1]}\\p{{L}}\\p{{N}}]+|{WHITE}+(?![^{WHITE[1:-1]}])|{WHITE}+"
 )
+#: The simple form goes by all 29 characters that Python takes for white space.
 PRETOKEN_SIMPLE = f"{SPACE}*[^{SPACE[1:-1]}]+"
 
 SYSTEM_PROMPT = """# Instruction

@@ -214,11 +214,11 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEP = chr(0xFDD0)  # a character that no text may have
-NO_SPACE = f"[^{C.SPACE[1:-1]}]"
+NO_SPACE = f"[^{C.WHITE[1:-1]}]"
 # a run of white space gives its last character to what follows: a mark before it stands for the look-ahead
 TOKENS_SQL = lambda c: (
-    f"regexp_extract_all(regexp_replace({c}, {q(f'({C.SPACE})({NO_SPACE})')}, {q(SEP + chr(92) + '1' + chr(92) + '2')}, 'g'), "
-    + q(f"'(?:[sdmt]|ll|ve|re)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{C.SPACE[1:-1]}\\p{{L}}\\p{{N}}{SEP}]+|{C.SPACE}+") + ")"
+    f"regexp_extract_all(regexp_replace({c}, {q(f'({C.WHITE})({NO_SPACE})')}, {q(SEP + chr(92) + '1' + chr(92) + '2')}, 'g'), "
+    + q(f"'(?:[sdmt]|ll|ve|re)| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{C.WHITE[1:-1]}\\p{{L}}\\p{{N}}{SEP}]+|{C.WHITE}+") + ")"
 )
 PRE_SQL = f"t AS (SELECT unnest({TOKENS_SQL('text')}) AS pretoken FROM documents), p AS (SELECT pretoken, count(*) AS n FROM t GROUP BY pretoken)"
 BYTES_SQL = "b AS (SELECT regexp_extract_all(hex(encode(pretoken)), '..') AS b, n FROM p)"

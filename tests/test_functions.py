@@ -69,10 +69,12 @@ def test_answers(spark):
     assert found[:3] == ["x = 5", "<answer> x = 5 </answer>\nAnswer: 3/4", "3/4"]
     assert one(spark, X.answer_candidates(x), value="\\boxed{\\frac{1}{2}}")[0] == "\\frac{1}{2}"
     assert one(spark, X.answer_candidates(x), value="  ") == []
-    assert one(spark, E.relaxed_reward(x, F.lit("0.5")), value="\\boxed{\\frac{1}{2}}")["format_reward"] == 1.0
-    assert tuple(one(spark, E.relaxed_reward(x, F.lit("5")), value="we get 5")) == (0.0, 1.0, 1.0)
-    assert tuple(one(spark, E.relaxed_reward(x, F.lit("5")))) == (0.0, 0.0, 0.0)
-    assert tuple(one(spark, E.strict_reward(x, F.lit("5")), value="a</think> <answer>5</answer>")) == (1.0, 1.0, 1.0)
+    assert one(spark, X.answer_candidates(x), value="\\boxed{a{b{c{d}}}} or not")[0] == "a{b{c{d}}}"
+    assert tuple(one(spark, E.relaxed_reward(x, F.array().cast("array<string>")), value="5")) == (0.0, 0.0, 0.0)
+    assert one(spark, E.relaxed_reward(x, F.array(F.lit("no"), F.lit("0.5"))), value="\\boxed{\\frac{1}{2}}")["format_reward"] == 1.0
+    assert tuple(one(spark, E.relaxed_reward(x, F.array(F.lit("5"))), value="we get 5")) == (0.0, 1.0, 1.0)
+    assert tuple(one(spark, E.relaxed_reward(x, F.array(F.lit("5"))))) == (0.0, 0.0, 0.0)
+    assert tuple(one(spark, E.strict_reward(x, F.array(F.lit("5"))), value="a</think> <answer>5</answer>")) == (1.0, 1.0, 1.0)
 
 
 def test_conversations(spark):
@@ -129,3 +131,25 @@ def test_pages():
     assert page_text("<p>naïve".encode("latin-1")) == "naïve"
     assert page_text(None) is None
     assert page_text("") == ""
+
+
+def test_losses_and_units(spark):
+    import pytest
+
+    x, arr = F.col("x"), "array<double>"
+    assert one(spark, A.sequence_logprob(x, F.lit(2), F.lit(2)), arr, [-1.0, -2.0, -4.0, -8.0]) == -6.0
+    losses = {k: one(spark, A.loss_by_type(k, x, F.lit(2.0), F.lit(-1.0), F.array(F.lit(0.0)), 0.2), arr, [0.0]) for k in ("no_baseline", "reinforce_with_baseline", "grpo_clip")}
+    assert losses == {"no_baseline": [0.0], "reinforce_with_baseline": [0.0], "grpo_clip": [1.0]}
+    with pytest.raises(ValueError):
+        A.loss_by_type("other", x, x, x, x, 0.2)
+    keys = F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)))
+    got = one(spark, A.attention(x, keys, keys, F.array(F.lit(1), F.lit(0))), arr, [0.3, 0.9])
+    assert abs(got[0] - 1) < 1e-9 and abs(got[1]) < 1e-9
+    assert one(spark, A.swiglu(x, x), arr, [0.0]) == [0.0]
+
+
+def test_shingles_outside_the_basic_plane(spark):
+    for t in ("ab🙂cd🙂ef", "🙂🙂🙂🙂🙂🙂", "abcd", "", "naïve é"):
+        want = {t[i : i + 5] for i in range(len(t) - 4)}
+        got = one(spark, X.char_shingles(F.col("x"), 5), value=t)
+        assert set(got) == want and len(got) == len(want)

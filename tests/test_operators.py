@@ -132,10 +132,102 @@ def test_language_model_batches(spark):
 
 
 def test_padding(spark):
-    df = spark.createDataFrame([(1, [1, 2], [3]), (2, [4], [5, 6, 7])], "k int, p array<int>, r array<int>")
-    got = {r["k"]: r for r in batching.pad_pairs(df, "k", "p", "r", 0).collect()}
+    df = spark.createDataFrame([(1, 0, [1, 2], [3]), (2, 0, [4], [5, 6, 7]), (3, 1, [8], [9]), (4, None, None, [1])], "k int, b int, p array<int>, r array<int>")
+    got = {r["k"]: r for r in batching.pad_pairs(df.where("b = 0"), "k", "p", "r", 0).collect()}
     assert got[1]["input_ids"] == [1, 2, 3] and got[1]["labels"] == [2, 3, 0]
     assert got[1]["response_mask"] == [False, True, False] and got[2]["response_mask"] == [True, True, True]
+    got = {r["k"]: r for r in batching.pad_pairs(df, "k", "p", "r", 0, "b").collect()}
+    assert got[3]["input_ids"] == [8] and got[3]["labels"] == [9] and len(got[2]["labels"]) == 3
+    assert got[4]["input_ids"] == [] and got[4]["response_mask"] == []
+    assert batching.pad_pairs(df.where("false"), "k", "p", "r", 0).count() == 0
+
+
+def test_batch_settings():
+    assert batching.check_batches(64, 16, 128, 8) == {"microbatch": 4, "prompts": 16, "updates": 2}
+    for bad in ((65, 16, 130, 8), (64, 16, 100, 8), (4, 2, 64, 8), (64, 16, 96, 8)):
+        with pytest.raises(ValueError):
+            batching.check_batches(*bad)
+    assert batching.parse_steps("1, 50,", 9) == {1, 50} and batching.parse_steps(" ", 9) == {1, 4, 9}
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(batching, "PART_ROWS", 7)
+    df = spark.range(100).withColumnRenamed("id", "k").withColumn("w", F.lit(3))
+    many = {r["k"]: r["position"] for r in batching.positions(df, batching.shuffled(F.col("k")), ["k"], F.col("w")).collect()}
+    monkeypatch.setattr(batching, "PART_ROWS", 10**6)
+    one = {r["k"]: r["position"] for r in batching.positions(df, batching.shuffled(F.col("k")), ["k"], F.col("w")).collect()}
+    assert many == one and sorted(one.values()) == list(range(0, 300, 3))
+    monkeypatch.setattr(batching, "PART_ROWS", 7)
+    skewed = spark.createDataFrame([(2**i, [i, i]) for i in range(60)], "k bigint, ids array<int>")
+    placed = {r["k"]: r["position"] for r in batching.stream_positions(skewed, "k", "ids").collect()}
+    assert placed == {2**i: 2 * i for i in range(60)}
+
+
+def test_merges(spark):
+    counts = spark.createDataFrame([("aaab", 2), (" tt t", 1), ("", 5)], "pretoken string, n bigint")
+    once = bpe.merge_pair(counts, "61", "61")
+    assert sorted((r["pieces"], r["n"]) for r in once.collect()) == [([], 5), (["20", "74", "74", "20", "74"], 1), (["6161", "61", "62"], 2)]
+    twice = bpe.merge_pair(once, "6161", "61")
+    assert ["616161", "62"] in [r["pieces"] for r in twice.collect()]
+    pairs = {(r["left"], r["right"]): r["n"] for r in bpe.pair_counts(twice).collect()}
+    assert pairs[("616161", "62")] == 2 and pairs[("20", "74")] == 2
+
+
+def test_vocabulary_files(spark, tmp_path):
+    vocab, ranks = {"a": 0, "b": 1, "#": 2, "ab": 3, "#a": 4, "Ġ": 5}, {("#", "a"): 0, ("a", "b"): 1}
+    paths = bpe.write_vocabulary(vocab, ranks, str(tmp_path))
+    with open(paths[1], "a") as f:
+        f.write("\nnot a pair of tokens\n")
+    assert bpe.load(*paths) == (vocab, ranks)
+    assert bpe.encode_word("#ab", vocab, ranks, bpe.byte_table()) == [4, 1]
+    tokens = spark.createDataFrame([(b"x", 1), (b"x", 7), (b"y", 2)], "token binary, id int")
+    assert {(bytes(r["token"]), r["id"]) for r in bpe.highest_ids(tokens).collect()} == {(b"x", 7), (b"y", 2)}
+
+
+def test_long_words_merge_in_time():
+    vocab, ranks = bpe.load(bpe.VOCABULARY)
+    table = bpe.byte_table()
+
+    def slow(word):
+        parts = [table[b] for b in word.encode()]
+        while len(parts) > 1:
+            rank, at = min((ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 60:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [vocab[p] for p in parts]
+
+    rng = random.Random(2)
+    for _ in range(300):
+        word = "".join(rng.choice("aabcdeinost é") for _ in range(rng.randrange(1, 40)))
+        assert bpe.encode_word(word, vocab, ranks, table) == slow(word)
+    assert len(bpe.encode_word("ab" * 100_000, vocab, ranks, table)) > 1000
+
+
+def test_sizes_split_buckets_without_loss(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.randrange(3) for _ in range(4)], rng.randrange(1, 200)) for i in range(80)]
+    df = spark.createDataFrame(rows, "rep bigint, signature array<bigint>, n bigint")
+    all_pairs = {(r["a"], r["b"]) for r in minhash.candidate_pairs(df, 2).collect()}
+    sized = {(r["a"], r["b"]) for r in minhash.candidate_pairs(df, 2, "n").collect()}
+    size = {i: n for i, _, n in rows}
+    assert sized <= all_pairs
+    assert {p for p in all_pairs if max(size[p[0]], size[p[1]]) <= 1.25 * min(size[p[0]], size[p[1]])} <= sized
+
+
+def test_evaluation_tables(spark):
+    df = spark.createDataFrame([(i, "A", "A" if i % 3 else "B") for i in range(30)], "k int, p string, g string")
+    wrong = evaluation.wrong_sample(df, "k", F.col("p"), F.col("g"), 4).collect()
+    assert len(wrong) == 4 and all(r["k"] % 3 == 0 for r in wrong)
+    assert tuple(evaluation.validation_mean(df.withColumn("r", F.col("k") * 1.0), "k", "r", 3).first()) == (3, 1.0)
+    assert tuple(evaluation.validation_mean(df.where("false").withColumn("r", F.lit(1.0)), "k", "r", 3).first()) == (0, 0.0)
+    typed = spark.createDataFrame([(1.5, ["a", None], None)], "x double, y array<string>, z string")
+    got = typed.select(*[evaluation.ground_truths(typed, c).alias(c) for c in "xyz"]).first()
+    assert tuple(got) == (["1.5"], ["a"], [])
+    lines_ = spark.createDataFrame([("__label__hq a",), ("__label__lq b",), ("x",)], "value string")
+    assert tuple(classify.count_positives(lines_).first()) == (1, 1)
+    assert tuple(classify.count_positives(lines_.where("value = 'x'")).first()) == (0, 10_000)
+    assert classify.merge_samples(lines_, None) is None
 
 
 def test_rewards(spark):
@@ -213,4 +305,21 @@ def test_alpaca_of_all_rows(spark, tmp_path):
 
     rows = [(1, "Fill {response} in", "done"), (2, "Say it", "it"), (3, None, None)]
     spark.createDataFrame(rows, "example_id bigint, instruction string, chosen string").write.parquet(f"{tmp_path}/preference_examples.parquet")
-    assert {r["example_id"] for r in QUERIES["alpaca_all_texts"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+    assert {r["example_id"] for r in QUERIES["alpaca_texts"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def test_written_tables_are_deleted(spark):
+    import os
+
+    from corpusmill.plans import layout
+
+    df = layout.materialise(spark.range(5), "test")
+    path = df.written.removeprefix("file://")
+    assert os.path.isdir(path) and df.count() == 5
+    layout.discard(df)
+    assert not os.path.exists(path)
+    before = set(layout.WRITTEN)
+    v = spark.range(40)
+    e = v.where("id < 39").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert minhash.components(v, e).select("component").distinct().count() == 1
+    assert len(set(layout.WRITTEN) - before) == 1  # only the result is left

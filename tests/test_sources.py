@@ -27,6 +27,10 @@ def test_warc(spark, tmp_path):
     got = warc.negative_samples(archive).collect()
     assert [r["url"] for r in got] == ["http://a/1"]
     assert got[0]["text"].endswith("|||EMAIL_ADDRESS|||")
+    assert [r["url"] for r in warc.negative_samples(archive, 5).collect()] == ["http://a/1"]
+    (tmp_path / "three.warc").write_bytes(record("request", "u", "", b"GET") + b"WARC/1.0\r\nContent-Length: x\r\n\r\nrest")
+    assert warc.read_warc(spark, f"file://{tmp_path}").count() == 5
+    assert [p.rpartition("/")[2] for p in warc.list_archives(str(tmp_path))] == ["one.warc.gz", "three.warc"]
 
 
 def test_text_formats(spark, tmp_path):
@@ -75,3 +79,21 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["n"], r["mean_reward"]) for r in spark.sql("select * from rewards").collect()] == [(2, 0.5)]
+
+
+def test_strict_lines(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n{"x": 2}\n')
+    assert files.read_jsonl(spark, str(tmp_path / "a.jsonl"), "x bigint", strict=True).count() == 2
+    for name, bad in (("b.jsonl", '{"x": 1}\n\n{"x": 2}\n'), ("c.jsonl", '{"x": 1}\n{x\n')):
+        (tmp_path / name).write_text(bad)
+        with pytest.raises(Exception):  # noqa: B017
+            files.read_jsonl(spark, str(tmp_path / name), "x bigint", strict=True).collect()
+    assert files.read_bytes_ignoring(spark, str(tmp_path / "absent")).first()["text"] == ""
+    (tmp_path / "p.txt").write_text("Be kind.\n")
+    assert files.read_text(spark, str(tmp_path / "p.txt"), "x") == "Be kind.\n" and files.read_text(spark, None, "x") == "x"
+    files.write_ids(spark.createDataFrame([(1, [3, 4])], "k int, ids array<int>"), str(tmp_path / "ids"))
+    assert spark.read.parquet(str(tmp_path / "ids")).first()["ids"] == [3, 4]
+    files.write_json(spark.createDataFrame([("é", None)], "a string, b string"), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).first()["value"] == '{"a":"é","b":null}'
