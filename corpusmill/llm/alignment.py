@@ -23,6 +23,36 @@ def slip(x: str, y: str) -> bool:
     return max(len(x), len(y)) - head - tail <= 3 and head + tail >= 0.6 * max(len(x), len(y))
 
 
+def slip_keys(word: str) -> list[str]:
+    """Keys of which two words one slip apart share at least one; long words that may be two slips apart
+    share one of those that start with < or >."""
+    keys = [word] + [word[:i] + word[i + 1 :] for i in range(len(word))]
+    return keys + ["<" + word[:3], ">" + word[-3:]] if len(word) >= 8 else keys
+
+
+class Slips:
+    """Finds words that are slips of given ones, without comparing each with each."""
+
+    def __init__(self, ws: list[str]):
+        self.words = ws
+        self.places: dict[str, list[int]] = {}
+        for j, w in enumerate(ws):
+            if not w[0].isdigit():
+                for k in set(slip_keys(w)):
+                    self.places.setdefault(k, []).append(j)
+
+    def of(self, word: str) -> list[int]:
+        """Places of slips of a word, in order; numbers have none."""
+        if word[0].isdigit():
+            return []
+        near_by = {j for k in slip_keys(word) for j in self.places.get(k, ())}
+        return sorted(j for j in near_by if slip(word, self.words[j]))
+
+
+#: Comparisons of words beyond which an index of slips is made first (only speed depends on it).
+MANY = 4096
+
+
 def longest_chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of seeds that rises on both sides, in n log n steps."""
     seeds = sorted(set(seeds), key=lambda s: (s[0], -s[1]))
@@ -73,12 +103,18 @@ def fill_gap(a: list[str], b: list[str], i0: int, i1: int, j0: int, j1: int, at:
     else:
         blocks = [(1, 1, 0)]
     di = dj = 0
+    index: Slips | None = None
     for i, j, n in blocks:
         y = dj
+        if (i - di) * (j - dj) > MANY and index is None:
+            index = Slips(b[j0:j1])
         for x in range(di, i):
             if a[i0 + x][0].isdigit():
                 continue
-            hit = next((k for k in range(y, j) if not b[j0 + k][0].isdigit() and slip(a[i0 + x], b[j0 + k])), None)
+            if index is not None:
+                hit = next((k for k in index.of(a[i0 + x]) if y <= k < j), None)
+            else:
+                hit = next((k for k in range(y, j) if not b[j0 + k][0].isdigit() and slip(a[i0 + x], b[j0 + k])), None)
             if hit is not None:
                 at[i0 + x] = j0 + hit
                 y = hit + 1
