@@ -130,9 +130,11 @@ def lm_batches(stream: DataFrame, starts: DataFrame, length: int) -> DataFrame:
     return grouped.where(F.size("t") == length + 1).select("row", F.slice(values, 1, length).alias("x"), F.slice(values, 2, length).alias("y"))
 
 
-def random_starts(n: int, batch: int, length: int, step: int, seed: int = 42) -> Column:
-    """Hash-drawn start of `row` in [0, n - length - 1); the last valid start is left out."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.col("row")), F.lit(n - length - 1))
+def random_starts(n: int, length: int, step: int, seed: int = 42) -> Column:
+    """Hash-drawn start of `row` in [0, n - length - 1); the last valid start is left out. The hash is the head
+    of an md5 digest, which other engines have, too."""
+    name = F.concat(F.lit(f"{seed}|{step}|"), F.col("row").cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint"), F.lit(n - length - 1))
 
 
 def sequential_starts(batch: int, mode: str = "corrected") -> Column:

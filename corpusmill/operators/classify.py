@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_classifier(rows: DataFrame, text: str, label: str, unit: str = "word", buckets: int = 1 << 14, rounds: int = 25) -> PipelineModel:
+def fit_classifier(rows: DataFrame, text: str, label: str, unit: str = "word", buckets: int = 1 << 18, rounds: int = 25, least: int = 1) -> PipelineModel:
     """Softmax regression over hashed unigrams and bigrams of words, or over triples of characters.
 
-    Line ends become blanks; null and empty texts and null labels are left out. Give a bounded sample:
-    the rows are read once a round.
+    Grams that fewer than `least` texts have don't count; the others weigh by their rarity; long texts weigh as
+    much as short ones. Line ends become
+    blanks; null and empty texts and null labels are left out. Give a bounded sample: the rows are read once
+    a round.
     """
     clean = rows.where(F.col(text).isNotNull() & (F.trim(text) != "") & F.col(label).isNotNull())
     clean = clean.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
@@ -29,7 +31,9 @@ def fit_classifier(rows: DataFrame, text: str, label: str, unit: str = "word", b
     model = Pipeline(
         stages=[
             first, *tokens, joined,
-            HashingTF(inputCol="grams", outputCol="features", numFeatures=buckets),
+            HashingTF(inputCol="grams", outputCol="counts", numFeatures=buckets),
+            IDF(inputCol="counts", outputCol="weighted", minDocFreq=least),
+            Normalizer(inputCol="weighted", outputCol="features"),
         ]
     ).fit(clean)
     ready = index.transform(model.transform(clean)).select("features", "index").cache()

@@ -645,13 +645,31 @@ def language_id(spark: SparkSession, d: str) -> DataFrame:
     return classify.classify(classify.fit_classifier(sample, "text", "lang", "char"), rows, "text", ["doc_id"])
 
 
+def held_out(spark: SparkSession, d: str, label: Column) -> DataFrame:
+    """(label, precision, recall, n) on a held-out tenth of the labelled samples."""
+    rows = table(spark, d, "moderation_labels").where("text is not null and category is not null")
+    rows = batching.split_by_ratio(rows.select("label_id", "text", label.alias("label")), "label_id", 0.1)
+    model = classify.fit_classifier(rows.where("split = 'train'"), "text", "label", least=2)
+    scored = classify.classify(model, rows.where("split = 'val'"), "text", ["label"])
+    return classify.precision_recall(scored, "label").select("label", r6("precision").alias("precision"), r6("recall").alias("recall"), "n")
+
+
 @query()
 def moderation_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """(label, precision, recall, n) on a held-out tenth of the labelled samples."""
-    rows = batching.split_by_ratio(table(spark, d, "moderation_labels").where("text is not null and category is not null"), "label_id", 0.1)
-    model = classify.fit_classifier(rows.where("split = 'train'"), "text", "category")
-    scored = classify.classify(model, rows.where("split = 'val'"), "text", ["label_id", "category"])
-    return classify.precision_recall(scored, "category").select("label", r6("precision").alias("precision"), r6("recall").alias("recall"), "n")
+    """All categories."""
+    return held_out(spark, d, F.col("category"))
+
+
+@query()
+def nsfw_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Sexual content against all else."""
+    return held_out(spark, d, F.when(F.col("category") == "sexual", "nsfw").otherwise("sfw"))
+
+
+@query()
+def toxic_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Abuse and hate against all else."""
+    return held_out(spark, d, F.when(F.col("category").isin("abuse", "hate"), "toxic").otherwise("non-toxic"))
 
 
 @query()

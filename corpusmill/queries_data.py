@@ -203,6 +203,32 @@ def loss_kinds(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+DPO_SQL = "CASE WHEN x >= 0 THEN ln(1 + exp(-x)) ELSE -x + ln(1 + exp(x)) END"
+
+
+@query(
+    "WITH m AS (SELECT rollout_id, any_value(step) AS step, any_value(group_no) AS group_no, any_value(reward) AS reward, any_value(list_sum(list_transform(logprobs, lambda v: CAST(v AS DOUBLE)))) AS lp FROM (SELECT DISTINCT rollout_id, step, group_no, reward, logprobs FROM rollouts "
+    "WHERE reward IS NOT NULL AND logprobs IS NOT NULL AND len(logprobs) > 0 AND len(list_filter(logprobs, lambda x: x IS NULL)) = 0) GROUP BY rollout_id HAVING count(*) = 1), "
+    "g AS (SELECT step, group_no, (array_agg(lp ORDER BY reward DESC, rollout_id))[1] AS c, (array_agg(lp ORDER BY reward, rollout_id))[1] AS r FROM m WHERE step IS NOT NULL AND group_no IS NOT NULL GROUP BY step, group_no HAVING max(reward) > min(reward)), "
+    f"l AS (SELECT step, 0.1 * ((c - r) - (0.9 * c - 0.9 * r)) AS x, c > r AS won FROM g) SELECT step, CAST(count(*) AS BIGINT) AS pairs, round(avg({DPO_SQL}), 6) AS loss, round(avg(CASE WHEN won THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM l GROUP BY step"
+)
+def dpo_rollouts(spark: SparkSession, d: str) -> DataFrame:
+    """Preference loss and accuracy by step: a group's best and worst rollout by their summed token
+    log-probabilities; the reference model's are nine tenths of these."""
+    rows = table(spark, d, "rollouts").select("rollout_id", "step", "group_no", "reward", "logprobs").distinct()
+    rows = rows.where("reward is not null and size(logprobs) > 0 and not exists(logprobs, x -> x is null)")
+    one = rows.groupBy("rollout_id").agg(*[F.first(c).alias(c) for c in ("step", "group_no", "reward", "logprobs")], F.count(F.lit(1)).alias("k")).where("k = 1")
+    one = one.withColumn("lp", A.sequence_logprob(F.col("logprobs"), F.lit(1), F.size("logprobs")))
+    best = lambda sign: F.min_by("lp", F.struct((F.col("reward") * sign).alias("r"), F.col("rollout_id")))
+    pairs = one.where("step is not null and group_no is not null").groupBy("step", "group_no").agg(
+        best(-1).alias("c"), best(1).alias("r"), F.max("reward").alias("high"), F.min("reward").alias("low")
+    )
+    loss = A.dpo_loss(F.col("c"), F.col("r"), F.col("c") * 0.9, F.col("r") * 0.9, 0.1)
+    return pairs.where("high > low").groupBy("step").agg(
+        F.count(F.lit(1)).alias("pairs"), r6(F.avg(loss)).alias("loss"), r6(F.avg((F.col("c") > F.col("r")).cast("double"))).alias("accuracy")
+    )
+
+
 @query(f"WITH {EMB_SQL}, v AS (SELECT label, vec_id, max(CASE WHEN i = 1 THEN top + ln(total) - v END) AS loss FROM z JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) GROUP BY ALL) SELECT label, round(avg(loss), 6) AS mean_loss, round(sum(loss), 4) AS summed_loss FROM v GROUP BY label")
 def token_losses(spark: SparkSession, d: str) -> DataFrame:
     """Cross-entropy by label, its mean and its sum; embeddings stand in for logits, the target is the first."""
@@ -276,6 +302,19 @@ def language_model_batches(spark: SparkSession, d: str) -> DataFrame:
     return batching.lm_batches(stream, starts, 64)
 
 
+@query(
+    f"WITH {STREAM_SQL}, r AS (SELECT r, c, ('0x' || substr(md5('42|3|' || CAST(r AS VARCHAR)), 1, 15))::BIGINT % (len(c) - 65) AS s FROM c, range(40) t(r)) "
+    "SELECT CAST(r AS BIGINT) AS \"row\", c[s + 1:s + 64] AS x, c[s + 2:s + 65] AS y FROM r"
+)
+def random_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Forty pairs of input and target from starts drawn by hash."""
+    placed = batching.stream_positions(letters(spark, d).where("ids is not null"), "item_id", "ids")
+    n = placed.agg(F.max(F.col("position") + F.size("ids"))).first()[0]
+    stream = placed.select("position", F.posexplode("ids").alias("i", "token")).select((F.col("position") + F.col("i")).alias("at"), "token")
+    starts = spark.range(40).withColumnRenamed("id", "row").withColumn("start", batching.random_starts(n, 64, 3))
+    return batching.lm_batches(stream, starts, 64)
+
+
 @query("SELECT CAST(r AS BIGINT) AS \"row\", CAST(r AS BIGINT) AS corrected, CAST(r // 8 * 8 AS BIGINT) AS reference FROM range(100) t(r)")
 def validation_starts(spark: SparkSession, d: str) -> DataFrame:
     """Starts of validation rows, and those of the stated form, which repeats a batch's first row."""

@@ -18,7 +18,7 @@ from corpusmill.queries import QUERIES, SQL
 
 WITHOUT_SQL = {
     "minhash_signature", "dup_clusters", "dedup_keep", "bpe_encode", "answer_candidates", "relaxed_rewards", "language_id",
-    "moderation_classifier", "html_texts", "negative_samples", "quality_classifier",
+    "moderation_classifier", "nsfw_classifier", "toxic_classifier", "html_texts", "negative_samples", "quality_classifier",
 }
 
 
@@ -121,7 +121,7 @@ def test_rewards(spark):
         assert rewards[k]["reward"] in (0.0, 1.0) and rewards[k]["format_reward"] <= rewards[k]["reward"]
 
 
-@pytest.mark.parametrize("name", ["moderation_classifier", "quality_classifier"])
+@pytest.mark.parametrize("name", ["moderation_classifier", "nsfw_classifier", "toxic_classifier", "quality_classifier"])
 def test_held_out_accuracy(spark, name):
     rows = QUERIES[name](spark, DATA.replace("sf0.001", "sf0.01")).collect()
     n = sum(r["n"] for r in rows)
