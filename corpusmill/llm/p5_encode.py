@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.bpe import byte_table, local_path
 from corpusmill.plans.layout import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -29,20 +30,13 @@ PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 REMEMBERED = 400_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable stand-in of each byte in the vocabulary file, mapped back to the byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class TrieEncoder:
     """Encodes words by a depth-first walk over their trie."""
 
     def __init__(self, path: str = VOCABULARY):
-        with open(path, encoding="utf-8") as f:
+        with open(local_path(path), encoding="utf-8") as f:
             model = json.load(f)["model"]
-        back = byte_letters()
+        back = {letter: byte for byte, letter in byte_table().items()}
         as_bytes = lambda s: bytes(back[c] for c in s)
         self.ids = {as_bytes(s): i for s, i in model["vocab"].items() if all(c in back for c in s)}
         self.longest = max(map(len, self.ids))

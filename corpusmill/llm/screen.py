@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from re import _parser as sre
 
-import ahocorasick
+try:
+    import ahocorasick
+except ModuleNotFoundError:
+    ahocorasick = None
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -81,24 +84,29 @@ class Detector:
 
 
 class Screen:
-    """One automaton over the literals of several lists; each list has a bit."""
+    """One automaton over the literals of several lists; each list has a bit. Without the automaton's package
+    literals are looked for one by one."""
 
     def __init__(self, lists: list[set[str]]):
-        bits: dict[str, int] = {}
+        self.literals: dict[str, int] = {}
         for k, literals in enumerate(lists):
             for x in literals:
-                bits[x] = bits.get(x, 0) | 1 << k
-        self.automaton = ahocorasick.Automaton()
-        for x, b in bits.items():
-            self.automaton.add_word(x, b)
-        self.automaton.make_automaton()
-
-    def hits(self, text: str) -> list[tuple[int, int]]:
-        """(place of the last letter, bits) of all literals in a text."""
-        return list(self.automaton.iter(text))
+                self.literals[x] = self.literals.get(x, 0) | 1 << k
+        self.automaton = None
+        if ahocorasick is not None:
+            self.automaton = ahocorasick.Automaton()
+            for x, b in self.literals.items():
+                self.automaton.add_word(x, b)
+            self.automaton.make_automaton()
 
     def bits(self, text: str) -> int:
+        """The bits of the lists of which a text has a literal."""
         out = 0
-        for _, b in self.automaton.iter(text):
-            out |= b
+        if self.automaton is None:
+            for x, b in self.literals.items():
+                if x in text:
+                    out |= b
+        else:
+            for _, b in self.automaton.iter(text):
+                out |= b
         return out

@@ -34,3 +34,14 @@ def test_operator(spark):
     counts = {r["doc_id"]: r["n_tokens"] for r in P.token_counts(df, ["doc_id"]).collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     assert P.encode_corpus(df.where("false")).count() == 0
+
+
+def test_the_core_encodes_alike(spark):
+    import os
+
+    from corpusmill.operators import bpe
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    ours = {r["doc_id"]: r["ids"] for r in P.encode_corpus(documents).collect()}
+    assert ours == {r["doc_id"]: r["ids"] for r in bpe.encode(documents).collect()}

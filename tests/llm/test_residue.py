@@ -88,3 +88,11 @@ def test_screen_loses_no_line():
         whole, bit = re.compile("|".join(source)), [n for n, _ in P.DETECTORS].index(name)
         for x in lines:
             assert detector(x, bool(P.SCREEN.bits(x) >> bit & 1)) == bool(whole.search(x)), (name, x)
+
+
+def test_screen_without_the_automaton():
+    plain = P.Screen([set(x) for x in (P.PLACEHOLDER.literals, P.FILLER.literals)])
+    texts = [t for t in [*CASES, *FINE] if t]
+    found = [plain.bits(t.lower()) for t in texts]
+    plain.automaton = None
+    assert [plain.bits(t.lower()) for t in texts] == found
