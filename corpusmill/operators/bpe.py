@@ -24,7 +24,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def byte_table() -> dict[int, str]:
-    """byte -> its printable stand-in in vocabulary files: itself where printable, else 256 on."""
+    """byte -> its printable stand-in in vocabulary files: itself where printable, else 256 on. A fixed table of
+    the file format."""
     table, extra = {}, 0
     for b in range(256):
         printable = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
