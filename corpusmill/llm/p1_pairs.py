@@ -255,7 +255,7 @@ def fit_end_model(df: DataFrame, sides: list[str]) -> EndModel:
 COMPLETE = re.compile(r"[.!?。！？…][\"'”’»)\]*_`]*$|[:;]-?[)D(P]$|[\"”»)\]}>]$|```$|[^\w\s,;:(\-–—'\"“„«`/&+=]$")
 BROKEN = re.compile(r"[,;:(\[{\-–—/&+=“„«]$|(?:^|\n)\s*(?:\d+[.)]|[-*•])$")
 OPEN_QUOTE = re.compile(r"[\s(][\"“„«][^\"”»]*$")
-ADDRESS = re.compile(r"\S+\.\w+(?:/\S*)?$|\S+@\S+$")
+ADDRESS = re.compile(r"\S*[^\W\d_]\S*\.[^\W\d_]\w*(?:/\S*)?$|\S+@\S+$")
 SIGNED = re.compile(r",\s*\n\s*[^\W\d_][\w .'-]{0,40}$")
 # Words that leave a phrase open.
 OPENERS = set(

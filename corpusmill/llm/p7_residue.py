@@ -1,12 +1,13 @@
 """Problem 7: template residue, filler, error pages and script notices in place of content.
 
 Method: every document gives detector hits (unfilled placeholders, filler, error messages, notices that
-scripts are needed) and, if it says little, a response key: the digest of its body with names and
-numbers masked. Keys are counted by host: how often the host served the body, and under how many
-different address slugs and titles. A document is residue if its evidence adds up to ENOUGH: a
-detector's hit is enough alone, a weak word, a body served again and again on the host, under different
-slugs or titles, and a slug or title none of whose terms stand in the body are worth one each.
-Sentences that explain such things are no hits, nor is a single line at the foot of an article.
+scripts are needed) and, if it says little, a response key: the digest of its body with numbers and rare
+words, such as names, masked. Keys are counted by host: how often a response was served, by how many
+hosts, and under how many different address slugs and titles. A document is residue if its evidence adds
+up to ENOUGH: a detector's hit is enough alone; a word that such notices have, a slug or title none of
+whose terms stand in the body, a response served again and again, one that several hosts serve, and one
+that its host serves under different slugs or titles are worth one each. Sentences that explain such
+things are no hits, nor is a single line at the foot of an article.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.rarity import Rarity, word_rarity
 from corpusmill.llm.screen import Detector, Screen
 from corpusmill.llm.words import fold, words
 from corpusmill.plans.layout import materialise, table
@@ -84,7 +86,8 @@ EXPLAINS = re.compile(
 )
 WEAK = re.compile(
     r"\b(?:error|unavailable|forbidden|not found|denied|expired|blocked|disabled|robot|retry|reload|redirect\w*|unsupported|"
-    r"maintenance|offline|loading|please wait|permission|timeout|timed out|invalid|failed|cookies)\b"
+    r"maintenance|offline|loading|please wait|permission|timeout|timed out|invalid|failed|cookies|javascript|js|scripts?|scripting|"
+    r"browser|navigateur|navegador|https?|html|server|serveur|servidor|erreur|errore|erro|fehler)\b"
 )
 NEUTRAL = re.compile(
     r"^\W*(?:menu|search|login|log in|sign in|register|home|about|contact|home \| about \| contact|.?\W*all rights reserved|"
@@ -116,8 +119,10 @@ def kind_of(unit: str, bits: int) -> str | None:
 ARTICLE_WORDS = 15
 #: A low-information body has at most so many different words, whatever its length.
 LOW_WORDS = 60
-#: Evidence from which a document is residue, and times that a host must serve a body, and slugs or titles
-#: under which it must serve it, for each to count.
+#: Nats of rarity from which a word is masked, and words that a body must have besides to be a response.
+MASKED, PLAIN_WORDS = 6.2, 3
+#: Evidence from which a document is residue, and times that a response must be served, hosts that must
+#: serve it, and slugs or titles under which its host must serve it, for each to count.
 ENOUGH, SERVED = 3, 3
 #: The documents of one body are spread over so many parts when evidence is joined.
 SALTS = 16
@@ -128,10 +133,11 @@ def terms(text: str) -> set[str]:
     return {x for x in words(text) if x.isalpha() and (len(x) > 3 or not x.isascii())}
 
 
-def inspect(text: str | None, url: str | None) -> tuple[str | None, int, bytes | None, bytes | None]:
+def inspect(text: str | None, url: str | None, rarity: Rarity | None = None) -> tuple[str | None, int, bytes | None, bytes | None]:
     """(kind of a detector's hit, weak and mismatch evidence, response key, digest of slug and title).
 
-    The key is None for texts with a hit, without words, or with more than LOW_WORDS different words.
+    The key is None for texts with a hit, with fewer than PLAIN_WORDS words that aren't masked, or with more
+    than LOW_WORDS different words.
     """
     if not text or len(text) < 3 or text.isspace():
         return None, 0, None, None
@@ -182,31 +188,35 @@ def inspect(text: str | None, url: str | None) -> tuple[str | None, int, bytes |
         return None, 0, None, None
     title = terms(lines[0]) if titled else set()
     slug = terms(fold((url or "").partition("://")[2].partition("/")[2]))
-    # names in the address or title that the body repeats are masked, as numbers are: one response for all of them
-    own = title | slug
-    masked = " ".join("#" if any(c.isdigit() for c in x) else "@" if x in own else x for x in body)
+    own = title | slug  # what the address or title says is masked where the body repeats it
+    rare = lambda x: rarity is not None and rarity.of(x) >= MASKED
+    masked = ["#" if any(c.isdigit() for c in x) else "@" if x in own or rare(x) else x for x in body]
+    if sum(x not in "#@" for x in masked) < PLAIN_WORDS:
+        return None, 0, None, None
     weak = bool(WEAK.search(folded)) and not EXPLAINS.search(folded)
     apart = any(len(x) >= 2 and not x & different for x in (slug, title))
     named = xxhash.xxh3_128_digest(" ".join(sorted(slug)) + "|" + " ".join(sorted(title))) if own else None
-    return None, weak + apart, xxhash.xxh3_128_digest(masked), named
+    return None, weak + apart, xxhash.xxh3_128_digest(" ".join(masked)), named
 
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", url: str = "url") -> DataFrame:
     """(key, kind): documents whose content, or a part of it, is residue.
 
-    kind is placeholder, filler, error, script, or evidence: ENOUGH of what the host's other responses,
-    the address and the title tell. Null, empty, blank and very short texts are no case; a null url only
-    takes away the slug and the host's evidence. Repeated rows give repeated results; other columns are
-    not read; an empty table gives an empty one. Texts are read whole, once; what they give is written to
-    the shared folder. Responses are counted by host and 128-bit key, combined before the shuffle; counts
-    go back to the documents in SALTS parts, so a body that a host serves for a third of its pages is no
-    single task.
+    kind is placeholder, filler, error, script, or evidence: ENOUGH of what the responses of all hosts, the
+    address and the title tell. Null, empty, blank and very short texts are no case; a null url only takes
+    away the slug and the host's evidence. Repeated rows give repeated results; other columns are not read;
+    an empty table gives an empty one. Texts are read whole; what they give is written to the shared folder.
+    Responses are counted by host and 128-bit key, combined before the shuffle; counts go back to the
+    documents in SALTS parts, so a body that is a third of all pages is no single task.
     """
+    spark = documents.sparkSession
+    rarity = word_rarity(documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text")))
+    known = spark.sparkContext.broadcast(rarity)  # 2^22 bytes
 
     @F.pandas_udf("struct<kind: string, points: int, response: binary, named: binary>")
     def detect(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, urls in batches:
-            found = [inspect(t, u) for t, u in zip(texts.tolist(), urls.tolist())]
+            found = [inspect(t, u, known.value) for t, u in zip(texts.tolist(), urls.tolist())]
             yield pd.DataFrame(found, columns=["kind", "points", "response", "named"]).astype({"points": "int32"})
 
     host = F.nullif(F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z]+://([^/?#]+)", 1)), F.lit(""))
@@ -215,13 +225,19 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     seen = materialise(seen, "residue")
     hit = seen.where("kind is not null").select("__key", "kind")
     # only documents with a point of their own can reach ENOUGH
-    asked = seen.where("kind is null and host is not null and points > 0")
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
-    served = seen.where("kind is null and host is not null").groupBy("host", "response", "named").agg(F.count(F.lit(1)).alias("n"))
-    served = served.groupBy("host", "response").agg(F.sum("n").alias("n"), F.count("named").alias("names")).where(F.col("n") >= SERVED)
-    served = served.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    points = F.col("points") + 1 + (F.col("names") >= SERVED).cast("int")
-    judged = asked.join(served, ["host", "response", "salt"]).where(points >= ENOUGH).select("__key", F.lit("evidence").alias("kind"))
+    asked = seen.where("kind is null and points > 0").withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    served = seen.where("kind is null").groupBy("response", "host", "named").agg(F.count(F.lit(1)).alias("n"))
+    served = served.groupBy("response", "host").agg(F.sum("n").alias("n"), F.count("named").alias("names"))
+    overall = served.groupBy("response").agg(F.sum("n").alias("n"), F.count("host").alias("hosts")).where(F.col("n") >= SERVED)
+    by_host = served.where(F.col("host").isNotNull() & (F.col("names") >= SERVED)).select("response", "host", F.lit(1).alias("several"))
+    points = F.col("points") + 1 + (F.col("hosts") >= SERVED).cast("int") + F.coalesce("several", F.lit(0))
+    judged = (
+        asked.join(overall.withColumn("salt", salts), ["response", "salt"])
+        .join(by_host.withColumn("salt", salts), ["response", "host", "salt"], "left")
+        .where(points >= ENOUGH)
+        .select("__key", F.lit("evidence").alias("kind"))
+    )
     return hit.unionByName(judged).withColumnRenamed("__key", key)
 
 

@@ -63,7 +63,7 @@ def test_host_evidence_needs_no_keyword(spark):
     rows += [(60 + i, f"A {t} stands by the water", f"https://d.example/the-{t}-page") for i, t in enumerate(topics)]
     rows += [(80 + i, empty, None) for i in range(5)] + [(90, empty, "https://e.example/garden-walking-guide")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, url string")
-    assert {r["doc_id"] for r in P.find_residue(df).collect()} == {*range(8), *range(20, 28)}
+    assert {r["doc_id"] for r in P.find_residue(df).collect()} == {*range(8), *range(20, 28), 90}  # the last by what other hosts serve
 
 
 def test_long_bodies_of_few_words():
@@ -96,3 +96,19 @@ def test_screen_without_the_automaton():
     found = [plain.bits(t.lower()) for t in texts]
     plain.automaton = None
     assert [plain.bits(t.lower()) for t in texts] == found
+
+
+def test_notices_that_no_detector_knows(spark):
+    # sites' own names differ, the rest of the notice doesn't; stories differ, and a story copied to several hosts has no word of notices
+    import random
+
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    plain = "the man walks to his old house near the river and sees a red boat with two sails in the warm light of a long day".split()
+    rows = [(i, " ".join(rng.sample(plain, 12)) + ".", f"https://h{i % 9}.example/{i}") for i in range(1500)]
+    rows += [(2000 + i, f"Na stronie {name()} trzeba w\u0142\u0105czy\u0107 JavaScript teraz", f"https://h{i % 4}.example/n{i}") for i in range(12)]
+    rows += [(3000 + i, "The copied story tells of a warm day near the old house", f"https://h{i % 4}.example/c{i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, url string")
+    assert P.inspect(rows[1500][1], None)[0] is None
+    found = {r["doc_id"] for r in P.find_residue(df).collect()}
+    assert found == set(range(2000, 2012)), sorted(found)[:10]
