@@ -119,7 +119,8 @@ def kind_of(unit: str, bits: int) -> str | None:
 ARTICLE_WORDS = 15
 #: A low-information body has at most so many different words, whatever its length.
 LOW_WORDS = 60
-#: Nats of rarity from which a word is masked, and words that a body must have besides to be a response.
+#: Nats of rarity, among bodies that say little, from which a word is masked, and words that a body must have
+#: besides to be a response.
 MASKED, PLAIN_WORDS = 6.2, 3
 #: Evidence from which a document is residue, and times that a response must be served, hosts that must
 #: serve it, and slugs or titles under which its host must serve it, for each to count.
@@ -133,11 +134,11 @@ def terms(text: str) -> set[str]:
     return {x for x in words(text) if x.isalpha() and (len(x) > 3 or not x.isascii())}
 
 
-def inspect(text: str | None, url: str | None, rarity: Rarity | None = None) -> tuple[str | None, int, bytes | None, bytes | None]:
-    """(kind of a detector's hit, weak and mismatch evidence, response key, digest of slug and title).
+def inspect(text: str | None, url: str | None) -> tuple[str | None, int, str | None, bytes | None]:
+    """(kind of a detector's hit, weak and mismatch evidence, body, digest of slug and title).
 
-    The key is None for texts with a hit, with fewer than PLAIN_WORDS words that aren't masked, or with more
-    than LOW_WORDS different words.
+    The body has numbers, and words of the slug and title, masked; it is None for texts with a hit, with
+    fewer than PLAIN_WORDS other words, or with more than LOW_WORDS different words.
     """
     if not text or len(text) < 3 or text.isspace():
         return None, 0, None, None
@@ -189,14 +190,19 @@ def inspect(text: str | None, url: str | None, rarity: Rarity | None = None) ->
     title = terms(lines[0]) if titled else set()
     slug = terms(fold((url or "").partition("://")[2].partition("/")[2]))
     own = title | slug  # what the address or title says is masked where the body repeats it
-    rare = lambda x: rarity is not None and rarity.of(x) >= MASKED
-    masked = ["#" if any(c.isdigit() for c in x) else "@" if x in own or rare(x) else x for x in body]
+    masked = ["#" if any(c.isdigit() for c in x) else "@" if x in own else x for x in body]
     if sum(x not in "#@" for x in masked) < PLAIN_WORDS:
         return None, 0, None, None
     weak = bool(WEAK.search(folded)) and not EXPLAINS.search(folded)
     apart = any(len(x) >= 2 and not x & different for x in (slug, title))
     named = xxhash.xxh3_128_digest(" ".join(sorted(slug)) + "|" + " ".join(sorted(title))) if own else None
-    return None, weak + apart, xxhash.xxh3_128_digest(" ".join(masked)), named
+    return None, weak + apart, " ".join(masked), named
+
+
+def response_key(body: str, rarity: Rarity) -> bytes | None:
+    """128 bits of a body with its rare words masked, too; None if fewer than PLAIN_WORDS are left."""
+    masked = ["@" if x not in "#@" and rarity.of(x) >= MASKED else x for x in body.split(" ")]
+    return xxhash.xxh3_128_digest(" ".join(masked)) if sum(x not in "#@" for x in masked) >= PLAIN_WORDS else None
 
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", url: str = "url") -> DataFrame:
@@ -209,25 +215,31 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     Responses are counted by host and 128-bit key, combined before the shuffle; counts go back to the
     documents in SALTS parts, so a body that is a third of all pages is no single task.
     """
-    spark = documents.sparkSession
-    rarity = word_rarity(documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text")))
-    known = spark.sparkContext.broadcast(rarity)  # 2^22 bytes
 
-    @F.pandas_udf("struct<kind: string, points: int, response: binary, named: binary>")
+    @F.pandas_udf("struct<kind: string, points: int, body: string, named: binary>")
     def detect(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, urls in batches:
-            found = [inspect(t, u, known.value) for t, u in zip(texts.tolist(), urls.tolist())]
-            yield pd.DataFrame(found, columns=["kind", "points", "response", "named"]).astype({"points": "int32"})
+            found = [inspect(t, u) for t, u in zip(texts.tolist(), urls.tolist())]
+            yield pd.DataFrame(found, columns=["kind", "points", "body", "named"]).astype({"points": "int32"})
 
     host = F.nullif(F.lower(F.regexp_extract(F.col(url), "^[a-zA-Z]+://([^/?#]+)", 1)), F.lit(""))
     seen = documents.select(F.col(key).alias("__key"), host.alias("host"), detect(F.col(text), F.col(url)).alias("d"))
-    seen = seen.where("d.kind is not null or d.response is not null").select("__key", "host", "d.*")
+    seen = seen.where("d.kind is not null or d.body is not null").select("__key", "host", "d.*")
     seen = materialise(seen, "residue")
+    rarity = word_rarity(seen.where("body is not null").select(F.col("body").alias("text")))
+    known = seen.sparkSession.sparkContext.broadcast(rarity)  # 2^22 bytes
+
+    @F.pandas_udf("binary")
+    def respond(bodies: pd.Series) -> pd.Series:
+        return pd.Series([response_key(b, known.value) for b in bodies])
+
+    bodies = seen.where("body is not null").select("__key", "host", "points", "named", respond("body").alias("response"))
+    bodies = materialise(bodies.where("response is not null"), "responses")
     hit = seen.where("kind is not null").select("__key", "kind")
     # only documents with a point of their own can reach ENOUGH
-    asked = seen.where("kind is null and points > 0").withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
+    asked = bodies.where("points > 0").withColumn("salt", F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    served = seen.where("kind is null").groupBy("response", "host", "named").agg(F.count(F.lit(1)).alias("n"))
+    served = bodies.groupBy("response", "host", "named").agg(F.count(F.lit(1)).alias("n"))
     served = served.groupBy("response", "host").agg(F.sum("n").alias("n"), F.count("named").alias("names"))
     overall = served.groupBy("response").agg(F.sum("n").alias("n"), F.count("host").alias("hosts")).where(F.col("n") >= SERVED)
     by_host = served.where(F.col("host").isNotNull() & (F.col("names") >= SERVED)).select("response", "host", F.lit(1).alias("several"))
