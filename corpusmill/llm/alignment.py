@@ -9,7 +9,9 @@ from corpusmill.llm.p1_pairs import near
 
 
 def slip(x: str, y: str) -> bool:
-    """One slip apart, or two in a long word."""
+    """One slip apart, or two in a long word; either way the first or the last letter is the same."""
+    if x[0] != y[0] and x[-1] != y[-1]:
+        return False
     if near(x, y):
         return True
     if len(x) < 8 or len(y) < 8 or abs(len(x) - len(y)) > 2:
