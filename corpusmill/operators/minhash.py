@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from corpusmill.plans.layout import discard, materialise
 
 EMPTY = (1 << 63) - 1
-#: Rows of one bucket are joined in so many parts.
-SALTS = 8
+#: A bucket of more rows is joined in parts of so many.
+PART_ROWS = 4096
 PUNCTUATION, SPACES = re.compile(r"[^\w\s]"), re.compile(r"\s+")
 
 
@@ -112,9 +112,10 @@ def candidate_pairs(signed: DataFrame, bands: int, size: str | None = None) -> D
     """(a, b, estimate) with a < b for each pair of signatures that shares a band.
 
     `signed` has rep and signature. K must be a multiple of bands. A band's rows are compared as a whole,
-    not by a hash alone. Given a column of sizes, pairs whose sizes are apart by more than WIDTH never
-    meet: rows join inside a size class and with the next one. Buckets are joined in SALTS parts; hot
-    ones are split further by the engine's skew join.
+    not by a hash alone. Rows alone in their bucket, nearly all, go no further. Given a column of sizes,
+    pairs whose sizes are apart by more than WIDTH never meet: rows join inside a size class and with the
+    next one. A bucket of more than PART_ROWS rows is joined in as many parts as it needs; others aren't
+    copied.
     """
     k = F.size("signature")
     width = (k / bands).cast("int")
@@ -122,13 +123,15 @@ def candidate_pairs(signed: DataFrame, bands: int, size: str | None = None) -> D
     weight = F.floor(F.log(F.greatest(F.col(size), F.lit(1))) / math.log(WIDTH)).cast("int") if size else F.lit(0)
     rows = signed.select("rep", "signature", width.alias("width"), weight.alias("weight"), band)
     rows = rows.select("rep", "band", "weight", F.expr("slice(signature, band * width + 1, width)").alias("key"))
-    left = rows.select(F.col("rep").alias("a"), "band", "weight", "key", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).alias("salt"))
+    counts = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(counts, ["band", "key"]).withColumn("parts", F.ceil(F.col("n") / PART_ROWS))
+    left = rows.select(F.col("rep").alias("a"), "band", "weight", "key", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
     near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))) if size else F.lit(0)
     right = rows.withColumn("step", near).select(
         F.col("rep").alias("b"), "band", (F.col("weight") + F.col("step")).alias("weight"), "key",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
     )
-    pairs = left.join(right, ["band", "weight", "key", "salt"]).where("a < b").select("a", "b").distinct()
+    pairs = left.join(right, ["band", "weight", "key", "part"]).where("a < b").select("a", "b").distinct()
     of = lambda c: signed.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("estimate"))
 

@@ -204,6 +204,16 @@ def test_long_words_merge_in_time():
     assert len(bpe.encode_word("ab" * 100_000, vocab, ranks, table)) > 1000
 
 
+def test_hot_buckets_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [1, 2, rng.randrange(4), rng.randrange(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "rep bigint, signature array<bigint>")
+    whole = {tuple(r) for r in minhash.candidate_pairs(df, 2).collect()}
+    monkeypatch.setattr(minhash, "PART_ROWS", 7)
+    assert {tuple(r) for r in minhash.candidate_pairs(df, 2).collect()} == whole
+    assert len(whole) == 60 * 59 // 2
+
+
 def test_sizes_split_buckets_without_loss(spark):
     rng = random.Random(4)
     rows = [(i, [rng.randrange(3) for _ in range(4)], rng.randrange(1, 200)) for i in range(80)]
