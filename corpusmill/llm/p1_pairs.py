@@ -23,7 +23,7 @@ from corpusmill.llm.words import fold, words
 from corpusmill.plans.layout import table
 
 # ---------------------------------------------------------------- empty answers
-MARKUP = re.compile(r"<[^<>]{0,40}>|&[a-z]+;|[\W_]")
+MARKUP = re.compile(r"<[/!]?[a-zA-Z][^<>]*>|&[a-z]+;|[\W_]")
 # What stands for a missing answer, after markup is taken away.
 STAND_INS = {
     "na", "none", "null", "nil", "nan", "undefined", "empty", "blank", "noresponse", "noanswer", "noanswergiven",
