@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import constants as C
 from corpusmill.functions.text import pretokens, split_specials
+from corpusmill.plans.layout import get, put
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -96,7 +97,7 @@ def initial_vocabulary(spark: SparkSession, specials: list[str], size: int = 1 <
 
 def local_path(path: str) -> str:
     """A vocabulary's path on this machine: as given, or where addFile() put it."""
-    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+    return path if "://" in path or os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
 @lru_cache(maxsize=4)
@@ -107,24 +108,20 @@ def load(path: str, merges: str | None = None) -> tuple[dict[str, int], dict[tup
     Of the merges only a first line that starts with #version is a header; blank lines and lines of other
     than two tokens are skipped.
     """
-    with open(local_path(path), encoding="utf-8") as f:
-        vocab = json.load(f)
+    vocab = json.loads(get(local_path(path)))
     if merges is None:
         vocab, pairs = vocab["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in vocab["model"]["merges"]]
     else:
-        with open(local_path(merges), encoding="utf-8") as f:
-            rows = [line.rstrip("\r\n").split(" ") for line in f]
+        rows = [line.rstrip("\r").split(" ") for line in get(local_path(merges)).decode().split("\n")]
         pairs = [tuple(r) for i, r in enumerate(rows) if len(r) == 2 and all(r) and not (i == 0 and r[0].startswith("#version"))]
     return vocab, {m: i for i, m in enumerate(pairs)}
 
 
 def write_vocabulary(vocab: dict[str, int], ranks: dict[tuple[str, str], int], folder: str) -> tuple[str, str]:
     """A file of ids and one of merges, without loss; their paths."""
-    paths = os.path.join(folder, "vocab.json"), os.path.join(folder, "merges.txt")
-    with open(paths[0], "w", encoding="utf-8") as f:
-        json.dump(vocab, f, ensure_ascii=False)
-    with open(paths[1], "w", encoding="utf-8") as f:
-        f.write("#version: 1\n" + "".join(f"{a} {b}\n" for a, b in sorted(ranks, key=ranks.get)))
+    paths = f"{folder}/vocab.json", f"{folder}/merges.txt"
+    put(paths[0], json.dumps(vocab, ensure_ascii=False).encode())
+    put(paths[1], ("#version: 1\n" + "".join(f"{a} {b}\n" for a, b in sorted(ranks, key=ranks.get))).encode())
     return paths
 
 

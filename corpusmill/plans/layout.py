@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -79,6 +80,25 @@ def sweep_local() -> None:
             shutil.rmtree(path.removeprefix("file:").replace("///", "/", 1).replace("//", "/", 1), ignore_errors=True)
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address (local, hdfs, s3, gs), and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def put(path: str, data: bytes) -> None:
+    """Write a small file on any file system, with its folders."""
+    files, inside = file_system(path)
+    files.create_dir(inside.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(inside, compression=None) as f:
+        f.write(data)
+
+
+def get(path: str) -> bytes:
+    files, inside = file_system(path)
+    with files.open_input_stream(inside, compression=None) as f:
+        return f.read()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over as many tasks as the session shuffles to, for rows that are small but cost time each.
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corpusmill import constants as C
 from corpusmill.functions import arrays as A
 from corpusmill.functions import text as X
-from corpusmill.operators import batching, classify, evaluation, lines, minhash, reward, scaling
-from corpusmill.plans.layout import fresh, materialise, table
+from corpusmill.operators import batching, bpe, classify, evaluation, lines, minhash, reward, scaling
+from corpusmill.plans.layout import fresh, materialise, put, table
 from corpusmill.queries import CHOICE_SQL, EMB_SQL, FIT_SQL, LINES_SQL, METRICS_SQL, KEEP_SQL, ORDER_SQL, STRIP_SQL, WORDS_SQL, emb, letters, once, positives, q, query, r6, r9, rollouts, text, tokens
 from corpusmill.sources import files, warc
 
@@ -113,6 +113,51 @@ def answer_pieces(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rollout_id", F.array_sort(X.answer_candidates(F.col("response"))).alias("candidates"))
 
 
+COMMA_SQL = lambda c: f"regexp_replace({c}, '([0-9]),([0-9]{{3}})', '\\1\\2', 'g')"
+NORM_SQL = lambda c: (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + COMMA_SQL(COMMA_SQL(f"lower({c})"))
+    + ", '[\\s\\v$]|\\\\[,!;]|\\.$|^\\\\boxed\\{', '', 'g'), '^[a-z]=', ''), '\\\\d?frac\\{([^{}]+)\\}\\{([^{}]+)\\}', '\\1/\\2', 'g'), '^([-+]?[0-9]+)\\.0+$', '\\1')"
+)
+NUM_SQL = lambda c: f"coalesce(TRY_CAST({c} AS DOUBLE), CASE WHEN regexp_full_match({c}, '[-+]?[0-9]+/[0-9]+') THEN TRY_CAST(string_split({c}, '/')[1] AS DOUBLE) / nullif(TRY_CAST(string_split({c}, '/')[2] AS DOUBLE), 0) END)"
+SAME_SQL = lambda a, b: f"coalesce({a} = {b} OR coalesce(abs({NUM_SQL(a)} - {NUM_SQL(b)}) < 1e-9, false), false)"
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT rollout_id, item_id, response FROM rollouts), a AS (SELECT rollout_id, response, " + NORM_SQL("answer") + " AS w FROM r LEFT JOIN math_problems USING (item_id)), c AS ("
+    + CANDIDATES_SQL.replace("SELECT DISTINCT rollout_id, " + STRIP_SQL("response") + " AS response FROM rollouts", "SELECT DISTINCT rollout_id, response AS raw, " + STRIP_SQL("response") + " AS response FROM rollouts")
+    .replace("SELECT rollout_id, response, row_number() OVER (PARTITION BY rollout_id ORDER BY response)", "SELECT rollout_id, raw, response, row_number() OVER (PARTITION BY rollout_id ORDER BY response)")
+    .replace("SELECT rollout_id, k, response AS t,", "SELECT rollout_id, raw, k, response AS t,").replace("SELECT rollout_id, CASE WHEN t IS NOT NULL", "SELECT rollout_id, raw, bs, CASE WHEN t IS NOT NULL")
+    + "), n AS (SELECT a.rollout_id, a.response, w, list_transform(candidates, lambda x: " + NORM_SQL("x") + ") AS ns, CASE WHEN len(bs) > 0 THEN " + NORM_SQL("bs[-1]") + " END AS b FROM a JOIN c ON a.rollout_id = c.rollout_id AND a.response IS NOT DISTINCT FROM c.raw), "
+    "f AS (SELECT rollout_id, response, " + SAME_SQL("b", "w") + " AS boxed, len(list_filter(coalesce(ns, []), lambda x: " + SAME_SQL("x", "w") + ")) > 0 AS free FROM n) "
+    "SELECT rollout_id, md5(response) AS digest, CASE WHEN boxed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format_reward, CASE WHEN boxed OR free THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM f"
+)
+def relaxed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every response's relaxed reward against its problem's answer."""
+    problems = table(spark, d, "math_problems")
+    problems = problems.select("item_id", evaluation.ground_truths(problems, "answer").alias("truths"))
+    rows = table(spark, d, "rollouts").select("rollout_id", "item_id", "response").distinct().join(problems, "item_id", "left")
+    rows = rows.select("rollout_id", F.md5("response").alias("digest"), evaluation.relaxed_reward(F.col("response"), F.col("truths")).alias("r"))
+    return rows.select("rollout_id", "digest", "r.format_reward", "r.reward")
+
+
+TAG_SQL = STRIP_SQL("string_split(string_split(response, '<answer>')[-1], '</answer>')[1]")
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT rollout_id, item_id, response FROM rollouts), s AS (SELECT rollout_id, response, coalesce(contains(response, '</think> <answer>') AND contains(response, '</answer>'), false) AS well, "
+    f"{NORM_SQL(TAG_SQL)} AS x, {NORM_SQL('answer')} AS w FROM r LEFT JOIN math_problems USING (item_id)) "
+    f"SELECT rollout_id, md5(response) AS digest, CASE WHEN well THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format_reward, CASE WHEN well AND {SAME_SQL('x', 'w')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM s"
+)
+def strict_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every response's strict reward against its problem's answer."""
+    problems = table(spark, d, "math_problems")
+    problems = problems.select("item_id", evaluation.ground_truths(problems, "answer").alias("truths"))
+    rows = table(spark, d, "rollouts").select("rollout_id", "item_id", "response").distinct().join(problems, "item_id", "left")
+    judge = evaluation.by_mode("strict")[0]
+    rows = rows.select("rollout_id", F.md5("response").alias("digest"), judge(F.col("response"), F.col("truths")).alias("r"))
+    return rows.select("rollout_id", "digest", "r.format_reward", "r.reward")
+
+
 @query("SELECT item_id, CASE WHEN answer IS NULL THEN [] ELSE [answer] END AS truths FROM math_problems")
 def truth_lists(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "math_problems")
@@ -366,13 +411,6 @@ def writing(kind: str, write: Callable[[str, pd.DataFrame], None]) -> Callable:
     return run
 
 
-def put(path: str, data: bytes) -> None:
-    files_, inside = warc.file_system(path)
-    files_.create_dir(inside.rpartition("/")[0], recursive=True)
-    with files_.open_output_stream(inside, compression=None) as f:
-        f.write(data)
-
-
 def archive(spark: SparkSession, d: str) -> DataFrame:
     """All documents as web archives, a file a batch of rows: html responses, plain ones for odd ids, and a
     request record each; read again."""
@@ -535,6 +573,26 @@ def quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     return classify.precision_recall(scored, "label").select("label", r6("precision").alias("precision"), r6("recall").alias("recall"), "n")
 
 
+@query("SELECT item_id, list_transform(regexp_extract_all(question, '(?s).'), lambda x: ascii(x)) AS ids FROM gsm8k")
+def cached_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids written once and read again; characters stand in for tokens."""
+    folder = fresh(spark, "ids")
+    files.write_ids(letters(spark, d), folder)
+    return spark.read.parquet(folder)
+
+
+@query("SELECT replace(subject, ' ', '_') AS token, CAST(row_number() OVER (ORDER BY subject) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT subject FROM mmlu WHERE subject IS NOT NULL)")
+def vocabulary_files(spark: SparkSession, d: str) -> DataFrame:
+    """A vocabulary and its merges as files, read again; the subjects stand in for tokens, a pair of neighbours for a merge."""
+    rows = table(spark, d, "mmlu").where("subject is not null").select("subject").distinct().orderBy("subject").collect()  # a list of subjects
+    tokens = [r["subject"].replace(" ", "_") for r in rows]
+    paths = bpe.write_vocabulary({t: i for i, t in enumerate(tokens)}, {p: i for i, p in enumerate(zip(tokens, tokens[1:]))}, fresh(spark, "vocabulary"))
+    vocab, ranks = bpe.load(*paths)
+    if list(ranks) != list(zip(tokens, tokens[1:])):
+        raise ValueError("merges are not read as written")
+    return spark.createDataFrame(list(vocab.items()), "token string, id int")
+
+
 @query("SELECT step, CAST(count(reward) AS BIGINT) * 2 AS n, round(avg(reward), 6) AS mean FROM (SELECT DISTINCT rollout_id, step, group_no, reward, item_id FROM rollouts) GROUP BY step")
 def appended_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Records appended twice to a log of objects by line; read again and added up."""

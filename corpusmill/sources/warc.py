@@ -13,16 +13,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusmill.functions import text as X
 from corpusmill.functions.html import html_text
-from corpusmill.plans.layout import materialise
+from corpusmill.plans.layout import file_system, materialise
 
 SCHEMA = "rec_type string, url string, date string, content_type string, payload binary"
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or address (local, hdfs, s3, gs), and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 def list_archives(path: str) -> list[str]:
     """*.warc.gz and *.warc files below a folder, in order, without *.wet.gz; a file is itself."""
     files, inside = file_system(path)
