@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.bpe import byte_table, local_path
-from corpusmill.plans.layout import table
+from corpusmill.plans.layout import get, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pre-token pattern of byte-level BPE vocabularies of this family (a fixed value).
@@ -34,8 +34,7 @@ class TrieEncoder:
     """Encodes words by a depth-first walk over their trie."""
 
     def __init__(self, path: str = VOCABULARY):
-        with open(local_path(path), encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = json.loads(get(local_path(path)))["model"]
         back = {letter: byte for byte, letter in byte_table().items()}
         as_bytes = lambda s: bytes(back[c] for c in s)
         self.ids = {as_bytes(s): i for s, i in model["vocab"].items() if all(c in back for c in s)}
