@@ -84,10 +84,11 @@ def policy_loss(logprobs: Column, advantage: Column) -> Column:
 
 
 def clipped_loss(new: Column, old: Column, advantage: Column, low: float = 0.2, high: float = 0.2) -> Column:
-    """-min(r A, clip(r) A) by token, r = exp(new - old)."""
+    """-min(r A, clip(r) A) by token, r = exp(new - old); null where a log-probability or the advantage is."""
     def one(a: Column, b: Column) -> Column:
         r = F.exp(a.cast("double") - b)
-        return -F.least(r * advantage, F.least(F.greatest(r, F.lit(1 - low)), F.lit(1 + high)) * advantage)
+        loss = -F.least(r * advantage, F.least(F.greatest(r, F.lit(1 - low)), F.lit(1 + high)) * advantage)
+        return F.when((r * advantage).isNotNull(), loss)
 
     return F.zip_with(new, old, one)
 

@@ -471,18 +471,16 @@ def sft_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {PAIRS_SQL}, a AS (SELECT rollout_id, avg(reward) - 0.5 AS adv FROM rollouts GROUP BY rollout_id), "
-    "t AS (SELECT step, m, adv, exp(CAST(lp AS DOUBLE) - CAST(CAST(lp AS DOUBLE) * 1.1 AS DOUBLE)) AS r FROM zip JOIN a USING (rollout_id) WHERE adv IS NOT NULL AND lp IS NOT NULL) "
-    "SELECT step, round(sum(-least(r * adv, least(greatest(r, 0.8), 1.2) * adv) * m) / nullif(sum(m), 0), 6) AS loss FROM t GROUP BY step"
+    "t AS (SELECT step, m, adv, exp(CAST(lp AS DOUBLE) - CAST(CAST(lp AS DOUBLE) * 1.1 AS DOUBLE)) AS r FROM zip JOIN a USING (rollout_id) WHERE adv IS NOT NULL) "
+    "SELECT step, round(sum(CASE WHEN r IS NULL THEN 0 ELSE -least(r * adv, least(greatest(r, 0.8), 1.2) * adv) * coalesce(m, 0) END) / nullif(sum(m), 0), 6) AS loss FROM t GROUP BY step"
 )
 def clip_loss(spark: SparkSession, d: str) -> DataFrame:
-    """Old log-probabilities are the new ones times 1.1; a rollout's advantage is its mean reward less 0.5."""
+    """Old log-probabilities are the new ones times 1.1; a rollout's advantage is its mean reward less 0.5. A
+    token without a log-probability has no loss, but counts."""
     adv = table(spark, d, "rollouts").groupBy("rollout_id").agg((F.avg("reward") - 0.5).alias("adv")).where("adv is not null")
-    rows = tokens(spark, d).join(adv, "rollout_id")
-    known = F.filter(F.arrays_zip("logprobs", "response_mask"), lambda x: x["logprobs"].isNotNull())
-    rows = rows.withColumn("lp", F.transform(known, lambda x: x["logprobs"].cast("double"))).withColumn("m", F.transform(known, lambda x: x["response_mask"]))
-    old = F.transform("lp", lambda v: v * 1.1)
-    rows = rows.withColumn("loss", A.clipped_loss(F.col("lp"), old, F.col("adv")))
-    return reward.batch_loss(rows, ["step"], "loss", "m").select("step", r6("loss").alias("loss"))
+    rows = tokens(spark, d).join(adv, "rollout_id").withColumn("lp", F.transform("logprobs", lambda v: v.cast("double")))
+    rows = rows.withColumn("loss", A.clipped_loss(F.col("lp"), F.transform("lp", lambda v: v * 1.1), F.col("adv")))
+    return reward.batch_loss(rows, ["step"], "loss", "response_mask").select("step", r6("loss").alias("loss"))
 
 
 DPO_SQL = "CASE WHEN x >= 0 THEN ln(1 + exp(-x)) ELSE -x + ln(1 + exp(x)) END"

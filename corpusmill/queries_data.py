@@ -14,7 +14,7 @@ from corpusmill.functions import arrays as A
 from corpusmill.functions import text as X
 from corpusmill.operators import batching, bpe, classify, evaluation, lines, minhash, reward, scaling
 from corpusmill.plans.layout import fresh, materialise, put, table
-from corpusmill.queries import CHOICE_SQL, EMB_SQL, FIT_SQL, LINES_SQL, METRICS_SQL, KEEP_SQL, ORDER_SQL, STRIP_SQL, WORDS_SQL, emb, letters, once, positives, q, query, r6, r9, rollouts, text, tokens
+from corpusmill.queries import CHOICE_SQL, EMB_SQL, FIT_SQL, LINES_SQL, METRICS_SQL, KEEP_SQL, ORDER_SQL, STRIP_SQL, WORDS_SQL, emb, letters, once, q, query, r6, text
 from corpusmill.sources import files, warc
 
 # ------------------------------------------------------------------ near duplicates by portable hashes

@@ -121,6 +121,7 @@ def test_arrays(spark):
     assert one(spark, A.dpo_loss(F.lit(-900.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), 1.0)) == 900.0
     loss = one(spark, A.clipped_loss(x, F.array(F.lit(0.0), F.lit(0.0)), F.lit(1.0)), arr, [1.0, 0.0])
     assert close(loss, [-1.2, -1.0])
+    assert one(spark, A.clipped_loss(x, x, F.lit(1.0)), arr, [None, 0.0]) == [None, -1.0]
     assert one(spark, A.softmax(x), arr, None) is None
     assert one(spark, A.total(x), arr, []) == 0.0
 

@@ -97,3 +97,10 @@ def test_strict_lines(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ids")).first()["ids"] == [3, 4]
     files.write_json(spark.createDataFrame([("é", None)], "a string, b string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()["value"] == '{"a":"é","b":null}'
+
+
+def test_appended_stream(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    incremental.append_batches(stream, str(tmp_path / "out"), str(tmp_path / "done")).awaitTermination(60)
+    assert sorted(r["id"] for r in spark.read.schema("id bigint").json(str(tmp_path / "out")).collect()) == list(range(7))
