@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Folders written by this process and not yet deleted.
 WRITTEN: set[str] = set()
+OWNER = os.getpid()
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -74,8 +76,8 @@ def sweep(spark: SparkSession) -> None:
 
 @atexit.register
 def sweep_local() -> None:
-    """At the process's end, local folders too."""
-    for path in WRITTEN:
+    """At the end of the process that wrote them, local folders too; a copy of it that ends leaves them."""
+    for path in WRITTEN if os.getpid() == OWNER else ():
         if path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file:").replace("///", "/", 1).replace("//", "/", 1), ignore_errors=True)
 
