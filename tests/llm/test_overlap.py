@@ -137,3 +137,22 @@ def test_a_third_of_all_rows_alike(spark):
     got = {(r["train_id"], r["held_id"]) for r in P.split_overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = {(i, 100 + j) for i in range(40) for j in range(20)}
     assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_grams_are_no_longer_in_a_larger_table():
+    ws = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
+    grams = set()
+    for texts in (10**4, 10**6, 10**8):
+        counts = {w: max(1, round(texts * 2.718281828**-5.5)) for w in ws}  # words as frequent at any size
+        grams.add(tuple(P.select_grams(" ".join(ws), R.Rarity.from_counts(texts, counts))))
+    assert len({len(g) for g in grams}) == 1 and len(grams) == 1
+
+
+def test_requests_without_a_common_number_are_never_the_same():
+    rng, rarity = random.Random(3), R.Rarity.from_counts(1000, {})
+    form = "Give {} ideas for {} lamps and {} of them that the keeper of the mill could build"
+    number = lambda: rng.choice(["3", "30", "345", "12", "12345", "2345", "two", "1230", "9", ""])
+    for _ in range(2000):
+        a, b = (form.format(number(), number(), number()) for _ in range(2))
+        na, nb = (set(P.quantities(P.words(P.fold(x)))) for x in (a, b))
+        assert not na or not nb or na & nb or P.align(a, b, rarity) == 0
